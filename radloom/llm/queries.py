@@ -7,9 +7,25 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .additive_ann import nearest
+from .decontaminate import OP8_SQL, find_items
+from .html_text import extract_pages
 from .jaccard_join import jaccard_components
 from .mixing import OP4_SQL, mix_plan
+from .pii import find_pii
 from .scratch import table
+from .token_counts import count_tokens
+from .toxicity import score_toxicity
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, metric="ip")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +38,35 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items contained in documents."""
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_additive_ann": op2_additive_ann,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_mixing": op4_mixing,
+    "op6_token_counts": op6_token_counts,
+    "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {"op4_mixing": OP4_SQL}
+SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL}
