@@ -11,9 +11,11 @@ from .additive_ann import nearest
 from .decontaminate import OP8_SQL, find_items
 from .html_text import extract_pages
 from .jaccard_join import jaccard_components
+from .line_dedup import line_digest
 from .mixing import OP4_SQL, mix_plan
 from .pii import find_pii
 from .scratch import table
+from .sharding import OP5_SQL, shard_listing
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
@@ -38,11 +40,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from its shard after a compaction."""
+    return shard_listing(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every document."""
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after fuzzy line deduplication."""
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items contained in documents."""
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -63,10 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_additive_ann": op2_additive_ann,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_mixing": op4_mixing,
+    "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
+    "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL}
+SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_sharding": OP5_SQL, "op8_decontamination": OP8_SQL}
