@@ -375,3 +375,21 @@ def _sizes(k: int):
                 yield pa.RecordBatch.from_arrays([nothing, pa.array(n), nothing], ["doc_id", "n_shingles", "component_id"])
 
     return run
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest doc_id; same columns.
+
+    Of rows that repeat a doc_id one stays, which one is arbitrary when their
+    texts differ.  Rows with a null doc_id link with nothing and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "drop")
+    own = scratch.put(jaccard_components(docs, k, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"), F.min("component_id").alias("component_id")), "components")
+    gone, twice = own.where("doc_id <> component_id").select("doc_id"), own.where("doc_id = component_id and c > 1").select("doc_id")
+    kept = docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    n = twice.count()
+    if not n:
+        return kept
+    twice = maybe_broadcast(twice, n)
+    once = kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
