@@ -24,8 +24,8 @@ from .scratch import ready
 
 #: Labelled rows that fitting reads at most, the first by hash of their id.
 TRAIN_ROWS = 20_000
-#: Candidate words taken from the counts, and words of the lexicon, at most.
-CANDIDATES, LEXICON = 2_000, 500
+#: Entries of toxic texts that are counted in clean ones, candidates, and entries of the lexicon, at most.
+COMMON, CANDIDATES, LEXICON = 50_000, 2_000, 500
 #: Shortest and longest stem of a lexicon entry.
 STEM = (4, 8)
 #: Characters that stand for a letter in a word with letters.
@@ -139,15 +139,20 @@ def _entries(folded: str) -> set[str]:
     return {e for w in own for e in entries(w)}
 
 
-def _tokens(batches):
-    """(word, t, c): toxic and other texts of a batch that have an entry."""
-    for batch in batches:
-        counts = (Counter(), Counter())
-        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[y == 1].update(_entries(fold(text or "")))
-        words = list(counts[1])  # a word of no toxic text of the batch still counts where another batch has it
-        words += [w for w in counts[0] if w not in counts[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "t", "c"])
+def _tokens(only: frozenset[str] | None = None):
+    """(word, n): texts that have an entry, of all entries or of some."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a in range(0, len(texts), 200):
+                counts = Counter()
+                for text in texts[a : a + 200]:
+                    own = _entries(fold(text or ""))
+                    counts.update(own if only is None else own & only)
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    return run
 
 
 def _matrix(words: list[str]):
@@ -196,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     the share of toxic labels.
     """
     ready(docs.sparkSession)
-    ids = labels.where(~held_out()).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = labels.where(~held_out()).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # bounded by rows
     sample = sample.groupBy(F.xxhash64("text"), F.length("text")).agg(F.max(F.struct("toxic", "text")).alias("s")).select("s.toxic", "s.text").persist()
     try:
@@ -205,9 +210,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         prior = n1 / (n1 + n0) if n1 + n0 else 0.0
         if not n1 or not n0:
             return Model({}, [30.0 if prior else -30.0, 0.0, 0.0])
-        counts = sample.mapInArrow(_tokens, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        # Entries of toxic texts first, the commonest of them; then how many clean texts have those.
+        toxic = sample.where("toxic = 1").mapInArrow(_tokens(), "word string, n long").groupBy("word").agg(F.sum("n").alias("t")).where(F.col("t") >= max(3, n1 // 200))
+        common = toxic.orderBy(F.desc("t"), "word").limit(COMMON).collect()
+        clean = sample.where("toxic = 0").mapInArrow(_tokens(frozenset(r["word"] for r in common)), "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+        counts = docs.sparkSession.createDataFrame([(r["word"], r["t"]) for r in common], "word string, t long").join(clean, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
         odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
-        top = counts.where(F.col("t") >= max(3, n1 // 200)).withColumn("odds", odds).where("odds >= 2").orderBy(F.desc(F.col("odds") * F.sqrt("t")), F.expr("word like '%*'"), F.desc(F.length("word")), "word").limit(CANDIDATES).collect()
+        top = counts.withColumn("odds", odds).where("odds >= 2").orderBy(F.desc(F.col("odds") * F.sqrt("t")), F.expr("word like '%*'"), F.desc(F.length("word")), "word").limit(CANDIDATES).collect()
         words = [r["word"] for r in top]
         texts = sample.mapInArrow(_matrix(words), "toxic int, words array<int>").where("size(words) > 0").collect()
         weights, covered = {}, [False] * len(texts)
