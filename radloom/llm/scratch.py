@@ -73,6 +73,8 @@ def ready(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(package.parent))
         context.addPyFile(str(archive))
         context._radloom_shipped = True
+    if spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == "false":
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a written table's shuffle files go when it is written
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

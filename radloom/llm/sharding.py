@@ -15,12 +15,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import hadoop, shared_dir
+from .scratch import hadoop, maybe_broadcast, ready, shared_dir
 
 #: Bytes of text in an arrival shard and in a target shard (zstd makes files about half as large).
 ARRIVAL_BYTES, TARGET_BYTES = 2 << 20, 16 << 20
 #: Size ratio of neighbouring tiers.
 FANOUT = 4
+#: A compaction shuffles its bins in so many passes, so that disk never holds a shuffle of all texts beside both sets of shards.
+PASSES = 4
 
 
 def tier(size: Column, arrival: int, target: int) -> Column:
@@ -55,6 +57,7 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, path: str, arrival_bytes: int = ARRIVAL_BYTES, target_bytes: int = TARGET_BYTES):
         self.spark, self.path = spark, path
+        ready(spark)
         self.arrival, self.target = arrival_bytes, target_bytes
 
     def version(self) -> int:
@@ -87,7 +90,7 @@ class ShardStore:
             out.close()
 
     def _write(self, rows: DataFrame, version: int, parts: int) -> None:
-        rows.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id").write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.path}/data/v={version}")
+        rows.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id").write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(f"{self.path}/data/v={version}")
 
     def _sizes(self, version: int) -> DataFrame:
         own = self.spark.read.parquet(f"{self.path}/data/v={version}")
@@ -121,23 +124,28 @@ class ShardStore:
         """Merge similarly sized shards up to the target size; returns the version, the old one if nothing was to merge."""
         old, now = self.manifest(), self.version()
         plan = compaction_plan(old.select("shard", "bytes"), self.arrival, self.target)
-        bins = plan.select("merged").distinct().count()
+        n, bins = plan.agg(F.count("*"), F.count_distinct("merged")).first()
         if not bins:
             return now
         version = now + 1
-        moved = old.join(plan, "shard").select("v", "shard", "merged")
-        rows = self._rows().join(moved, ["v", "shard"]).drop("v", "shard").withColumnRenamed("merged", "shard")
-        self._write(rows, version, bins)
+        moved = old.join(plan, "shard").select("v", "shard", "merged", F.pmod(F.xxhash64("merged"), F.lit(PASSES)).alias("pass"))
+        for i in range(PASSES):  # nothing of this counts before the commit
+            rows = self._rows(version - 1).join(maybe_broadcast(moved.where(F.col("pass") == i).drop("pass"), n), ["v", "shard"]).drop("v", "shard").withColumnRenamed("merged", "shard")
+            self._write(rows, version, -(-bins // PASSES))
         self._commit(old.join(plan, "shard", "left_anti").select("v", "shard", "bytes", "docs").unionByName(self._sizes(version)), version)
         return version
 
-    def _rows(self) -> DataFrame:
-        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/v=*")
+    def _rows(self, last: int | None = None) -> DataFrame:
+        """All rows that write versions up to ``last`` wrote, whether a manifest lists them or not."""
+        fs, p = hadoop(self.spark, f"{self.path}/data")
+        found = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p))
+        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/v={v}" for v in found if v <= (last or self.version())])
         return rows.withColumn("v", F.col("v").cast("int")).withColumn("shard", F.col("shard").cast("long"))
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version with their v, shard and the shard's bytes and docs; other shards' folders are pruned."""
-        return self._rows().join(self.manifest(version), ["v", "shard"])
+        manifest = self.manifest(version)
+        return self._rows().join(maybe_broadcast(manifest, manifest.count()), ["v", "shard"])
 
     def vacuum(self) -> None:
         """Delete the files of write versions of which the last manifest lists no shard."""
