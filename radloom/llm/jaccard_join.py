@@ -17,11 +17,12 @@ Two levels of groups make this work on many machines:
   data the points of all texts of like size overlap in every coordinate, which
   is why one R-tree over all of them would prune nothing; a cell is a leaf
   address that two linked sets are bound to share.
-* Bounding.  Each text also has a point of ``POINT`` group counts.  In a cell
-  the first text is tried against each other one.  Pairs of a cell that this
-  leaves in different components meet in an R-tree bulk-loaded from their
-  points: a node is skipped when the minima summed against its upper corner
-  are below the overlap that its smallest set would need.
+* Bounding.  Each routed text also has a point of ``POINT`` group counts.  A
+  text is tried against the smallest text that it shares a cell with.  Pairs
+  of a cell that this leaves in different components meet in an R-tree
+  bulk-loaded from their points: a node is skipped when the minima summed
+  against its upper corner are below the overlap that its smallest set would
+  need.
 
 Exact copies are one text in all this.  Cells above ``TILE`` texts are split
 into pairs of tiles, so no task holds an unbounded group.
@@ -29,6 +30,7 @@ into pairs of tiles, so no task holds an unbounded group.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -42,7 +44,9 @@ from .components import components
 from .scratch import Scratch, maybe_broadcast
 
 #: Coordinates of a text's point.
-POINT = 32
+POINT = 256
+#: Largest count that a coordinate holds.
+FULL = 65535
 #: Hash seeds tried before a set is routed by its size class alone.
 SEEDS = 4
 #: Texts of a cell that one task compares with each other.
@@ -135,9 +139,7 @@ def _profile(k: int):
                     s = np.zeros(len(n), dtype=np.uint64)
                     np.add.at(s, owner, W.mix(u * np.uint64(salt)))
                     sums.append(s)
-                counts = np.bincount(owner * POINT + (W.mix(u) % np.uint64(POINT)).astype(np.int64), minlength=len(n) * POINT)
-                point = np.minimum(counts, 65535).astype(np.uint16).reshape(len(n), POINT)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), W.column(sums[0]), W.column(sums[1]), pa.array([x.tobytes() for x in point], pa.binary())], ["doc_id", "n", "k1", "k2", "point"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), W.column(sums[0]), W.column(sums[1])], ["doc_id", "n", "k1", "k2"])
 
     return run
 
@@ -184,6 +186,11 @@ def _points(x) -> np.ndarray:
     return np.frombuffer(b"".join(x), dtype=np.uint16).reshape(-1, POINT).astype(np.int32)
 
 
+def point(u: np.ndarray) -> np.ndarray:
+    """Group counts of a set; a full coordinate stands for any count, so its set is never bounded."""
+    return np.minimum(np.bincount((W.mix(u) % np.uint64(POINT)).astype(np.int64), minlength=POINT), FULL).astype(np.uint16)
+
+
 def needed(n1, n2, t: Fraction):
     """Least overlap of sets of these sizes that link."""
     return -(-t.numerator * (n1 + n2) // (t.numerator + t.denominator))
@@ -194,7 +201,7 @@ def _bounded(t: Fraction):
         for batch in batches:
             n1, n2 = (batch.column(i).to_numpy() for i in (2, 3))
             p1, p2 = (_points(batch.column(i).to_pylist()) for i in (4, 5))
-            ok = (np.minimum(p1, p2).sum(axis=1) >= needed(n1, n2, t)) | (p1.max(axis=1, initial=0) == 65535)
+            ok = (np.minimum(p1, p2).sum(axis=1) >= needed(n1, n2, t)) | (p1.max(axis=1, initial=0) == FULL)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -238,20 +245,45 @@ class RTree:
         return rows[np.minimum(self.points[rows], point).sum(axis=1) >= needed(size, self.sizes[rows], t)]
 
 
+def _cell_pairs(ids, labels, sizes, points, tiles, i: int, j: int, t: Fraction):
+    """Pairs of a tile that can link and are in different components."""
+    left, right = np.flatnonzero(tiles == i), np.flatnonzero(tiles == j)
+    tree = RTree(points[right], sizes[right])
+    for x in left:
+        rows = right[tree.near(points[x], sizes[x], t)] if points[x].max() < FULL else right
+        rows = rows[(labels[rows] != labels[x]) & ((ids[rows] > ids[x]) | (i != j))]
+        yield from ((min(int(ids[x]), int(y)), max(int(ids[x]), int(y))) for y in ids[rows])
+
+
 def _tile(t: Fraction):
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["tile"] == pdf["i"]], pdf[pdf["tile"] == pdf["j"]]
-        tree = RTree(_points(right["point"]), right["n"].to_numpy())
-        ids, labels = right["b"].to_numpy(), right["label"].to_numpy()
-        a, b = [], []
-        for x, n, p, label in zip(left["b"], left["n"], _points(left["point"]), left["label"], strict=True):
-            rows = tree.near(p, n, t)
-            rows = rows[(labels[rows] != label) & ((ids[rows] > x) | (pdf["i"].iloc[0] != pdf["j"].iloc[0]))]
-            a += [x] * len(rows)
-            b += ids[rows].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b).astype("int64"), "b": np.maximum(a, b).astype("int64")})
+    """Rows sorted by (cell, i, j); a tile has 2 * TILE texts about."""
+
+    def run(batches):
+        held = None
+        done: set[tuple[int, int]] = set()  # a pair is sent once, as far as memory allows
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held is None or not held.num_rows:
+                continue
+            key = np.column_stack([held.column(c).to_numpy() for c in ("cell", "i", "j")])
+            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
+            last = len(edges) - 1 if batch is None else len(edges) - 2
+            if not last:
+                continue
+            part = held.slice(0, edges[last])
+            ids, labels, sizes, tiles = (part.column(c).to_numpy() for c in ("b", "label", "n", "tile"))
+            points, found = _points(part.column("point").to_pylist()), []
+            for a, b in itertools.pairwise(edges[: last + 1]):
+                s = slice(a, b)
+                for pair in _cell_pairs(ids[s], labels[s], sizes[s], points[s], tiles[s], *key[a, 1:], t):
+                    if pair not in done:
+                        done.add(pair)
+                        found.append(pair)
+                if len(done) > 500_000:
+                    done.clear()
+            held = held.slice(edges[last])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -260,7 +292,8 @@ def _packed(k: int):
     def run(batches):
         for batch in batches:
             for ids, u, bounds in _texts(batch, k):
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([u[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(ids))], pa.binary())], ["doc_id", "shingles"])
+                own = [u[bounds[i] : bounds[i + 1]] for i in range(len(ids))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(bounds)), pa.array([point(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "n", "point", "shingles"])
 
     return run
 
@@ -304,35 +337,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = source.where("doc_id is not null")
 
-    profile = scratch.put(known.mapInArrow(_profile(k), "doc_id long, n long, k1 long, k2 long, point binary"), "profile")
+    profile = scratch.put(known.mapInArrow(_profile(k), "doc_id long, n long, k1 long, k2 long"), "profile")
     some = profile.where("n > 0")
-    copies = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("point").alias("point"))
-    copies = scratch.put(copies, "copies")
     # A text of which there is one copy is its own representative.
-    twins = copies.where("c > 1").select("n", "k1", "k2", "rep")
+    twins = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("n", "k1", "k2", "rep")
     same = scratch.put(some.join(twins, ["n", "k1", "k2"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "same")
+    rep_of = same.groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
     routed = known.mapInArrow(_cells(k, t), "cell long, doc_id long")
     routed = routed.repartition("cell").sortWithinPartitions("cell", "doc_id")
     shared = scratch.put(routed.mapInArrow(_shared, "cell long, a long, b long"), "shared")
 
-    def representative(pairs: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(same.select(F.col("doc_id").alias(end), F.col("rep").alias("r")).groupBy(end).agg(F.min("r").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    # Copies in other tasks were routed too: their representative stands for them.
+    members = shared.select("cell", F.col("a").alias("b")).distinct().unionByName(shared.select("cell", "b"))
+    members = members.join(rep_of.select(F.col("doc_id").alias("b"), "rep"), "b", "left").select("cell", F.coalesce("rep", "b").alias("b"))
+    members = scratch.put(members.distinct(), "members")
+    scratch.drop(shared)
+    heads = members.groupBy("cell").agg(F.min("b").alias("a"), F.count("*").alias("c")).where("c > 1")
+    first = scratch.put(members.join(heads.select("cell", "a"), "cell").where("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
 
-    points = copies.select(F.col("rep").alias("id"), "n", "point")
+    wanted = scratch.put(members.join(heads.select("cell"), "cell", "left_semi").select(F.col("b").alias("doc_id")).distinct(), "wanted")
+    some = known.join(maybe_broadcast(wanted, wanted.count()), "doc_id", "left_semi")
+    sets = some.mapInArrow(_packed(k), "doc_id long, n long, point binary, shingles binary")
+    sets = scratch.put(sets.dropDuplicates(["doc_id"]) if profile.groupBy("doc_id").count().where("count > 1").head(1) else sets, "sets")
+    points = sets.select(F.col("doc_id").alias("id"), "n", "point")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         one, two = (points.select(F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("point").alias(f"p{e}")) for e in "ab")
         return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").where(f"least(na, nb) * {t.denominator} >= greatest(na, nb) * {t.numerator}").mapInArrow(_bounded(t), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-        some = known.join(maybe_broadcast(wanted, wanted.count()), "doc_id", "left_semi")
-        sets = scratch.put(some.mapInArrow(_packed(k), "doc_id long, shingles binary"), "sets")
-        heads = pairs.select("a").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "shingles")
-        tails = pairs.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "shingles")
+        own = sets.select("doc_id", "shingles")
+        heads = pairs.select("a").distinct().join(own.withColumnRenamed("doc_id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "shingles")
+        tails = pairs.join(own.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "shingles")
         # A hot text's pairs are dealt over salts, each with its own copy of the head.
         salts = tails.groupBy("a").agg(F.count("*").alias("c")).select("a", F.ceil(F.col("c") / TILE).cast("int").alias("salts"))
         heads = heads.join(salts, "a").select("a", "b", "shingles", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -340,19 +377,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
         rows = heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).select("a", "b", "shingles")
         return scratch.put(rows.mapInArrow(_verified(t), "a long, b long"), "links")
 
-    first = representative(shared.select("a", "b").distinct())
     links = verified(scratch.put(bounded(first), "pairs"))
     labels = components(links, scratch)
 
-    # Pairs of a cell that are not with its first text, still in different components.
+    # Pairs of a cell that are in different components still.
     label = labels.select(F.col("node").alias("b"), "label")
-    members = shared.select("cell", "b").join(same.select(F.col("doc_id").alias("b"), F.col("rep").alias("r")).groupBy("b").agg(F.min("r").alias("r")), "b", "left").select("cell", F.coalesce("r", "b").alias("b")).distinct()
     members = members.join(label, "b", "left").withColumn("label", F.coalesce("label", "b"))
     open_cells = members.groupBy("cell").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.expr("bit_xor(xxhash64(b))").alias("m1"), F.expr("sum(pmod(xxhash64(b, 7), 4294967291))").alias("m2")).where("lo <> hi")
     open_cells = open_cells.groupBy("c", "m1", "m2").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
     rest = members.join(open_cells, "cell").join(points.withColumnRenamed("id", "b"), "b").withColumn("tile", F.expr("cast(pmod(xxhash64(b), tiles) as int)"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    again = rest.groupBy("cell", "i", "j").applyInPandas(_tile(t), "a long, b long").where("a <> b").distinct()
+    rest = rest.select("cell", "i", "j", "b", "label", "n", "tile", "point").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    again = rest.mapInArrow(_tile(t), "a long, b long").where("a <> b").distinct()
     again = scratch.put(again.join(first, ["a", "b"], "left_anti"), "rest")
     if not again.isEmpty():
         labels = components(links.unionByName(verified(again)), scratch)
