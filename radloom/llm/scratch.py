@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from radloom.session import ship
+
 #: Rows of an Arrow batch handed to Python: whole texts travel in it, so it is kept small.
 BATCH_ROWS = 1000
 #: Rows of a two-column id table up to which a broadcast is allowed (16 bytes a row: 32 MB).
@@ -65,14 +65,7 @@ def ready(spark: SparkSession) -> None:
 
     A smaller batch setting of the session stays.
     """
-    context = spark.sparkContext
-    if not getattr(context, "_radloom_shipped", False):
-        package = Path(__file__).resolve().parent.parent
-        with zipfile.ZipFile(archive := Path(tempfile.mkdtemp()) / f"{package.name}.zip", "w") as z:
-            for p in package.rglob("*.py"):
-                z.write(p, p.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        context._radloom_shipped = True
+    ship(spark)
     if spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == "false":
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a written table's shuffle files go when it is written
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
