@@ -37,7 +37,8 @@ EXCEPTIONS = ("clown fish", "trash can", "trash bin", "trash bag", "sore loser b
 
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
 _WORD = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"(?=\S*[0-9@$!|])(?=\S*[a-z])\S{2,64}")
+# tried at the start of each run of non-spaces only, so a very long run costs one bounded look
+_MIXED = re.compile(r"(?<!\S)(?=\S{0,63}[0-9@$!|])\S{2,64}(?!\S)")
 _EDGE = ".,;:?\"'()[]{}<>*#%&"
 
 
@@ -53,7 +54,7 @@ def substituted(folded: str) -> list[str]:
     for m in _MIXED.finditer(folded):
         word = m.group().strip(_EDGE)
         for form in {word, word.rstrip("!$@|"), word.strip("!$@|")}:
-            if form.isalpha():
+            if form.isalpha() or not any(c.isalpha() for c in form):
                 continue
             new = form.translate(SUBSTITUTES)
             if new != form and new.isalpha():
