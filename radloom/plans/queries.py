@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radloom.functions import dna
-from radloom.operators import clusters, genotypes, introgression, loci, reads as rd
+from radloom.operators import clusters, genotypes, introgression, loci, pairs, reads as rd
 from radloom.plans import fixtures as fx
+from radloom.session import shared_dir
+from radloom.sinks import text as out
+from radloom.sources import text as src
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 O: dict[str, str] = {}
@@ -196,6 +200,41 @@ def _uniques(s, d):
 query("within_cluster")(lambda s, d: clusters.greedy_clusters(_uniques(s, d)))
 
 
+def _fastq(s, d):
+    path = f"{shared_dir(s)}/radloom/fastq-{uuid.uuid4().hex}"
+    out.write_text(out.fastq(fx.reads(s, d).select(F.col("read_id").cast("string").alias("header"), "seq", "qual")), path)
+    return src.read_fastq(s, path).select(F.col("header").cast("long").alias("read_id"), "seq", "qual")
+
+
+def _loci_file(s, d):
+    path = f"{shared_dir(s)}/radloom/loci-{uuid.uuid4().hex}"
+    x = fx.sites(s, d)
+    out.write_text(out.loci_text(x, loci.site_class(x)), path, "xlocus")
+    return src.read_loci(s, path).select("xlocus", F.col("taxon").cast("int").alias("taxon"), "seq")
+
+
+_marks = "(select xlocus, string_agg(cls, '' order by pos) as marks from classes group by 1)"
+_by_taxon = "(select xlocus, taxon, string_agg(base, '' order by pos) as seq from sites group by 1, 2)"
+query("fastq_scan", "select read_id, seq, qual from reads", "reads")(_fastq)
+query("loci_scan", f"select * from {_by_taxon}", "sites")(_loci_file)
+query("loci_text", f"select xlocus, string_agg(rpad('>' || taxon, 12, ' ') || seq, chr(10) order by taxon) || chr(10) || rpad('//', 12, ' ') || any_value(marks) || '|' || xlocus || '|' as text from {_by_taxon} join {_marks} using (xlocus) group by 1", "classes")(
+    lambda s, d: out.loci_text(fx.sites(s, d), loci.site_class(fx.sites(s, d)))
+)
+query("gphocs_text", f"select xlocus, 'locus' || xlocus || ' ' || count(*) || ' ' || max(length(seq)) || chr(10) || string_agg(taxon || chr(9) || replace(seq, '-', 'N'), chr(10) order by taxon) as text from {_by_taxon} group by 1", "sites")(lambda s, d: out.gphocs_text(fx.sites(s, d)))
+query("phylip_blocks", "select xlocus, string_agg(seq, chr(10) order by taxon) as text from (select xlocus, taxon, string_agg(base, '' order by pos) as seq from sites where (xlocus, pos) in (select (xlocus, pos) from sites where base <> 'N') group by 1, 2) group by 1", "sites")(lambda s, d: out.phylip_blocks(fx.sites(s, d), fx.pops(s)))
+query("vcf_text", "select xlocus, pos, concat_ws(chr(9), xlocus, pos, '.', a[1], array_to_string(a[2:], ','), '20', 'PASS', 'NS=' || ns || ';DP=6', 'GT', gts) as text from (select xlocus, pos, any_value(a) as a, count(*) filter (base <> 'N') as ns, string_agg(case when base = 'N' then './.' else (list_position(a, translate(base, 'RKSYWM', 'GGGTTC')) - 1) || '|' || (list_position(a, translate(base, 'RKSYWM', 'ATCCAA')) - 1) end, chr(9) order by taxon) as gts from sites join (select xlocus, pos, list(allele order by n desc, allele) as a from acounts2 group by 1, 2 having count(*) > 1) using (xlocus, pos) group by 1, 2)", "acounts2")(lambda s, d: out.vcf_text(fx.sites(s, d)))
+query("quality_mask_second", "select read_id, substr(seq, 1, 5) || array_to_string([case when ascii(substr(qual, i::int, 1)) - 33 >= 20 then substr(seq, i::int, 1) else 'N' end for i in range(6, 33)], '') as masked from reads", "reads")(lambda s, d: fx.reads(s, d).select("read_id", pairs.mask_between(F.col("seq"), F.col("qual"), 5).alias("masked")))
+query("quality_mask_merged", "select read_id, substr(seq, 1, 5) || array_to_string([case when ascii(substr(qual, i::int, 1)) - 33 >= 20 then substr(seq, i::int, 1) else 'N' end for i in range(6, 29)], '') || substr(seq, 29) as masked from reads", "reads")(lambda s, d: fx.reads(s, d).select("read_id", pairs.mask_between(F.col("seq"), F.col("qual"), 5, 4).alias("masked")))
+query("pair_concat", "select read_id, substr(seq, 1, 31) || 'nnnn' || reverse(translate(substr(reverse(seq), 2), 'ACGT', 'TGCA')) as seq from reads", "reads")(lambda s, d: fx.reads(s, d).select("read_id", pairs.concatenate(F.col("seq"), F.reverse("seq")).alias("seq")))
+query("barcode_before_cut", f"select read_id, case len(p) when 1 then null when 2 then p[1] else p[1] || 'TGCAG' || p[2] end as barcode from (select read_id, string_split({fx.OBSERVED} || case when read_id % 5 = 0 then '' else 'TGCAG' end || seq, 'TGCAG') as p from reads)", "reads")(
+    lambda s, d: fx.reads(s, d).select("read_id", F.expr(f"concat({fx.OBSERVED}, case when read_id % 5 = 0 then '' else 'TGCAG' end, seq)").alias("x")).select("read_id", pairs.barcode_before_cut(F.col("x"), "TGCAG").alias("barcode"))
+)
+query("overhang_trim", "select xlocus, min(pos) as first, max(pos) as last from (select xlocus, pos from sites where base <> 'N' group by 1, 2 having count(*) >= 5) group by 1", "sites")(lambda s, d: pairs.overhang(fx.sites(s, d), 5))
+query("haplotype_filter", "select sample_id, locus_id, count(*) filter (n > 0.25 * total) as haplotypes, count(*) filter (n > 0.25 * total) > 2 as rejected from (select *, sum(n) over (partition by sample_id, locus_id) as total from (select sample_id, locus_id, hap, sum(n) as n from (select sample_id, locus_id, seq, any_value(n) as n, string_agg(substr(seq, pos, 1), '' order by pos) as hap from (select sample_id, locus_id, seq, count(*) as n from reads group by 1, 2, 3) join calls using (sample_id, locus_id) where call in ('R','K','S','Y','W','M') group by 1, 2, 3) group by 1, 2, 3)) group by 1, 2", "calls")(
+    lambda s, d: pairs.haplotype_rejects(_locus_derep(s, d), genotypes.call_genotypes(_counts(s, d)))
+)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: depth statistics of the dereplicated reads of each sample."""
     return Q["depth_stats"](spark, sf_dir)

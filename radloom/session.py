@@ -1,4 +1,4 @@
-"""What Python operators need of a session."""
+"""What operators need of a session: the package on its executors, and a folder that all share."""
 
 from __future__ import annotations
 
@@ -19,3 +19,12 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(package.parent))
         context.addPyFile(str(archive))
         context._radloom_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="radloom-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
