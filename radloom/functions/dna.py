@@ -68,3 +68,10 @@ def hamming(a: Column, b: Column) -> Column:
 def trim_ends(seq: Column) -> Column:
     """Consensus without N at its ends."""
     return F.trim(F.lit("N"), seq)
+
+
+def drop_repeat_n(seq: Column) -> Column:
+    """Without each N whose three neighbours on one side are alike; next to an end, where they are fewer, it goes too."""
+    a = F.split(seq, "")
+    alike = lambda start: F.size(F.array_distinct(F.slice(a, start, F.lit(3)))) < 2
+    return F.array_join(F.filter(a, lambda b, i: (b != "N") | ~((i < 3) | alike(F.greatest(i - 2, F.lit(1))) | alike(i + 2))), "")

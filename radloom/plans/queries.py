@@ -233,6 +233,12 @@ query("overhang_trim", "select xlocus, min(pos) as first, max(pos) as last from
 query("haplotype_filter", "select sample_id, locus_id, count(*) filter (n > 0.25 * total) as haplotypes, count(*) filter (n > 0.25 * total) > 2 as rejected from (select *, sum(n) over (partition by sample_id, locus_id) as total from (select sample_id, locus_id, hap, sum(n) as n from (select sample_id, locus_id, seq, any_value(n) as n, string_agg(substr(seq, pos, 1), '' order by pos) as hap from (select sample_id, locus_id, seq, count(*) as n from reads group by 1, 2, 3) join calls using (sample_id, locus_id) where call in ('R','K','S','Y','W','M') group by 1, 2, 3) group by 1, 2, 3)) group by 1, 2", "calls")(
     lambda s, d: pairs.haplotype_rejects(_locus_derep(s, d), genotypes.call_genotypes(_counts(s, d)))
 )
+_c = "substr(seq, (i + {})::int, 1)"
+_left = f"({_c.format(-1)} = {_c.format(-2)} and {_c.format(-2)} = {_c.format(-3)})"
+_right = f"({_c.format(2)} in ('', {_c.format(1)}) and {_c.format(3)} in ('', {_c.format(1)}))"
+query("repeat_n_filter", f"select xlocus, taxon, array_to_string([substr(seq, i::int, 1) for i in range(1, length(seq) + 1) if substr(seq, i::int, 1) <> 'N' or not (i <= 3 or {_left} or {_right})], '') as seq from {_by_taxon}", "sites")(
+    lambda s, d: loci.sequences(fx.sites(s, d)).select("xlocus", "taxon", dna.drop_repeat_n(F.col("seq")).alias("seq"))
+)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
