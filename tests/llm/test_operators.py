@@ -127,6 +127,23 @@ def test_line_dedup_simhash(spark):
     assert got[0] % 2**64 == want and len(got) == 2
 
 
+def test_line_dedup_recall(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10)))
+    lines = [" ".join(word() for _ in range(rng.randint(8, 80))) for _ in range(200)]
+
+    def changed(t, share):
+        t = list(t)
+        for i in rng.sample(range(len(t)), max(1, int(share * len(t)))):
+            t[i] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        return "".join(t)
+
+    for share, least in ((0, 198), (0.03, 198), (0.06, 190)):
+        rows = [*enumerate(lines), *((1000 + i, changed(t, share)) for i, t in enumerate(lines))]
+        got = {(r["kept_doc_id"], r["doc_id"]) for r in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got <= {(i, 1000 + i) for i in range(200)} and len(got) >= least
+
+
 def test_decontamination(spark, odd, none):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(3000)]
