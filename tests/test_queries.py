@@ -57,6 +57,26 @@ def test_likelihood_optimum_beats_its_neighbours(spark):
     assert all(best <= genotypes.log_likelihood(patterns, h * a, e * b) + 1e-6 for a in (0.8, 1, 1.2) for b in (0.8, 1, 1.2))
 
 
+def test_fixed_likelihood_of_deep_patterns(spark):
+    rows = [(0, 600, 2, 0, 0, 3), (0, 0, 9000, 8000, 11, 1), (0, 4, 0, 1, 3, 7), (1, 501, 0, 0, 0, 1), (1, 0, 5, 0, 5, 1)]
+    got = {r["sample_id"]: r["loglik"] for r in genotypes.fixed_loglik(spark.createDataFrame(rows, "sample_id int, na long, nc long, nt long, ng long, multiplicity long")).collect()}
+    lg, ln = math.lgamma, math.log
+
+    def pmf(k, s, q):
+        return lg(s + 1) - lg(k + 1) - lg(s - k + 1) + k * ln(q) + (s - k) * math.log1p(-q)
+
+    for sample in (0, 1):
+        own, total = [r[1:] for r in rows if r[0] == sample], 0.0
+        p = [sum(r[i] * r[4] for r in own) / sum(sum(r[:4]) * r[4] for r in own) for i in range(4)]
+        het = 1 - sum(x * x for x in p)
+        for *n, m in own:
+            s = sum(n)
+            terms = [ln(0.99 * p[i]) + pmf(s - n[i], s, 0.001) for i in range(4) if p[i]]
+            terms += [ln(0.02 * p[i] * p[j] / het) + pmf(s - n[i] - n[j], s, 0.002 / 3) + pmf(n[i], n[i] + n[j], 0.5) for i in range(4) for j in range(i + 1, 4) if p[i] * p[j]]
+            total -= m * (max(terms) + ln(sum(math.exp(t - max(terms)) for t in terms)))
+        assert got[sample] == pytest.approx(total, abs=1e-3)
+
+
 def test_clusters_hold_their_invariants(spark):
     u = plans._uniques(spark, SF).where("ord <= 60")
     seqs = {(r["sample_id"], r["ord"]): r["seq"] for r in u.collect()}
