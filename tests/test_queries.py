@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -89,6 +90,19 @@ def test_clusters_hold_their_invariants(spark):
         assert not any(t == s and d < c and clusters.identity(seqs[s, c], seqs[t, d]) >= 0.88 for t, d in seeds)
 
 
+def test_candidates_of_mixed_length_equal_brute_force(spark):
+    rng = random.Random(4)
+    seqs = []
+    for _ in range(12):
+        base = "".join(rng.choices("ACGT", k=rng.randint(30, 44)))
+        seqs += [base, base + "A", "G" + base, base[: len(base) - 3], base[2:], base + "".join(rng.choices("ACGT", k=12)), base[:9] + "T" + base[10:20] + base[21:]]
+    seqs = list(dict.fromkeys(seqs))
+    u = spark.createDataFrame([(0, x, 1, i) for i, x in enumerate(seqs)], "sample_id int, seq string, n long, ord long")
+    got = {(r["q"], r["t"]) for r in clusters.candidate_pairs(u).collect()}
+    want = {(q, t) for q in range(len(seqs)) for t in range(q) if clusters.identity(seqs[q], seqs[t]) >= 0.88}
+    assert len(want) > 100 and want <= got
+
+
 def test_empty_reads(spark):
     none = spark.createDataFrame([], "sample_id int, locus_id long, seq string")
     assert reads.dereplicate(none).count() == 0 and reads.depth_histogram(reads.depths(none)).count() == 0
