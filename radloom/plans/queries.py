@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from radloom.functions import dna
@@ -194,7 +194,8 @@ query("shuffle_order", "select sample_id, seq, row_number() over (partition by s
 
 
 def _uniques(s, d):
-    return rd.top_uniques(rd.dereplicate(fx.reads(s, d))).select("sample_id", "seq", "n", F.col("rank").cast("long").alias("ord"))
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("n"), "seq"))
+    return rd.dereplicate(fx.reads(s, d)).select("sample_id", "seq", "n", place.cast("long").alias("ord"))
 
 
 query("within_cluster")(lambda s, d: clusters.greedy_clusters(_uniques(s, d)))

@@ -90,6 +90,11 @@ def test_clusters_hold_their_invariants(spark):
         assert not any(t == s and d < c and clusters.identity(seqs[s, c], seqs[t, d]) >= 0.88 for t, d in seeds)
 
 
+def test_clusters_take_every_unique(spark):
+    derep = reads.dereplicate(plans.fx.reads(spark, SF))
+    assert plans._uniques(spark, SF).count() == derep.count() > 4 * 200
+
+
 def test_candidates_of_mixed_length_equal_brute_force(spark):
     rng = random.Random(4)
     seqs = []
