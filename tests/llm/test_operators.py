@@ -127,6 +127,13 @@ def test_line_dedup_simhash(spark):
     assert got[0] % 2**64 == want and len(got) == 2
 
 
+def test_line_dedup_short_lines(spark):
+    chinese = "今天天气很好我们一起去公园散步然后回家吃饭再看一会儿书"
+    rows = [(1, f"Click here\n{chinese}\n\n---\nonly one"), (2, f"click here!\n{chinese[:-1]}本\n\n---"), (3, "click  here")]
+    got = {r["doc_id"]: r for r in line_dedup.line_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["n_dropped"] for i, r in got.items()} == {1: 0, 2: 2, 3: 1}
+
+
 def test_line_dedup_recall(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10)))
