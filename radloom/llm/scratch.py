@@ -44,11 +44,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/radloom/{name}-{uuid.uuid4().hex}"
         ready(spark)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a frame that reads what was written."""
+    def put(self, df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
+        """Write ``df`` and return a frame that reads what was written; columns of ``hashes`` are written plainly."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._radloom_path = path
         return out
@@ -78,6 +78,22 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores until no column of ``df`` has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
