@@ -3,19 +3,26 @@
 Arrivals are appended as small immutable shards.  A compaction groups shards
 of one size tier into bins of target size, writes each bin as one new shard
 and commits a new manifest version; nothing that a manifest lists is ever
-changed.  A version counts once its commit file exists: the file is created
-exclusively, so of two writers one wins and the other must retry, and readers
-see either the old manifest or the new one.
+changed.  Every attempt to write goes to a folder of its own, named in the
+manifest rows of its shards, so what a dead attempt or the loser of two writers
+leaves behind is never read.  A version counts once its commit file exists: the
+file is written aside and renamed without overwriting, so of two writers one
+wins and the other must retry, and readers see the old manifest or the new one.
+The rename is atomic on HDFS; a local file system looks and renames in two
+steps, and object stores need a committer that puts conditionally.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .scratch import hadoop, maybe_broadcast, ready, shared_dir
+from .scratch import hadoop, maybe_broadcast, named, ready, shared_dir
 
 #: Bytes of text in an arrival shard and in a target shard (zstd makes files about half as large).
 ARRIVAL_BYTES, TARGET_BYTES = 2 << 20, 16 << 20
@@ -23,6 +30,8 @@ ARRIVAL_BYTES, TARGET_BYTES = 2 << 20, 16 << 20
 FANOUT = 4
 #: A compaction shuffles its bins in so many passes, so that disk never holds a shuffle of all texts beside both sets of shards.
 PASSES = 4
+#: Columns of a store's folders; a column of the documents with such a name is kept under one more underscore.
+_OWN = re.compile(r"(run|shard)_*", re.I)
 
 
 def tier(size: Column, arrival: int, target: int) -> Column:
@@ -63,38 +72,62 @@ class ShardStore:
     def version(self) -> int:
         """The last committed version; 0 before the first."""
         fs, p = hadoop(self.spark, f"{self.path}/commits")
-        return max([int(s.getPath().getName()) for s in fs.listStatus(p)], default=0) if fs.exists(p) else 0
+        found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return max((int(n) for n in found if n.isdigit()), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """(v, shard, bytes, docs): the shards of a version; v is the version that wrote the shard."""
+        """(v, run, shard, bytes, docs): the shards of a version; v is the version that wrote the shard, run its attempt's folder."""
         version = self.version() if version is None else version
-        schema = "v int, shard long, bytes long, docs long"
+        schema = "v int, run string, shard long, bytes long, docs long"
         if not version:
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/manifests/{self._committed(version)[0]}")
+
+    def _committed(self, version: int) -> tuple[str, StructType]:
+        """(name of the manifest, columns of the documents as they are kept) of a version."""
+        if not version:
+            return "", StructType()
         fs, p = hadoop(self.spark, f"{self.path}/commits/{version:08d}")
         stream = fs.open(p)
         try:
-            name = stream.readUTF()
+            return stream.readUTF(), StructType.fromJson(json.loads(stream.readUTF()))
         finally:
             stream.close()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/manifests/{name}")
 
-    def _commit(self, manifest: DataFrame, version: int) -> None:
+    def _commit(self, manifest: DataFrame, version: int, columns: StructType | None = None) -> None:
         name = f"{version:08d}-{uuid.uuid4().hex}"
         manifest.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
-        fs, p = hadoop(self.spark, f"{self.path}/commits/{version:08d}")
-        out = fs.create(p, False)  # fails when another writer has committed this version
+        fs, aside = hadoop(self.spark, f"{self.path}/commits/.{name}")
+        out = fs.create(aside, False)
         try:
             out.writeUTF(name)
+            out.writeUTF((columns or self._committed(self.version())[1]).json())
         finally:
             out.close()
-
-    def _write(self, rows: DataFrame, version: int, parts: int) -> None:
-        rows.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id").write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(f"{self.path}/data/v={version}")
-
-    def _sizes(self, version: int) -> DataFrame:
-        own = self.spark.read.parquet(f"{self.path}/data/v={version}")
-        return own.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"), F.count("*").alias("docs")).select(F.lit(version).alias("v"), "shard", "bytes", "docs")
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(aside, hadoop(self.spark, f"{self.path}/commits/{version:08d}")[1], options)  # fails when another writer has committed this version
+        except Exception:
+            fs.delete(aside, False)
+            raise
+
+    def _write(self, rows: DataFrame, parts: int) -> str:
+        """Write rows below a new run, one file a shard; returns its name."""
+        run = uuid.uuid4().hex
+        rows.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id").write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.path}/data/run={run}")
+        return run
+
+    def _sizes(self, run: str, version: int) -> DataFrame:
+        """Manifest rows of the shards of a run; none where it wrote no shard."""
+        fs, p = hadoop(self.spark, f"{self.path}/data/run={run}")
+        if not any(s.getPath().getName().startswith("shard=") for s in fs.listStatus(p)):
+            return self.manifest(0)
+        own = self.spark.read.parquet(f"{self.path}/data/run={run}")
+        size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")
+        own = own.groupBy(F.col("shard").cast("long").alias("shard")).agg(size.alias("bytes"), F.count("*").alias("docs"))
+        return own.select(F.lit(version).alias("v"), F.lit(run).alias("run"), "shard", "bytes", "docs")
 
     def append(self, docs: DataFrame) -> int:
         """Write ``docs`` as arrival shards and commit them; returns the version.
@@ -106,54 +139,70 @@ class ShardStore:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n = max(1, -(-int(total) // self.arrival))
         digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
-        old = self.manifest()
+        old = self.manifest(version - 1)
         start = (old.agg(F.max("shard")).first()[0] or 0) + 1 if version > 1 else 0
-        self._write(docs.withColumn("shard", digest % n + start), version, n)
-        if not self._any(version):
-            self._commit(old, version)
-        else:
-            self._commit(old.unionByName(self._sizes(version)), version)
+        kept = docs.select(*[named(c).alias(c + "_") if _OWN.fullmatch(c) else named(c) for c in docs.columns])
+        run = self._write(kept.withColumn("shard", digest % n + start), n)
+        known = self._committed(version - 1)[1]
+        names = {f.name for f in known}
+        self._commit(old.unionByName(self._sizes(run, version)), version, StructType([*known, *[f for f in kept.schema if f.name not in names]]))
         return version
 
-    def _any(self, version: int) -> bool:
-        """Whether a version wrote any shard."""
-        fs, p = hadoop(self.spark, f"{self.path}/data/v={version}")
-        return any(s.getPath().getName().startswith("shard=") for s in fs.listStatus(p))
-
     def compact(self) -> int:
         """Merge similarly sized shards up to the target size; returns the version, the old one if nothing was to merge."""
-        old, now = self.manifest(), self.version()
+        now = self.version()
+        old = self.manifest(now)
         plan = compaction_plan(old.select("shard", "bytes"), self.arrival, self.target)
         n, bins = plan.agg(F.count("*"), F.count_distinct("merged")).first()
         if not bins:
             return now
-        version = now + 1
-        moved = old.join(plan, "shard").select("v", "shard", "merged", F.pmod(F.xxhash64("merged"), F.lit(PASSES)).alias("pass"))
+        moved = old.join(plan, "shard").select("run", "shard", "merged", F.pmod(F.xxhash64("merged"), F.lit(PASSES)).alias("pass"))
+        after = old.join(plan, "shard", "left_anti").select("v", "run", "shard", "bytes", "docs")
         for i in range(PASSES):  # nothing of this counts before the commit
-            rows = self._rows(version - 1).join(maybe_broadcast(moved.where(F.col("pass") == i).drop("pass"), n), ["v", "shard"]).drop("v", "shard").withColumnRenamed("merged", "shard")
-            self._write(rows, version, -(-bins // PASSES))
-        self._commit(old.join(plan, "shard", "left_anti").select("v", "shard", "bytes", "docs").unionByName(self._sizes(version)), version)
-        return version
-
-    def _rows(self, last: int | None = None) -> DataFrame:
-        """All rows that write versions up to ``last`` wrote, whether a manifest lists them or not."""
-        fs, p = hadoop(self.spark, f"{self.path}/data")
-        found = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p))
-        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/v={v}" for v in found if v <= (last or self.version())])
-        return rows.withColumn("v", F.col("v").cast("int")).withColumn("shard", F.col("shard").cast("long"))
+            rows = self._rows(old).join(maybe_broadcast(moved.where(F.col("pass") == i).drop("pass"), n), ["run", "shard"]).drop("run", "shard").withColumnRenamed("merged", "shard")
+            after = after.unionByName(self._sizes(self._write(rows, -(-bins // PASSES)), now + 1))
+        self._commit(after, now + 1)
+        return now + 1
+
+    def _rows(self, manifest: DataFrame) -> DataFrame:
+        """All rows below the runs that a manifest names, as they are kept; a run is one write, not a shard."""
+        runs = [r["run"] for r in manifest.select("run").distinct().orderBy("run").collect()]
+        schema = StructType([*self._committed(self.version())[1], StructField("run", StringType()), StructField("shard", LongType())])
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/run={r}" for r in runs])
+
+    def located(self, version: int | None = None) -> DataFrame | None:
+        """(row, v, shard, bytes, docs): the rows of a version as structs beside their shard; None of an empty version."""
+        manifest = self.manifest(version)
+        n = manifest.count()
+        if not n:
+            return None
+        rows = self._rows(manifest)
+        own = F.struct(*[named(c).alias(c[:-1]) if _OWN.fullmatch(c) else named(c) for c in rows.columns if c not in ("run", "shard")])
+        return rows.select("run", "shard", own.alias("row")).join(maybe_broadcast(manifest, n), ["run", "shard"]).select("row", "v", "shard", "bytes", "docs")
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with their v, shard and the shard's bytes and docs; other shards' folders are pruned."""
-        manifest = self.manifest(version)
-        return self._rows().join(maybe_broadcast(manifest, manifest.count()), ["v", "shard"])
+        """The rows of a version with the columns that were appended; other shards' folders are pruned."""
+        rows = self.located(version)
+        return self.spark.createDataFrame([], "doc_id long, text string") if rows is None else rows.select("row.*")
 
     def vacuum(self) -> None:
-        """Delete the files of write versions of which the last manifest lists no shard."""
-        live = {r["v"] for r in self.manifest().select("v").distinct().collect()}
+        """Delete what the last manifest does not list: runs without a live shard whole, else their dead shards.
+
+        Older versions cannot be read afterwards, and attempts still running are lost.
+        """
+        live: dict[str, set[int]] = {}
+        for r in self.manifest().select("run", "shard").toLocalIterator():
+            live.setdefault(r["run"], set()).add(r["shard"])
         fs, p = hadoop(self.spark, f"{self.path}/data")
         for s in fs.listStatus(p):
-            if int(s.getPath().getName()[2:]) not in live:
+            shards = live.get(s.getPath().getName()[4:])
+            if shards is None:
                 fs.delete(s.getPath(), True)
+                continue
+            for t in fs.listStatus(s.getPath()):
+                name = t.getPath().getName()
+                if name.startswith("shard=") and int(name[6:]) not in shards:
+                    fs.delete(t.getPath(), True)
 
 
 def shard(docs: DataFrame, path: str | None = None, arrival_bytes: int = ARRIVAL_BYTES, target_bytes: int = TARGET_BYTES) -> ShardStore:
@@ -161,12 +210,10 @@ def shard(docs: DataFrame, path: str | None = None, arrival_bytes: int = ARRIVAL
 
     Every row is kept with its columns, null and empty texts too (0 bytes), and
     repeated rows as often as they come; a null doc_id is hashed as the word
-    null.  Columns named v or shard would clash with the store's own and raise
-    an error.  An empty table gives an empty version.  Without a path the store
-    is made in the shared folder.
+    null.  Columns whose names are the store's own (run, shard) are kept under
+    another name and come back under theirs.  An empty table gives an empty
+    version.  Without a path the store is made in the shared folder.
     """
-    if clash := {"v", "shard", "bytes", "docs"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are the store's own")
     store = ShardStore(docs.sparkSession, path or f"{shared_dir(docs.sparkSession)}/radloom/shards-{uuid.uuid4().hex}", arrival_bytes, target_bytes)
     store.append(docs)
     store.compact()
@@ -174,12 +221,19 @@ def shard(docs: DataFrame, path: str | None = None, arrival_bytes: int = ARRIVAL
 
 
 def shard_listing(docs: DataFrame, arrival_bytes: int = ARRIVAL_BYTES, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, text_md5, version, shard, shard_bytes, shard_docs), read back from a store made of ``docs``."""
+    """(doc_id, n_bytes, text_md5, version, shard, shard_bytes, shard_docs), read back from a store made of ``docs``.
+
+    One row a document, repeated rows too; of a null text n_bytes is 0 and
+    text_md5 null.  Other columns are kept in the store and not listed.  An
+    empty table gives an empty result.
+    """
     store = shard(docs, None, arrival_bytes, target_bytes)
-    if not store.manifest().head(1):
+    rows = store.located()
+    if rows is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"), F.lit(0).alias("version"), F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs")).where("false")
     store.vacuum()
-    return store.read().select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"), F.col("v").alias("version"), "shard", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
+    text = F.col("row.text")
+    return rows.select("row.doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.md5(text).alias("text_md5"), F.col("v").alias("version"), "shard", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
 
 
 SHARD_SQL = r"""
