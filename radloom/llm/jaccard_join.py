@@ -36,12 +36,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import Scratch, maybe_broadcast
+from .scratch import Scratch, free, maybe_broadcast, named
 
 #: Coordinates of a text's point.
 POINT = 256
@@ -53,6 +53,8 @@ SEEDS = 4
 TILE = 2048
 #: Points in a leaf of the R-tree.
 LEAF = 32
+#: Texts and pairs that a task remembers so as not to send them again.
+MEMORY = 500_000
 
 
 def differing(n: int, t: Fraction) -> int:
@@ -146,7 +148,7 @@ def _profile(k: int):
 
 def _cells(k: int, t: Fraction):
     def run(batches):
-        seen: set[tuple[int, int]] = set()  # copies within one task are routed once
+        seen: set[tuple[int, int]] = set()  # copies within one task are routed once, as far as memory allows
         for batch in batches:
             for ids, u, bounds in _texts(batch, k):
                 n = np.diff(bounds)
@@ -157,6 +159,8 @@ def _cells(k: int, t: Fraction):
                     if key and key not in seen:
                         seen.add(key)
                         keep[i] = True
+                if len(seen) > MEMORY:
+                    seen.clear()
                 u, m = u[np.repeat(keep, n)], n[keep]
                 bounds, ids = np.concatenate([[0], np.cumsum(m)]), ids[keep]
                 cell, who = route(u, bounds, t)
@@ -280,7 +284,7 @@ def _tile(t: Fraction):
                     if pair not in done:
                         done.add(pair)
                         found.append(pair)
-                if len(done) > 500_000:
+                if len(done) > MEMORY:
                     done.clear()
             held = held.slice(edges[last])
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
@@ -327,8 +331,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     doc_id reachable by links.  A text with fewer than k words has its whole
     sequence as its one shingle; null, empty and wordless texts have no
     shingle and link with nothing (component_id is their own id).  Rows that
-    repeat a doc_id are separate rows of one document: they share the
-    smallest component of their texts.  Rows whose doc_id is null come back
+    repeat a doc_id are rows of one document, which ties their texts: all that
+    link with either are in one component.  Rows whose doc_id is null come back
     with component_id null.  Other columns are ignored; an empty table gives
     an empty result.
     """
@@ -336,8 +340,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     scratch = Scratch(spark, "jaccard")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = source.where("doc_id is not null")
+    profile = scratch.put(known.mapInArrow(_profile(k), "doc_id long, n long, k1 long, k2 long"), "profile")
+    own = F.struct("n", "k1", "k2")
+    twice = scratch.put(profile.groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("doc_id"), "twice")
+    if n := twice.count():
+        final = _of_texts(known, twice, n, profile.agg(F.min("doc_id")).first()[0], k, t, scratch)
+    else:
+        final = _labels(known, profile, k, t, scratch)
+    out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    orphans = source.where("doc_id is null").select("doc_id", "text").mapInArrow(_sizes(k), "doc_id long, n_shingles long, component_id long")
+    return out.unionByName(orphans)
+
 
+def _of_texts(known: DataFrame, twice: DataFrame, n: int, low: int, k: int, t: Fraction, scratch: Scratch) -> DataFrame:
+    """(node, label) of doc_ids where the ``n`` of ``twice`` have several texts: each of these is a node of its own, numbered from ``low`` down, and its document ties them."""
+    twice = maybe_broadcast(twice, n)
+    texts = known.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.lit(1)).select("doc_id", "text")
+    texts = scratch.put(texts.withColumn("node", low - 1 - F.monotonically_increasing_id()), "texts")  # written once, so the numbers stay
+    known = known.join(twice, "doc_id", "left_anti").unionByName(texts.select(F.col("node").alias("doc_id"), "text"))
     profile = scratch.put(known.mapInArrow(_profile(k), "doc_id long, n long, k1 long, k2 long"), "profile")
+    links = _labels(known, profile, k, t, scratch).select(F.col("node").alias("a"), F.col("label").alias("b"))
+    ties = texts.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    labels = scratch.put(components(links.unionByName(ties), scratch), "labels")
+    of = texts.select("node", "doc_id")
+    documents = labels.join(of.select("node"), "node", "left_anti")
+    least = documents.groupBy("label").agg(F.min("node").alias("least"))
+    return documents.join(least, "label").select("node", F.col("least").alias("label"))
+
+
+def _labels(known: DataFrame, profile: DataFrame, k: int, t: Fraction, scratch: Scratch) -> DataFrame:
+    """(node, label) of the ids in a component of two at least: label is its smallest id.  An id has one text here."""
     some = profile.where("n > 0")
     # A text of which there is one copy is its own representative.
     twins = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("n", "k1", "k2", "rep")
@@ -359,6 +391,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     wanted = scratch.put(members.join(heads.select("cell"), "cell", "left_semi").select(F.col("b").alias("doc_id")).distinct(), "wanted")
     some = known.join(maybe_broadcast(wanted, wanted.count()), "doc_id", "left_semi")
     sets = some.mapInArrow(_packed(k), "doc_id long, n long, point binary, shingles binary")
+    # rows that repeat an id hold the same text
     sets = scratch.put(sets.dropDuplicates(["doc_id"]) if profile.groupBy("doc_id").count().where("count > 1").head(1) else sets, "sets")
     points = sets.select(F.col("doc_id").alias("id"), "n", "point")
 
@@ -396,10 +429,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     # Every representative's label, then every document's.
     nodes = labels.select("node", "label")
     final = same.select(F.col("doc_id").alias("node"), "rep").join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("label")).unionByName(nodes)
-    final = final.groupBy("node").agg(F.min("label").alias("label"))
-    out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
-    orphans = source.where("doc_id is null").select("doc_id", "text").mapInArrow(_sizes(k), "doc_id long, n_shingles long, component_id long")
-    return out.unionByName(orphans)
+    return final.groupBy("node").agg(F.min("label").alias("label"))
 
 
 def _sizes(k: int):
@@ -414,18 +444,23 @@ def _sizes(k: int):
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id; same columns.
+    """``docs`` with one document of each component, the one of smallest doc_id; same columns.
 
-    Of rows that repeat a doc_id one stays, which one is arbitrary when their
-    texts differ.  Rows with a null doc_id link with nothing and stay.
+    Of its rows that repeat a text too one stays, the first as JSON; rows of
+    one doc_id with different texts stay beside each other.  Rows with a null
+    doc_id link with nothing and stay, as do null and empty texts.  An empty
+    table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "drop")
     own = scratch.put(jaccard_components(docs, k, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"), F.min("component_id").alias("component_id")), "components")
     gone, twice = own.where("doc_id <> component_id").select("doc_id"), own.where("doc_id = component_id and c > 1").select("doc_id")
-    kept = docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    columns = [named(c) for c in docs.columns]
+    kept = docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*columns)
     n = twice.count()
     if not n:
         return kept
     twice = maybe_broadcast(twice, n)
-    once = kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    (place,) = free(docs, "place")
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*columns))))
+    once = kept.join(twice, "doc_id", "left_semi").withColumn(place, first).where(F.col(place) == 1).select(*columns)
+    return kept.join(twice, "doc_id", "left_anti").select(*columns).unionByName(once)
