@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import free, named
+
 #: A word: anything but space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,11 +26,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     n = len(weights)
-    named = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % n + 1).cast("int")))
-    named = named.withColumn("stop", F.lit(most) * F.col("source_size") / F.col("w"))
+    lanes = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % n + 1).cast("int")))
+    lanes = lanes.withColumn("stop", F.lit(most) * F.col("source_size") / F.col("w"))
     by_stop = Window.orderBy("stop", F.col("source").asc_nulls_last())
     before = by_stop.rowsBetween(Window.unboundedPreceding, -1)
-    lanes = named.withColumns({
+    lanes = lanes.withColumns({
         "whole": F.sum("source_size").over(every),
         "all_w": F.sum("w").over(every),
         "stopped": F.coalesce(F.sum(F.lit(most) * F.col("source_size")).over(before), F.lit(0)),
@@ -66,18 +68,20 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 1) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; same columns.
+    """``docs`` with each row as often as the mix takes it; same columns, whatever their names.
 
-    The plan is computed on ``docs`` itself, row by row, so rows that repeat a
-    doc_id are taken each by its own source's rate.
+    Sizes, rates and draws are those of ``mix_plan``, computed on ``docs`` row
+    by row, so rows that repeat a doc_id are taken each by its own source's
+    rate.  Null and empty texts have size 0 and are taken at their source's
+    rate too; a null source is a source of its own; rows of a source without
+    words go.  An empty table gives an empty result.
     """
-    names = docs.columns
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
+    of, rate, copy = free(docs, "of", "rate", "copy")
     totals = docs.select("source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = source_targets(totals, weights, most).select(F.col("source").alias("_of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("_of")))
-    copies = F.floor("_rate") + F.when(draw(seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+    rates = source_targets(totals, weights, most).select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
+    joined = docs.join(rates, F.col("source").eqNullSafe(F.col(of)))
+    copies = F.floor(rate) + F.when(draw(seed) < F.col(rate) - F.floor(rate), 1).otherwise(0)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[named(c) for c in docs.columns])
 
 
 MIX_SQL = r"""
