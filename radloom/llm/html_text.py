@@ -5,10 +5,13 @@ boundaries is a line, and each line has a text-to-tag ratio (characters
 outside links by tags met).  The ratios of a page, smoothed with a Gaussian
 kernel over neighbouring lines, are split into two clusters; lines of the high
 cluster are content.  The smallest element that holds most content characters
-is the content region, and the region's lines are the text, short ones too.
-Elements that are no part of an article by name, role or class (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts) never
-give a line, wherever they stand.
+is the content region, grown to an element around it while that adds content,
+and the region's lines are the text, short ones too.  Elements that are no part
+of an article by name or role (menus, footers, sidebars, forms, scripts) and
+reader comments never give a line, wherever they stand.  A class word (advert,
+related, widget) is evidence only: a block that has one and yet holds most of a
+page's text is a wrapper around the article.  Work is linear in the page,
+however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .scratch import ready
 SIGMA = 1.0
 #: Share of the content characters that the region must hold.
 REGION_SHARE = 0.6
+#: The region grows to an element around it that adds this share of the content characters, in sentences of so many characters.
+GROWTH, SENTENCE = 0.1, 80
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -41,6 +46,8 @@ _CLASSES = frozenset(
 _COMMENTS = frozenset("comments comment commentlist replies reply respond disqus".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure figcaption details".split())
 _SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
+_TWINS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
 
@@ -66,19 +73,24 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> str:
 
 
 class _Lines(HTMLParser):
-    """Collects (text, link characters, tags, path of open elements) for each line."""
+    """Collects (text, link characters, tags, element) for each line, and (tag, parent, why doubtful) for each element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, str]] = []  # (tag, element number, why excluded)
-        self.elements: list[tuple[str, int]] = []  # (tag, parent)
-        self.lines: list[tuple[str, int, int, int]] = []  # (text, link characters, tags, element)
+        self.stack: list[list] = []  # [tag, element, why excluded, whether closed]
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.blocks: list[int] = []  # places of elements that are not inline
+        self.elements: list[tuple[str, int, str]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.links = self.tags = 0
 
     def _why(self) -> str:
         return self.stack[-1][2] if self.stack else ""
 
+    def _last(self, *tags: str) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
     def _flush(self) -> None:
         if self.parts:
             text = _SPACES.sub(" ", "".join(self.parts)).strip()
@@ -89,7 +101,12 @@ class _Lines(HTMLParser):
 
     def _pop_to(self, depth: int) -> None:
         self._flush()
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag, _, _, closed = self.stack.pop()
+            if not closed:
+                self.open[tag].pop()
+                if tag not in _INLINE:
+                    self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in _VOID:
@@ -97,66 +114,55 @@ class _Lines(HTMLParser):
                 self._flush()
             self.tags += 1
             return
-        if tag in _CLOSES_P:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == "p":
-                    self._pop_to(i)
-                    break
-                if self.stack[i][0] not in _INLINE:
-                    break
+        if tag in _CLOSES_P and self.blocks and self._last("p") == self.blocks[-1]:
+            self._pop_to(self.blocks[-1])
         if tag in _SIBLINGS:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == tag or {self.stack[i][0], tag} == {"dt", "dd"} or {self.stack[i][0], tag} == {"td", "th"}:
-                    self._pop_to(i)
-                    break
-                if self.stack[i][0] in _SIBLINGS[tag]:
-                    break
+            own = self._last(*_TWINS.get(tag, (tag,)))
+            if own > self._last(*_SIBLINGS[tag]):
+                self._pop_to(own)
         if tag not in _INLINE:
             self._flush()
         self.tags += 1
         above, own = self._why(), _boilerplate(tag, attrs)
-        if tag == "header" and not own:
-            own = "header"
+        inside = self._last(*_MAIN) >= 0
         if above in ("name", "comments"):
             why = above
-        elif own in ("name", "comments", "class"):
+        elif own in ("name", "comments"):
             why = own
-        elif tag in _MAIN:  # an article inside a block that a class word excluded is an article still
-            why = ""
-        elif above == "header" and re.fullmatch("h[1-6]", tag) and any(x[0] in _MAIN for x in self.stack):
-            why = ""  # the headline in an article's own header
+        elif tag in _MAIN or above == "header" and inside and tag in _HEADINGS:
+            why = ""  # an article inside a header, and the headline in an article's own header
         else:
-            why = above or own
-        parent = self.stack[-1][1] if self.stack else -1
-        self.elements.append((tag, parent))
-        self.stack.append((tag, len(self.elements) - 1, why))
+            why = above or ("header" if tag == "header" else "")
+        self.elements.append((tag, self.stack[-1][1] if self.stack else -1, own if own in ("class", "header") else ""))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag not in _INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append([tag, len(self.elements) - 1, why, False])
 
     def handle_startendtag(self, tag: str, attrs) -> None:
-        if tag in _VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in _INLINE:
             self._flush()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag in _INLINE:
-                    del self.stack[i]
-                else:
-                    self._pop_to(i)
-                return
-            if tag in _INLINE and self.stack[i][0] not in _INLINE:
-                return
-        # an end tag that nothing opened is ignored
+        at = self._last(tag)
+        if at < 0:  # an end tag that nothing opened is ignored
+            return
+        if tag not in _INLINE:
+            self._pop_to(at)
+        elif not self.blocks or at > self.blocks[-1]:
+            self.open[tag].pop()
+            self.stack[at][3] = True
+            while self.stack and self.stack[-1][3]:
+                self.stack.pop()
 
     def handle_data(self, data: str) -> None:
         if not self._why():
             self.parts.append(data)
-            if any(x[0] == "a" for x in self.stack[-4:]):
+            if self.open.get("a"):
                 self.links += len(data.strip())
 
     def close(self) -> None:
@@ -164,6 +170,59 @@ class _Lines(HTMLParser):
         self._flush()
 
 
+def _below(elements: list[tuple[str, int, str]], lines: list, mass: list[float]) -> list[float]:
+    """What the lines below each element weigh; the last entry is the whole page."""
+    out = [0.0] * (len(elements) + 1)
+    for line, m in zip(lines, mass, strict=True):
+        out[line[3]] += m
+    for e in range(len(elements) - 1, -1, -1):
+        out[elements[e][1]] += out[e]
+    return out
+
+
+def _within(elements: list[tuple[str, int, str]], root: int) -> list[bool]:
+    """Whether each element is ``root`` or below it; the last entry is the page itself."""
+    out = [False] * len(elements) + [root < 0]
+    for e, (_, parent, _) in enumerate(elements):
+        out[e] = e == root or out[parent]
+    return out
+
+
+def _kept(parser: _Lines) -> list[tuple[str, int, int, int]]:
+    """The lines outside doubtful elements, but for those that hold most of the page's text.
+
+    Where an article stands outside all doubtful elements, only those in it or around it can do so.
+    """
+    elements, lines = parser.elements, parser.lines
+    if not any(why for _, _, why in elements):
+        return lines
+    below = _below(elements, lines, [max(0, len(t) - links) for t, links, _, _ in lines])
+
+    def reasons(pardoned: set[int]) -> tuple[list[str], list[bool]]:
+        reason, inside = [""] * (len(elements) + 1), [False] * (len(elements) + 1)
+        for e, (tag, parent, why) in enumerate(elements):
+            above = reason[parent]
+            own = "" if e in pardoned else why
+            inside[e] = inside[parent] or tag in _MAIN
+            if own == "class":
+                reason[e] = own
+            elif not (tag in _MAIN or above == "header" and inside[parent] and tag in _HEADINGS):
+                reason[e] = above or own
+        return reason, inside
+
+    reason, inside = reasons(set())
+    mains = {e for e, (tag, _, _) in enumerate(elements) if tag in _MAIN and not reason[e] and below[e]}
+    around: set[int] = set()
+    for e in mains:
+        while e >= 0 and e not in around:
+            around.add(e)
+            e = elements[e][1]
+    pardoned = {e for e, (_, _, why) in enumerate(elements) if why and below[e] >= REGION_SHARE * below[-1] and (not mains or e in around or inside[e])}
+    if pardoned:
+        reason, _ = reasons(pardoned)
+    return [line for line in lines if not reason[line[3]]]
+
+
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """``values`` convolved with a normalised Gaussian kernel; edges use what there is of it."""
     half = int(3 * sigma + 0.5)
@@ -193,7 +252,7 @@ def extract(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
+    lines, elements = _kept(parser), parser.elements
     if not lines:
         return ""
     ratio = np.array([max(0, len(t) - links) / max(1, tags) for t, links, tags, _ in lines])
@@ -202,31 +261,21 @@ def extract(html: str | None) -> str:
     mass = np.where(content, [max(0, len(t) - links) for t, links, _, _ in lines], 0)
     if not mass.sum():
         mass = np.array([len(t) for t, _, _, _ in lines])
-    # characters of content below each element
-    below: dict[int, int] = {}
-    for (_, _, _, e), m in zip(lines, mass.tolist(), strict=True):
-        while e >= 0:
-            below[e] = below.get(e, 0) + m
-            e = parser.elements[e][1]
-        below[-1] = below.get(-1, 0) + m
+    below = _below(elements, lines, mass.tolist())
     wanted = REGION_SHARE * below[-1]
-    mains = [e for e in below if e >= 0 and parser.elements[e][0] in _MAIN]
-    deepest = max((e for e in mains if below[e] >= wanted), default=None)
-    if deepest is None:
-        deepest = max((e for e in below if below[e] >= wanted and (e < 0 or parser.elements[e][0] not in _INLINE and parser.elements[e][0] not in _LEAVES)), default=-1)
-    inside = []
-    for i, (_, _, _, e) in enumerate(lines):
-        while e >= 0 and e != deepest:
-            e = parser.elements[e][1]
-        if e == deepest:
-            inside.append(i)
-    if deepest not in mains:  # no element says where the article ends: cut link lists and notices at its edges
+    region = max((e for e, (tag, _, _) in enumerate(elements) if tag in _MAIN and below[e] >= wanted), default=-1)
+    if region < 0:
+        region = max((e for e, (tag, _, _) in enumerate(elements) if below[e] >= wanted and tag not in _INLINE and tag not in _LEAVES), default=-1)
+    region = _grown(region, elements, lines, content, below[-1])
+    within = _within(elements, region)
+    inside = [i for i, line in enumerate(lines) if within[line[3]]]
+    if region < 0 or elements[region][0] not in _MAIN:  # no element says where the article ends: cut link lists and notices at its edges
         keep = [i for i in inside if content[i]]
-        first, last = (min(keep), max(keep)) if keep else (inside[0], inside[-1])
-        for i in range(first - 1, -1, -1):  # headings just above belong to it
-            if i in inside and parser.elements[lines[i][3]][0] in ("h1", "h2", "h3"):
+        first, last = (keep[0], keep[-1]) if keep else (inside[0], inside[-1])
+        for i in reversed([i for i in inside if i < first]):  # up to a heading above, over sentences only
+            if elements[lines[i][3]][0] in ("h1", "h2", "h3"):
                 first = i
-            else:
+            elif not _sentence(lines[i]):
                 break
         for i in inside:
             if i > last and _sentence(lines[i]):
@@ -235,6 +284,18 @@ def extract(html: str | None) -> str:
     return " ".join(lines[i][0] for i in inside)
 
 
+def _grown(region: int, elements: list[tuple[str, int, str]], lines: list, content: np.ndarray, whole: float) -> int:
+    """The outermost element around a region that adds content sentences of ``GROWTH`` of the page's content."""
+    long = [len(x[0]) - x[1] if c and len(x[0]) >= SENTENCE and _sentence(x) else 0 for x, c in zip(lines, content, strict=True)]
+    below = _below(elements, lines, long)
+    at, grown = region, region
+    while at >= 0:
+        at = elements[at][1]
+        if below[at] - below[grown] >= max(GROWTH * whole, 1):
+            grown = at
+    return grown
+
+
 _LEAVES = frozenset("p li td th tr h1 h2 h3 h4 h5 h6 dt dd pre blockquote figcaption caption".split())
 _NOTICE = re.compile(r"\s*(©|\(c\)|copyright\b|all rights reserved|cookie)", re.I)
 
