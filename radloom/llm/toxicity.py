@@ -1,12 +1,15 @@
 """Toxicity scores from a learnt, weighted lexicon.
 
-Method: texts are folded (lower case, homoglyphs to Latin letters; in words
-that mix letters with digits or signs, also digit substitutions), an
+Method: texts are folded (lower case, homoglyphs to Latin letters), an
 Aho-Corasick automaton finds lexicon words and exception phrases in one pass,
 hits inside an exception phrase do not count, and the weighted hits are
-normalised by length.  A lexicon entry is a word, or a stem (written with a
-final ``*``) that any word may begin with.  The lexicon, its weights and the curve from hits to a
-score are fitted on a bounded sample of labelled rows.
+normalised by length.  Where words mix letters with digits or signs, the
+automaton also reads the text with these unfolded to letters, place by place,
+so hits and exceptions of all readings meet at the same offsets.  A lexicon
+entry is a word, or a stem (written with a final ``*``) that any word may begin
+with; an exception is a pair of neighbouring words, one of them in the lexicon,
+that clean texts hold and toxic ones do not.  Lexicon, weights, exceptions and
+the curve from hits to a score are fitted on a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -26,20 +29,18 @@ from .scratch import ready
 TRAIN_ROWS = 20_000
 #: Entries of toxic texts that are counted in clean ones, candidates, and entries of the lexicon, at most.
 COMMON, CANDIDATES, LEXICON = 50_000, 2_000, 500
-#: Shortest and longest stem of a lexicon entry.
-STEM = (4, 8)
+#: Shortest and longest stem of a lexicon entry, and longest whole word.
+STEM, LONGEST = (4, 8), 32
+#: Clean texts that an exception phrase must be in, and exceptions at most.
+CLEAN_TEXTS, EXCEPTIONS = 3, 500
 #: Characters that stand for a letter in a word with letters.
 SUBSTITUTES = str.maketrans("013457@$!|", "oieastasil")
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ɡ": "g", "ӏ": "l", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ⅼ": "l", "ⅰ": "i", "​": None, "‌": None, "‍": None, "­": None, "﻿": None}
-#: Phrases in which a lexicon word is meant kindly or plainly.
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "trash bag", "sore loser board", "pathetic fallacy")
-
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
 _WORD = re.compile(r"[^\W_]+")
-# tried at the start of each run of non-spaces only, so a very long run costs one bounded look
-_MIXED = re.compile(r"(?<!\S)(?=\S{0,63}[0-9@$!|])\S{2,64}(?!\S)")
-_EDGE = ".,;:?\"'()[]{}<>*#%&"
+# a run of letters, digits and signs from its first sign or digit on; tried where a run begins, so long runs are read once
+_MIXED = re.compile(r"(?<![^\W_])(?<![@$!|])[^\W\d_]*+[0-9@$!|](?:[^\W_]|[@$!|])*+")
 
 
 def fold(text: str) -> str:
@@ -48,27 +49,41 @@ def fold(text: str) -> str:
     return text if text.isascii() else text.translate(_FOLD)
 
 
-def substituted(folded: str) -> list[str]:
-    """Words in which digits or signs stand for letters, with those letters."""
+def _unfolded(folded: str) -> list[tuple[int, str]]:
+    """(place, letters) of words in which digits or signs stand for letters; a word may have a second reading without signs at its ends."""
     out = []
     for m in _MIXED.finditer(folded):
-        word = m.group().strip(_EDGE)
-        for form in {word, word.rstrip("!$@|"), word.strip("!$@|")}:
-            if form.isalpha() or not any(c.isalpha() for c in form):
-                continue
-            new = form.translate(SUBSTITUTES)
-            if new != form and new.isalpha():
-                out.append(new)
+        word = m.group().rstrip("!|")
+        inner = word.strip("$@!|")
+        for form, at in {(word, m.start()), (inner, m.start() + word.find(inner))}:
+            if not form.isalpha() and any(c.isalpha() for c in form):
+                new = form.translate(SUBSTITUTES)
+                if new.isalpha():
+                    out.append((at, new))
     return out
 
 
+def readings(folded: str) -> list[str]:
+    """The text and, where words mix letters with digits or signs, the text with their letters in place: equally long."""
+    out = [folded]
+    for at, new in sorted(_unfolded(folded), key=lambda x: (x[0], -len(x[1]))):
+        which = 1 if len(out) < 2 or out[1][1] <= at else 2  # the second reading of a word overlaps its first
+        while len(out) <= which:
+            out.append([[], 0])
+        parts, end = out[which]
+        if at >= end:
+            parts += [folded[end:at], new]
+            out[which][1] = at + len(new)
+    return [folded] + ["".join(parts) + folded[end:] for parts, end in out[1:]]
+
+
 @dataclass
 class Model:
     """A fitted lexicon (word -> weight) and the curve from its features to a score."""
 
     weights: dict[str, float]
     curve: list[float]  # intercept, weight of the log of hits, weight of the log of hits per 100 words
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     _automaton: object = field(default=None, repr=False)
 
     def automaton(self):
@@ -90,27 +105,46 @@ class Model:
 
     def hits(self, folded: str) -> float:
         """Weighted whole-word hits outside exception phrases."""
-        a = self.automaton()
-        found: dict[int, float] = {}
-        spared = []
-        for end, (n, word, stem, exception) in a.iter(folded) if len(a) else ():
-            start = end - n + 1
-            if start and folded[start - 1].isalnum():
-                continue
-            whole = not folded[end + 1 : end + 2].isalnum()
-            if exception and whole:
-                spared.append((start, end))
-            weight = word if whole and word is not None else stem
-            if weight is not None:
-                found[start] = max(weight, found.get(start, 0.0))
+        found, spared = self.places(folded)
         for start, end in spared:
             for at in [x for x in found if start <= x <= end]:
                 del found[at]
-        return sum(found.values()) + sum(self._weight(w) for w in substituted(folded))
+        return sum(found.values())
 
-    def _weight(self, word: str) -> float:
-        """Weight of one whole word that is not in the text as it stands."""
-        return max([self.weights.get(e, 0.0) for e in entries(word)], default=0.0)
+    def places(self, folded: str) -> tuple[dict[int, float], list[tuple[int, int]]]:
+        """(start -> weight of lexicon words, ends of exception phrases) in all readings of a text."""
+        a = self.automaton()
+        found: dict[int, float] = {}
+        spared = []
+        for text in readings(folded) if len(a) else ():
+            for end, (n, word, stem, exception) in a.iter(text):
+                start = end - n + 1
+                if start and text[start - 1].isalnum():
+                    continue
+                whole = not text[end + 1 : end + 2].isalnum()
+                if exception and whole:
+                    spared.append((start, end))
+                weight = word if whole and word is not None else stem
+                if weight is not None:
+                    found[start] = max(weight, found.get(start, 0.0))
+        return found, spared
+
+    def phrases(self, folded: str) -> set[str]:
+        """Pairs of neighbouring words, parted by one space, of which one is a hit."""
+        out: set[str] = set()
+        found, _ = self.places(folded)
+        for text in readings(folded) if found else ():
+            for at in found:
+                own = _WORD.match(text, at)
+                if own and (own.start() == 0 or not text[at - 1].isalnum()):
+                    if text[own.end() : own.end() + 1] == " " and (after := _WORD.match(text, own.end() + 1)):
+                        out.add(text[at : after.end()])
+                    left = at - 1
+                    if left > 0 and text[left] == " " and text[left - 1].isalnum():
+                        while left and text[left - 1].isalnum():
+                            left -= 1
+                        out.add(text[left : own.end()])
+        return {p for p in out if len(p) <= 2 * LONGEST}
 
     def features(self, text: str | None) -> tuple[float, float]:
         if not text:
@@ -130,13 +164,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def entries(word: str) -> list[str]:
-    """Lexicon entries that match a word: itself and its stems."""
-    return [word, *[word[:n] + "*" for n in range(STEM[0], min(STEM[1], len(word)) + 1)]]
+    """Lexicon entries that match a word: itself, where it is not too long for one, and its stems."""
+    return [word][: len(word) <= LONGEST] + [*[word[:n] + "*" for n in range(STEM[0], min(STEM[1], len(word)) + 1)]]
 
 
 def _entries(folded: str) -> set[str]:
     """Entries that match a word of a folded text."""
-    own = {w for w in [*_WORD.findall(folded), *substituted(folded)] if 2 < len(w) < 33}
+    own = {w for w in [*_WORD.findall(folded), *(w for _, w in _unfolded(folded))] if len(w) > 2}
     return {e for w in own for e in entries(w)}
 
 
@@ -170,6 +204,18 @@ def _matrix(words: list[str]):
     return run
 
 
+def _phrases(model: Model):
+    """(toxic, phrase) of each labelled text."""
+
+    def run(batches):
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = sorted(model.phrases(fold(text or "")))
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(own), pa.int32()), pa.array(own, pa.string())], ["toxic", "phrase"])
+
+    return run
+
+
 def _features(model: Model):
     def run(batches):
         for batch in batches:
@@ -233,6 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 for i in rest:
                     covered[i] = True
         model = Model(weights, [0.0, 0.0, 0.0])
+        seen = sample.mapInArrow(_phrases(model), "toxic int, phrase string").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+        spared = seen.where((F.col("t") == 0) & (F.col("n") >= CLEAN_TEXTS)).orderBy(F.desc("n"), "phrase").limit(EXCEPTIONS).collect()
+        model = Model(weights, model.curve, tuple(r["phrase"] for r in spared))
         data = sample.mapInArrow(_features(model), "toxic int, a double, b double").toPandas()
         model.curve = logistic(data[["a", "b"]].to_numpy(), data["toxic"].to_numpy().astype(float))
         model._automaton = None
@@ -266,7 +315,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows whose text scores ``threshold`` or more; same columns."""
+    """``docs`` without the rows whose text scores ``threshold`` or more; same columns, whatever their names.
+
+    Null and empty texts score as texts without hits; repeated rows go or stay
+    together; an empty table gives an empty result.  Without a toxic or a clean
+    label every row scores the share of toxic labels.
+    """
     model = fit(docs, labels)
     schema, at = docs.schema, docs.columns.index("text")
 
