@@ -71,6 +71,18 @@ def test_jaccard_join_odd_rows(odd, none):
     assert sorted(x for x in left if x) == [1, 2, 3, 4, 7, 8] and left.count(None) == 1
 
 
+def test_jaccard_join_ties_the_texts_of_a_document(spark):
+    rng = random.Random(8)
+    b, c = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80)) for _ in range(2))
+    docs = [(5, b), (5, c), (1, b + " q"), (2, c + " q"), (7, "another text of some words"), (7, None), (9, "z")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(d, 4, Fraction(85, 100)).select("doc_id", "component_id").collect())
+    assert got == [(1, 1), (2, 1), (5, 1), (5, 1), (7, 7), (7, 7), (9, 9)]
+    twice = d.where("doc_id = 7").unionByName(d.where("doc_id = 7")).withColumn("place", F.lit("x")).withColumn("a.b", F.lit(1))
+    left = jaccard_join.drop_near_duplicates(twice)
+    assert left.columns == twice.columns and sorted(str(r["text"]) for r in left.collect()) == ["None", "another text of some words"]
+
+
 def test_rtree_loses_nothing():
     rng = np.random.default_rng(1)
     points = rng.poisson(3, (300, 16))
@@ -89,6 +101,10 @@ def test_mixing(spark, odd, none):
     assert len(plan) == len(ODD) and all(r["taken"] <= 3 * r["size"] for r in plan)
     assert mixing.mix_plan(none).count() == 0 and mixing.mix(odd).columns == odd.columns
     assert mixing.mix(odd).count() == sum(r["copies"] for r in plan)
+    clash = odd.withColumns({c: F.lit(88) for c in ("_size", "_of", "_rate", "_copy", "of", "rate", "copy", "size")})
+    mixed = mixing.mix(clash)
+    assert mixed.columns == clash.columns and mixed.where("_size <> 88 or size <> 88 or rate <> 88").isEmpty() and mixed.count() == mixing.mix(odd).count()
+    assert mixing.mix(none).count() == 0
 
 
 def test_sharding_round_trip(spark, odd, none):
@@ -100,8 +116,54 @@ def test_sharding_round_trip(spark, odd, none):
     store.append(rows.limit(5))
     assert store.read().count() == 405
     assert sharding.shard_listing(odd.drop("component_id", "n_lines")).count() == len(ODD) and sharding.shard_listing(none).count() == 0
-    with pytest.raises(ValueError):
-        sharding.shard(rows.withColumn("shard", F.lit(1)))
+    clash = rows.limit(9).withColumn("shard", F.lit(7)).withColumn("run", F.lit("r")).withColumn("run_", F.lit("s")).withColumn("v", F.lit(1)).withColumn("a.b", F.lit(2))
+    back = sharding.shard(clash).read()
+    assert back.columns == clash.columns and sorted(map(tuple, back.collect())) == sorted(map(tuple, clash.collect()))
+
+
+def test_dead_attempts_leave_no_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(400)], "doc_id long, text string")
+    store = sharding.shard(rows.limit(0), None, arrival_bytes=2000, target_bytes=16000)
+    commit = store._commit
+
+    def dies(*_):
+        raise OSError("lost")
+
+    for step in (lambda: store.append(rows), store.compact):
+        before = store.version()
+        monkeypatch.setattr(store, "_commit", dies)
+        with pytest.raises(OSError, match="lost"):
+            step()
+        assert store.version() == before
+        monkeypatch.setattr(store, "_commit", commit)
+        step()
+        assert store.version() == before + 1 and sorted(map(tuple, store.read().collect())) == sorted(map(tuple, rows.collect()))
+    write, n = store._write, iter(range(9))
+    store.append(rows)
+    monkeypatch.setattr(store, "_write", lambda *a: dies() if next(n) == 2 else write(*a))
+    with pytest.raises(OSError, match="lost"):  # between two passes of a compaction
+        store.compact()
+    monkeypatch.setattr(store, "_write", write)
+    store.compact()
+    store.vacuum()
+    assert store.read().count() == 800
+
+
+def test_two_writers(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    one = sharding.shard(rows)
+    two = sharding.ShardStore(spark, one.path)
+    commit = two._commit
+
+    def late(*a):
+        two._commit = commit
+        one.append(rows)  # wins the version that the other has prepared
+        commit(*a)
+
+    two._commit = late
+    with pytest.raises(Exception, match="already exists|FileAlreadyExists"):
+        two.append(rows)
+    assert one.read().count() == 4 and two.append(rows) == 3 and one.read().count() == 6
 
 
 def test_commit_is_exclusive(spark):
@@ -198,6 +260,33 @@ def test_html():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<script>1</script>") == ""
 
 
+def test_html_wrappers_with_doubtful_names():
+    t = "The quick brown fox jumped over the lazy dogs and went home again after a long day. " * 4
+    one = t.strip()
+    wrapped = [f'<div class="widget post"><p>{t}</p><div class="ad">buy</div><p>{t}</p></div>', f'<body><div id="related-article-wrapper"><p>{t}</p><p>{t}</p></div><div class=footer>x</div>']
+    assert [html_text.extract(x) for x in wrapped] == [f"{one} {one}"] * 2
+    assert html_text.extract(f"<article><p>Short one.</p></article><div class=related><p>{t}</p><p>{t}</p></div>") == "Short one."
+    assert html_text.extract(f"<article><p>{t}</p><div class=comments><p>{t}</p><p>{t}</p></div></article>") == one
+    parts = f"<div class=section><p>{t}</p><p>{t}</p></div><div class=section><p>{t}</p></div>"
+    assert html_text.extract(f"<body><div id=content>{parts}</div><div>(c) me</div>") == html_text.extract(f"<main><article><p>{t}</p><p>{t}</p></article><p>{t}</p></main>") == " ".join([one] * 3)
+
+
+def test_html_nesting_is_linear():
+    import time
+
+    for page in ("<div>" * 40_000 + "text here. " * 20, "<b><i>" * 20_000 + "text" + "</b>" * 20_000 + "</i></q>" * 20_000, "<p>" * 40_000 + "text", "<table><tr><td>" * 20_000 + "text"):
+        began = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - began < 10
+
+
+def test_html_empty_table_and_other_columns(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    assert html_text.extract_pages(spark.createDataFrame([], schema)).count() == 0
+    got = html_text.extract_pages(spark.createDataFrame([(1, "u", "<p>a</p>", "clash", 9)], schema)).collect()
+    assert [tuple(r) for r in got] == [(1, "u", "a", 1)]
+
+
 def test_html_rows(spark):
     rows = [(1, "u", None), (1, "u", ""), (2, None, "<p>a</p>")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -230,4 +319,35 @@ def test_toxicity(spark, odd, none):
     assert held and sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.95 * len(held)
     assert toxicity.score_toxicity(odd, y, model=model).count() == len(ODD)
     assert toxicity.score_toxicity(none, y).count() == 0 and toxicity.score_toxicity(odd, y.limit(0)).count() == len(ODD)
-    assert toxicity.Model({"clown": 5.0}, [0.0, 1.0, 1.0]).hits("a clown fish") == 0 and toxicity.Model({"clown": 5.0}, [0.0, 1.0, 1.0]).hits("a clown") == 5.0
+    one = toxicity.Model({"clown": 5.0, "idiot*": 4.0, "ass": 3.0}, [0.0, 1.0, 1.0], ("clown fish",))
+    assert one.hits("a clown fish") == one.hits("a cl0wn fish") == one.hits("a cl0wn f1sh") == 0 and one.hits("a clown") == one.hits("a cl0wn!!") == 5.0
+    assert one.hits("you-1d10t") == one.hits("(1d10t-face)") == one.hits("@1d10t$ 55") == one.hits("x " * 100 + "!d10ts" + "y" * 100) == 4.0 and one.hits("a$$") == one.hits("a$$!") == 3.0
+    assert toxicity.readings("w0rd @1d10t!") == ["w0rd @1d10t!", "word aidiot!", "w0rd @idiot!"] and toxicity.readings("one, two! 3") == ["one, two! 3"]
+
+
+def test_toxicity_learns_exceptions(spark):
+    rng, docs, labels = random.Random(2), [], []
+    for i in range(800):
+        w = rng.choices([f"word{i}" for i in range(50)], k=40)
+        if i % 5 == 0:
+            w[20] = "zorkel"
+        elif i % 25 == 1:
+            w[20:22] = ["zorkel", "fish"]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "zorkel fish" in model.exceptions and model.hits("a zorkel fish swims") == 0 < model.hits("a zorkel swims")
+
+
+def test_toxicity_automaton_equals_brute_force():
+    rng = random.Random(6)
+    weights = {"bad": 1.0, "worse*": 2.0, "ugly": 3.0, "uglyish*": 5.0}
+    model = toxicity.Model(weights, [0.0, 1.0, 1.0], ("bad day",))
+    for _ in range(300):
+        words = rng.choices(["bad", "worse", "worsening", "worseness", "ugly", "uglyish", "uglyishness", "day", "xbad", "badx", "fine"], k=12)
+        want, i = 0.0, 0
+        for i, w in enumerate(words):
+            if w == "bad" and words[i + 1 : i + 2] == ["day"]:
+                continue
+            want += max([x for e, x in weights.items() if w == e or e.endswith("*") and w.startswith(e[:-1])], default=0.0)
+        assert model.hits(" ".join(words)) == want
