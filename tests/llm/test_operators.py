@@ -182,9 +182,12 @@ def test_line_dedup(spark, odd, none):
 
 def test_line_dedup_simhash(spark):
     rows = line_dedup.simhashed(line_dedup.lines_of(spark.createDataFrame([(1, "a b c d e f\n" + "x y " * 40_000)], "doc_id long, text string")))
-    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", None)], "w string, x string")
-    hashes = [r[0] for r in pairs.select(F.xxhash64("w", "x")).collect()]
-    want = sum(1 << i for i in range(64) if 2 * sum((h >> i) & 1 for h in hashes) > len(hashes))
+    # votes of the words: longer ones first, then by hash, again from the first up to 15
+    hashes = {r["w"]: r["h"] % 2**64 >> 5 for r in spark.createDataFrame([(w,) for w in "abcdef"], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    votes = sorted(5 << 59 | h for h in hashes.values())
+    votes = [votes[i % 6] for i in range(15)]
+    bits = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(votes)], "i int, v long").orderBy("i").select(F.xxhash64("v")).collect()]
+    want = sum(1 << i for i in range(64) if sum((h >> i) & 1 for h in bits) >= 8)
     got = {r["pos"]: r["sim"] for r in rows.collect()}
     assert got[0] % 2**64 == want and len(got) == 2
 
@@ -213,6 +216,49 @@ def test_line_dedup_recall(spark):
         assert got <= {(i, 1000 + i) for i in range(200)} and len(got) >= least
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_drops_what_brute_force_drops(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(900)]
+    docs, base = [], [rng.choices(vocabulary, k=rng.choice([5, 12, 30])) for _ in range(25)]
+    for i in range(90):
+        lines = []
+        for _ in range(3):
+            w = list(rng.choice(base)) if rng.random() < 0.6 else rng.choices(vocabulary, k=14)
+            for at in rng.sample(range(len(w)), rng.choice([0, 0, 1, len(w) // 12])):  # up to a tenth of the words, by a letter or whole
+                w[at] = rng.choice(vocabulary) if rng.random() < 0.3 else w[at][:-1] + "q"
+            lines.append(" ".join(w))
+        docs.append((i, "\n".join(lines)))
+    spots = [(i, pos, line) for i, t in docs for pos, line in enumerate(t.split("\n"))]
+    parent = list(range(len(spots)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for y, (_, _, two) in enumerate(spots):
+        for x, (_, _, one) in enumerate(spots[:y]):
+            most = max(len(one), len(two)) // 10
+            if find(x) != find(y) and abs(len(one) - len(two)) <= most and edit_distance(one, two) <= most:
+                a, b = sorted((find(x), find(y)))
+                parent[b] = a
+    want = {spots[x][:2] for x in range(len(spots)) if find(x) != x}
+    got = {(r["doc_id"], r["pos"]) for r in line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(want) > 80 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_line_dedup_rows_of_one_document(spark):
+    a, b = "one line of this text that comes twice", "another line that stands nowhere else at all"
+    rows = [(1, a), (2, b), (2, a), (2, a), (3, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_gone", "_id", "row", "at", "other", "pos")})
+    got = line_dedup.dedup_lines(d)
+    assert set(d.columns) <= set(got.columns) and sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, a), (2, ""), (2, ""), (2, b), (3, "x")]
+
+
 def test_decontamination(spark, odd, none):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(3000)]
