@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 from .scratch import ready
 
 #: Kinds in the order that breaks ties of position; the first four have the base definitions.
-KINDS = ("email", "ip", "card", "phone", "account", "masked", "url")
+KINDS = ("email", "ip", "card", "phone", "account", "masked", "url", "secret")
 #: Words that announce an account number, key or document number.
-CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "ssn", "passport", "api_key", "api key", "apikey", "secret_key", "access_token", "password")
+CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "ssn", "passport")
+#: Words that announce a secret.
+SECRETS = ("api_key", "api-key", "api key", "apikey", "secret", "secret_key", "client_secret", "token", "access_token", "auth_token", "bearer", "password", "passwd", "private_key")
+#: Characters of a secret at least, and different ones among them: what a word or a number has not.
+SECRET_LENGTH, SECRET_SIGNS = 12, 8
 #: Bracketed at-signs of masked addresses.
 MASKS = ("[at]", "(at)", "{at}")
 
@@ -32,6 +36,7 @@ _IP_RUN = re.compile(r"[0-9.]+")
 _CARD_RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _PHONE_RUN = re.compile(r"\+[0-9][\x20().0-9-]+")
 _VALUE = re.compile(r"\W{0,4}(?:(?:no|nr|number|is)\b\W{0,3})?([A-Za-z0-9][A-Za-z0-9-]*(?: [A-Z0-9]{2,4}\b)*)")
+_SECRET = re.compile(r"['\"]?(?:[\x20\t]{0,3}[=:][\x20\t]{0,3}|[\x20\t]{1,3}(?:is[\x20\t]{1,3})?)['\"]?([A-Za-z0-9_+/.=~-]+)")
 _MASKED = re.compile(r"[\[({]at[\])}] ?([A-Za-z0-9-]+(?: ?(?:\.|[\[({]dot[\])}]) ?[A-Za-z0-9-]+)+)", re.I)
 _SCHEME = frozenset(string.ascii_letters + string.digits + "+.-")
 _URL_END = re.compile(r"[\s<>\"'`{}|\\^]")
@@ -61,6 +66,9 @@ def automaton():
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
             a.add_word(form, ("cue", len(form)))
+    for cue in SECRETS:
+        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
+            a.add_word(form, ("secret", len(form)))
     for mask in MASKS:
         for form in {mask, mask.upper()}:
             a.add_word(form, ("mask", len(form)))
@@ -94,10 +102,21 @@ def _account(text: str, end: int) -> Span | None:
     return m.start(1), 4, m.end(1)
 
 
+def _secret(text: str, end: int) -> Span | None:
+    """A value after a cue that mixes letters and digits as no word does."""
+    m = _SECRET.match(text, end)
+    if not m:
+        return None
+    value = m.group(1).rstrip(".")
+    if len(value) < SECRET_LENGTH or len(set(value)) < SECRET_SIGNS or value.isdigit() or not any(c in _DIGITS for c in value):
+        return None
+    return m.start(1), 7, m.start(1) + len(value)
+
+
 def spans(text: str, anchors) -> list[Span]:
     """All spans of a text by start, then kind."""
     found: list[Span] = []
-    email_end = ip_end = card_end = url_end = 0
+    email_end = ip_end = card_end = url_end = secret_end = 0
     for last, (what, length) in anchors.iter(text):
         at = last - length + 1
         if what == "digit":
@@ -131,6 +150,11 @@ def spans(text: str, anchors) -> list[Span]:
             before, after = text[at - 1 : at], text[last + 1 : last + 2]
             if not before.isalnum() and not after.isalnum() and (s := _account(text, last + 1)):
                 found.append(s)
+        elif what == "secret":
+            before, after = text[at - 1 : at], text[last + 1 : last + 2]
+            if not before.isalnum() and not after.isalnum() and after not in ("_", "-") and last >= secret_end and (s := _secret(text, last + 1)):
+                found.append(s)
+                secret_end = s[2]
         elif what == "mask":
             left = at - (text[at - 1 : at] == " ")
             start = left
@@ -156,34 +180,38 @@ def _joined(found: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
+_COLUMNS = ["doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", *[f"n_{k}" for k in KINDS[4:]]]
+
+
 def _run(batches):
     anchors = automaton()
     for batch in batches:
-        counts, base, every = [[], [], [], []], [], []
+        counts, base, every = [[] for _ in KINDS], [], []
         for text in batch.column(1).to_pylist():
             found = spans(text, anchors) if text else []
             own = [s for s in found if s[1] < 4]
-            for k in range(4):
-                counts[k].append(sum(s[1] == k for s in own))
+            for k in range(len(KINDS)):
+                counts[k].append(sum(s[1] == k for s in found))
             base.append(hashlib.sha256(_joined(own).encode()).hexdigest())
             every.append(_joined(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, pa.string()), pa.array(every, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts[:4]], pa.array(base, pa.string()), pa.array(every, pa.string()), *[pa.array(c, pa.int64()) for c in counts[4:]]], _COLUMNS)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_account, n_masked, n_url, n_secret) for every row of ``docs``.
 
     Base kinds are leftmost and do not overlap within a kind:
     email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``;
     ip ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)`` with parts of at most 255;
     card ``[0-9]([\\x20-]?[0-9])+`` with 14 to 19 digits that pass Luhn;
     phone ``\\+[0-9][\\x20().0-9-]+[0-9]`` with 10 to 15 digits.  The method
-    adds accounts after a cue word, addresses with a bracketed at, and URLs.
+    adds accounts and secrets after a cue word, addresses with a bracketed at, and URLs.
     ``spans`` joins kind:start:end (code points, end exclusive) by comma, by
     start, then kind; base_sha256 is the SHA-256 of the base ones so joined.
     Null and empty texts have no span.  One pass, no shuffle; repeated rows
-    give repeated results; other columns are ignored.
+    give repeated results; a null doc_id stays null; other columns are ignored;
+    an empty table gives an empty result.
     """
     ready(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(_run, ", ".join(f"{c} {'string' if c in ('base_sha256', 'spans') else 'long'}" for c in _COLUMNS))

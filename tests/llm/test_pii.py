@@ -51,3 +51,32 @@ def test_extra_spans():
     assert (6, 4, 28) in spans("IBAN: DE89 3704 0044 0532 0130 00", A) or any(s[1] == 4 for s in spans("IBAN: DE89 3704 0044 0532 0130 00", A))
     assert any(s[1] == 5 for s in spans("write joe.x [at] mail [dot] org now", A))
     assert [s for s in spans("see https://a.b/c?d=1, ok", A) if s[1] == 6] == [(4, 6, 21)]
+
+
+def test_secrets():
+    hexes = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"
+    for text in (f'a token = "{hexes}" b', f"TOKEN: {hexes}.", f"access_token={hexes}", f"Authorization: Bearer {hexes}", f"the password is {hexes}"):
+        assert [text[s[0] : s[2]] for s in spans(text, A) if s[1] == 7] == [hexes]
+    for text in ("the token of appreciation", "token = 123456789012345678", "tokens = " + hexes, "secret: aaaa1111aaaa1111", "token" * 50_000):
+        assert not [s for s in spans(text, A) if s[1] == 7]
+
+
+def test_rows_and_counts(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from radloom.llm.pii import KINDS, find_pii
+
+    planted = 'Write a.b@c.org or +1 (555) 123-4567, from 10.0.0.1 \U0001f600 card 4111 1111 1111 1111, token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"'
+    texts = [(1, planted), (1, planted), (2, None), (3, ""), (None, "x@y.z"), (4, ("word " * 60_000) + planted)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(9) for c in ("spans", "n_email", "source")})
+    got = find_pii(d).collect()
+    assert len(got) == len(texts) and find_pii(d.limit(0)).count() == 0
+    key = lambda x: (str(x[0]), str(x[1]))
+    for r, (i, text) in zip(sorted(got, key=lambda r: (str(r["doc_id"]), r["n_email"])), sorted(texts, key=key), strict=True):
+        found = spans(text, A) if text else []
+        joined = lambda x: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in x)
+        assert r["doc_id"] == i and r["spans"] == joined(found) and r["base_sha256"] == hashlib.sha256(joined(brute(text or "")).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(s[1] == n for s in found) for n in range(len(KINDS))]
+    assert [r["n_secret"] for r in got if r["doc_id"] in (1, 4)] == [1, 1, 1]
