@@ -18,6 +18,11 @@ def revcomp(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGT", "TGCA"))
 
 
+def revcomp_text(seq: str) -> str:
+    """Reverse complement of a constant, two-base codes included."""
+    return seq.translate(str.maketrans("ACGTRYKM", "TGCAYRMK"))[::-1]
+
+
 def revcomp_coded(seq: Column) -> Column:
     """Reverse complement of consensus text: codes and phase case kept."""
     return F.reverse(F.translate(seq, "ACGTRYKMrykm", "TGCAYRMKyrmk"))
@@ -47,16 +52,35 @@ def last_at(seq: Column, pattern: str) -> Column:
     return F.when(found > 0, F.length(seq) - found - len(pattern) + 2).otherwise(0)
 
 
-def adapter_cut(seq: Column, cut: str, strict: int = 1) -> Column:
-    """Bases to keep before an adapter; null if there is none.
+def resolutions(cut: str) -> list[str]:
+    """A cut site as plain bases: itself, or both readings of its two-base code."""
+    return [cut.replace(code, base) for code, pair in PAIRS.items() if code in cut for base in pair] or [cut]
+
+
+def adapter_cut(seq: Column, cut: str, strict: int = 1, mate: int = 0) -> Column:
+    """Where to cut before an adapter, from 0 and null for none; below 0 it counts from the end, as ``until`` reads it.
 
-    The last cut site followed by the adapter's first bases decides, then the
-    last adapter core less the cut site's length and one; a hit at the very
-    start counts as none.
+    The last cut site followed by the adapter's first bases decides, of both
+    readings of a coded site the left one; then the last adapter core less the
+    cut site and a base; then a cut site in the last bases.  A hit at the very
+    start counts as none.  ``mate`` is 0 for single reads; mates of a pair look
+    for one base more beside coded sites (1) and for a run of A (2).
     """
-    site = F.nullif(F.greatest(last_at(seq, cut + ("AGA" if strict == 1 else "A")) - 1, F.lit(0)), F.lit(0))
-    core = F.nullif(F.greatest(last_at(seq, "AGATCGGA" if strict == 1 else "AGATCG") - 1 - (len(cut) + 1), F.lit(0)), F.lit(0))
-    return F.coalesce(site, core)
+    sites = resolutions(cut)
+    if mate == 2:
+        looked = sites if strict == 2 else ["A" * 50]
+    else:
+        looked = [x + ("A" if strict == 2 else "AGAT" if mate and len(sites) > 1 else "AGA") for x in sites]
+    found = [F.when(last_at(seq, x) > 1, last_at(seq, x) - 1) for x in looked]
+    core = last_at(seq, "AGATCG" if strict == 2 else "AGATCGGA")
+    back = len(cut) + (6 if mate == 2 else 1)
+    end = F.when(F.contains(F.right(seq, F.lit(len(cut) + 5)), F.lit(cut)) & (last_at(seq, cut) > 1), last_at(seq, cut) - 1)
+    return F.coalesce(F.least(*found) if len(found) > 1 else found[0], F.when((core > 0) & (core - 1 != back), core - 1 - back), end)
+
+
+def until(seq: Column, at: Column) -> Column:
+    """``seq`` up to a place from 0; below 0 from the end; whole where it is null."""
+    return F.when(at.isNull(), seq).otherwise(F.substr(seq, F.lit(1), F.greatest(F.when(at < 0, F.length(seq) + at).otherwise(at), F.lit(0))))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -67,7 +91,32 @@ def hamming(a: Column, b: Column) -> Column:
 
 def trim_ends(seq: Column) -> Column:
     """Consensus without N at its ends."""
-    return F.trim(F.lit("N"), seq)
+    return F.trim(seq, F.lit("N"))
+
+
+def first_base(seq: Column) -> Column:
+    """Place of the leftmost base from 0; the length where there are only gaps."""
+    return F.length(seq) - F.length(F.ltrim(seq, F.lit("-")))
+
+
+def last_base(seq: Column) -> Column:
+    """Place behind the rightmost base; 1 where there are only gaps."""
+    return F.greatest(F.length(F.rtrim(seq, F.lit("-"))), F.lit(1))
+
+
+def first_mate(seq: Column) -> Column:
+    """What stands before the separator of mates."""
+    return F.split_part(seq, F.lit("nn"), F.lit(1))
+
+
+def without_site(seq: Column, cut: str, second: str = "") -> Column:
+    """``seq`` without the cut site it begins with and, for merged reads, the one it ends with."""
+    return F.substr(seq, F.lit(len(cut) + 1), F.greatest(F.length(seq) - len(cut) - len(second), F.lit(0)))
+
+
+def sample_name(file: Column) -> Column:
+    """Name of a sample from its file: folders, suffixes of FASTQ files and mate marks go."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(file, r"^.*/", ""), r"(?i)(\.(fastq|fq|gz))+$", ""), r"_R[12](?=_|\.|$)", "")
 
 
 def drop_repeat_n(seq: Column) -> Column:

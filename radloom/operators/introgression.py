@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radloom.operators.loci import alleles
@@ -62,10 +64,11 @@ def bootstrap(loci: DataFrame, replicates: int = 50, seed: str = "") -> DataFram
     A draw's locus is found by an equality join on its number; the draws are
     generated on the executors and aggregated before the shuffle.
     """
-    from pyspark.sql import Window
-
-    numbered = loci.withColumn("k", F.row_number().over(Window.orderBy("xlocus")) - 1)
-    n = loci.count()
+    n, top = loci.agg(F.count("*"), F.max("xlocus")).first()
+    # numbers in two steps, within ranges of locus numbers and over these, so that no task holds all loci
+    x = loci.withColumn("part", F.floor(F.col("xlocus") * 64 / ((top or 0) + 1)))
+    ahead = x.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    numbered = x.join(ahead, "part").withColumn("k", F.col("ahead") + F.row_number().over(Window.partitionBy("part").orderBy("xlocus")) - 1)
     draws = loci.sparkSession.range(replicates * n).select((F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("j"))
     k = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("rep").cast("string"), F.lit("-"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % n
     times = draws.select("rep", k.alias("k")).groupBy("rep", "k").agg(F.count("*").alias("t"))
@@ -101,6 +104,63 @@ def foil(patterns: DataFrame, terminal: bool = True) -> DataFrame:
     return pattern_statistics(patterns, {k: (keep(a), keep(b)) for k, (a, b) in FOIL.items()})
 
 
-def signs(z: list[Column], cut: float = 3.5) -> Column:
-    """'+', '-' or '0' for each Z score."""
-    return F.concat(*[F.when(x > cut, "+").when(x < -cut, "-").otherwise("0") for x in z])
+def signs(z: list[Column], d: list[Column], cut: float = 3.5) -> Column:
+    """'+', '-' or '0' for each Z score above the cut, by the sign of its D."""
+    return F.concat(*[F.when(x <= cut, "0").when(y > 0, "+").otherwise("-") for x, y in zip(z, d, strict=True)])
+
+
+def poisson_steps(most: int = 12) -> list[float]:
+    """Distribution function of the Poisson law of mean 1 at 0 to ``most``."""
+    out, p = [], math.exp(-1)
+    for k in range(most + 1):
+        out.append((out[-1] if out else 0.0) + p)
+        p /= k + 1
+    return out
+
+
+def sides(patterns: DataFrame, which: dict) -> DataFrame:
+    """One row a locus with the pattern counts of both sides of each statistic: l_name, r_name."""
+    count = lambda p: F.sum(F.when(F.col("pattern").isin(*p), F.col("n")).otherwise(0))
+    return patterns.groupBy("xlocus").agg(*[count(p).alias(f"{side}_{k}") for k, v in which.items() for side, p in zip("lr", v, strict=True)])
+
+
+def z_scores(loci: DataFrame, names: list[str], replicates: int = 50, seed: str = "") -> DataFrame:
+    """One row: d_name and z_name of each statistic, from its l_name and r_name a locus.
+
+    Z is D over the population deviation of its replicates, without sign; 0
+    where the deviation is under 1e-5.  In a replicate each locus comes as
+    often as the Poisson law of mean 1 says for a hash of replicate and locus:
+    loci drawn with replacement, but without a number for each locus, a join
+    or a shuffle of draws.
+    """
+    columns = [f"{side}_{k}" for k in names for side in "lr"]
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("rep").cast("string"), F.lit("-"), F.col("xlocus").cast("string"))), 1, 8), 16, 10).cast("long") / float(2**32)
+    often = sum(((F.col("u") >= x).cast("int") for x in poisson_steps()), F.lit(0))
+    x = loci.select("xlocus", *columns, F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("rep"))
+    x = x.withColumn("u", draw).withColumn("t", F.when(F.col("rep") == 0, 1).otherwise(often))  # replicate 0 is the data
+    sums = x.groupBy("rep").agg(*[F.sum(F.col("t") * F.col(c)).alias(c) for c in columns])
+    d = lambda k: F.coalesce(F.try_divide(F.col(f"l_{k}") - F.col(f"r_{k}"), F.col(f"l_{k}") + F.col(f"r_{k}")), F.lit(0.0))
+    sums = sums.select("rep", *[d(k).alias(k) for k in names])
+    own = lambda k: F.max(F.when(F.col("rep") == 0, F.col(k)))
+    sd = lambda k: F.stddev_pop(F.when(F.col("rep") > 0, F.col(k)))
+    return sums.agg(*[c for k in names for c in (F.round(own(k), 6).alias(f"d_{k}"), F.round(F.when(sd(k) < 1e-5, 0.0).otherwise(F.abs(own(k)) / sd(k)), 4).alias(f"z_{k}"))])
+
+
+def group_frequencies(sites: DataFrame, tests: DataFrame) -> DataFrame:
+    """(test_id, xlocus, abba, baba) of D tests with groups: ``tests`` (test_id, role, taxon) names the taxa of p1, p2, p3 and o.
+
+    The derived base is the commonest in p3 that o lacks, ties by base; sites
+    where a role has no base do not count.  ``tests`` is the specification of a
+    run: the planner sees its size.
+    """
+    n = alleles(sites).join(tests, "taxon").groupBy("test_id", "xlocus", "pos", "allele").agg(*[F.count_if(F.col("role") == r).alias(r) for r in ("p1", "p2", "p3", "o")])
+    best = F.min(F.when((F.col("p3") > 0) & (F.col("o") == 0), F.struct((-F.col("p3")).alias("m"), "allele", "p1", "p2", "p3")))
+    x = n.groupBy("test_id", "xlocus", "pos").agg(*[F.sum(r).alias(f"n_{r}") for r in ("p1", "p2", "p3", "o")], best.alias("best")).where("best is not null and n_p1 > 0 and n_p2 > 0 and n_o > 0")
+    f1, f2, f3 = (F.col(f"best.{r}") / F.col(f"n_{r}") for r in ("p1", "p2", "p3"))
+    return x.groupBy("test_id", "xlocus").agg(F.sum((1 - f1) * f2 * f3).alias("abba"), F.sum(f1 * (1 - f2) * f3).alias("baba"))
+
+
+def test_results(loci: DataFrame) -> DataFrame:
+    """(test_id, loci, abba, baba, d, pdisc): a result line a test, and the share of loci with unequal sums."""
+    a, b = F.sum("abba"), F.sum("baba")
+    return loci.groupBy("test_id").agg(F.count("*").alias("loci"), F.round(a, 6).alias("abba"), F.round(b, 6).alias("baba"), F.round(F.coalesce(F.try_divide(a - b, a + b), F.lit(0.0)), 6).alias("d"), F.round(F.count_if(F.abs(F.col("abba") - F.col("baba")) > 1e-9) / F.count("*"), 6).alias("pdisc"))

@@ -34,7 +34,7 @@ def site_class(sites: DataFrame) -> DataFrame:
     Raw symbols decide whether a column varies, so one code in all taxa does not.
     One shuffle: the alleles of a column are an array of at most two a taxon.
     """
-    known = F.when(~F.col("base").isin("N", "-"), F.col("base"))
+    known = F.when(~F.col("base").isin("N", "-"), F.upper("base"))  # phase by case is no difference
     both = F.flatten(F.collect_list(F.when(known.isNull(), F.array().cast("array<string>")).when(F.upper("base").isin(*dna.CODES), F.array(dna.haplotype(F.col("base"), 1), dna.haplotype(F.col("base"), 2))).otherwise(F.array("base"))))
     x = sites.groupBy("xlocus", "pos").agg(F.count_distinct(known).alias("symbols"), both.alias("a"))
     twice = sum(((F.size(F.filter("a", _is(b))) > 1).cast("int") for b in "ACGT"), F.lit(0))
@@ -58,6 +58,47 @@ def locus_flags(summary: DataFrame, min_samples: int = 4, max_shared: int = 3, m
     return kept.withColumn("flags", flag)
 
 
+def window_flags(sites: DataFrame, classes: DataFrame, bounds: DataFrame, max_shared: float = 3, max_snps: int = 20, max_indels: int = 3, least: int = 32, share: bool = False) -> DataFrame:
+    """(xlocus, ntaxa, length, nsnp, maxgaps, maxhet, flags) with SNPs, gaps and length counted between the ``bounds`` (xlocus, first, last) of the overhang.
+
+    With ``share``, shared heterozygotes are bounded by ``max_shared`` times the
+    taxa.  One aggregate a column, then one a locus: gaps are summed by taxon in maps of a locus's taxa.
+    """
+    inside = F.col("pos").between(F.col("first"), F.col("last"))
+    het = [F.count_if(F.upper("base") == c) for c in dna.CODES]
+    per = sites.join(bounds, "xlocus").groupBy("xlocus", "taxon").agg(F.count_if(inside & (F.col("base") == "-")).alias("gaps"), F.count_if(F.col("base") != "N").alias("called"))
+    taxa = per.groupBy("xlocus").agg(F.count_if(F.col("called") > 0).alias("ntaxa"), F.max("gaps").alias("maxgaps"))
+    most = sites.groupBy("xlocus", "pos").agg(F.greatest(*het).alias("h")).groupBy("xlocus").agg(F.max("h").alias("maxhet"))
+    snp = classes.join(bounds, "xlocus").where(inside).groupBy("xlocus").agg(F.count_if(F.col("cls") != " ").alias("nsnp"), F.count("*").alias("length"))
+    limit = F.lit(max_shared) * F.col("ntaxa") if share else F.lit(max_shared)
+    flag = F.concat(F.when(F.col("maxhet") > limit, "%P").otherwise(""), F.when((F.col("nsnp") > max_snps) | (F.col("length") < least), "%S").otherwise(""), F.when(F.col("maxgaps") > max_indels, "%I").otherwise(""))
+    return taxa.join(most, "xlocus").join(snp, "xlocus").select("xlocus", "ntaxa", "length", "nsnp", "maxgaps", "maxhet", flag.alias("flags"))
+
+
+def duplicate_taxa(members: DataFrame) -> DataFrame:
+    """(xlocus, flags): %D for loci in which a taxon stands twice."""
+    n = members.groupBy("xlocus").agg(F.count("*").alias("n"), F.count_distinct("taxon").alias("k"))
+    return n.select("xlocus", F.when(F.col("n") > F.col("k"), "%D").otherwise("").alias("flags"))
+
+
+def taxon_roles(names: DataFrame, subset: str = "", exclude: tuple[str, ...] = (), outgroup: tuple[str, ...] = ()) -> DataFrame:
+    """(name, ingroup) of the taxa in use: those that hold ``subset``, without the excluded; the outgroup is no ingroup."""
+    kept = names.select("name").distinct().where(F.contains("name", F.lit(subset)) & ~F.col("name").isin(*exclude))
+    return kept.select("name", (~F.col("name").isin(*outgroup)).alias("ingroup"))
+
+
+def ingroup_loci(members: DataFrame, roles: DataFrame, least: int) -> DataFrame:
+    """(xlocus, ingroup) of loci with ``least`` members of the ingroup, two at least."""
+    n = members.join(roles, "name").groupBy("xlocus").agg(F.count_if("ingroup").alias("ingroup"))
+    return n.where(F.col("ingroup") >= max(2, least))
+
+
+def commonest(sites: DataFrame) -> DataFrame:
+    """(xlocus, pos, base): the commonest symbol of each column, of equally common ones that of the first taxon."""
+    n = sites.groupBy("xlocus", "pos", "base").agg(F.count("*").alias("n"), F.min("taxon").alias("first"))
+    return n.groupBy("xlocus", "pos").agg(F.min(F.struct((-F.col("n")).alias("m"), "first", "base"))["base"].alias("base"))
+
+
 def stage_totals(flagged: DataFrame) -> DataFrame:
     """Loci by reason of exclusion and loci kept."""
     return flagged.agg(F.count("*").alias("loci"), F.count_if(F.col("flags").contains("%P")).alias("npara"), F.count_if(F.col("flags").contains("%S")).alias("nmsnp"), F.count_if(F.col("flags").contains("%I")).alias("nindel"), F.count_if(F.col("flags") == "").alias("nloci"))
@@ -97,11 +138,11 @@ def snps(sites: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def unlinked_snps(sites: DataFrame, classes: DataFrame, seed: int = 112233) -> DataFrame:
-    """(xlocus, pos): one variable site a locus: two alleles if there is such, most taxa, then a hashed order."""
+    """(xlocus, pos): one variable site a locus: of those of greatest coverage one of two alleles if there is such, then in a hashed order."""
     n = allele_counts(sites).groupBy("xlocus", "pos").agg(F.count("*").alias("alleles"))
     cover = sites.groupBy("xlocus", "pos").agg(F.sum(F.when(F.col("base") == "N", 0).when(F.col("base") == "-", 1).otherwise(2)).alias("cover"))
     tie = F.md5(F.concat(F.lit(f"{seed}-"), F.col("xlocus").cast("string"), F.lit("-"), F.col("pos").cast("string")))
-    x = classes.where("cls <> ' '").join(n, ["xlocus", "pos"]).join(cover, ["xlocus", "pos"]).withColumn("order", F.struct((F.col("alleles") > 2).cast("int").alias("m"), (-F.col("cover")).alias("c"), tie.alias("t"), "pos"))
+    x = classes.where("cls <> ' '").join(n, ["xlocus", "pos"]).join(cover, ["xlocus", "pos"]).withColumn("order", F.struct((-F.col("cover")).alias("c"), (F.col("alleles") > 2).cast("int").alias("m"), tie.alias("t"), "pos"))
     return x.groupBy("xlocus").agg(F.min("order")["pos"].alias("pos"))
 
 
@@ -120,7 +161,7 @@ def geno_rows(sites: DataFrame) -> DataFrame:
     one, two = dna.haplotype(F.col("base"), 1), dna.haplotype(F.col("base"), 2)
     known = ~F.col("base").isin("N", "-")
     ref = F.min_by(F.when(known, one), F.when(known, F.col("taxon")))
-    refs = sites.groupBy("xlocus", "pos").agg(ref.alias("ref"), F.count_distinct(F.when(known, F.col("base"))).alias("symbols")).where("symbols > 1").drop("symbols")
+    refs = sites.groupBy("xlocus", "pos").agg(ref.alias("ref"), F.count_distinct(F.when(known, F.upper("base"))).alias("symbols")).where("symbols > 1").drop("symbols")
     geno = F.when(~known, 9).otherwise((one == F.col("ref")).cast("int") + (two == F.col("ref")).cast("int"))
     return sites.join(refs, ["xlocus", "pos"]).select("xlocus", "pos", "taxon", geno.alias("geno"))
 

@@ -26,6 +26,80 @@ def barcode_before_cut(seq: Column, cut: str) -> Column:
     return F.when(F.size(parts) == 2, parts[0]).when(F.size(parts) > 2, F.concat(parts[0], F.lit(cut), parts[1]))
 
 
+def edit_pairs(mates: DataFrame, cut: str = "TGCAG", second: str = "", strict: int = 1, most_n: int = 4, trimkeep: int = 0, datatype: str = "pairddrad") -> DataFrame:
+    """(read_id, kind, seq) of quality-masked mates (read_id, s1, s2): joined pairs, and what adapters leave of the others.
+
+    ``pair``: first mate without its last base, nnnn, second mate reversed.
+    ``trim1``: a trimmed first mate beside a placeholder; ``trim2``: for pairgbs
+    the trimmed second mate too.  Mates of which the first has too many N or is
+    short go; for pairgbs the second is cut to the first's length and counts too.
+    """
+    site2, skip = (dna.revcomp_text(second), 0) if second else (dna.revcomp_text(cut), 1)
+    site1, least = dna.revcomp_text(cut), max(32, trimkeep)
+    count_n = lambda c: F.length(c) - F.length(F.replace(c, F.lit("N"), F.lit("")))
+    x = mates.where((count_n(F.col("s1")) <= most_n) & (F.length("s1") >= least)).select("read_id", "s1", F.substr("s2", F.lit(1), F.length("s1")).alias("s2") if datatype == "pairgbs" else F.col("s2"))
+    if datatype == "pairgbs":
+        x = x.where(count_n(F.col("s2")) <= most_n)
+    x = x.withColumn("w1", dna.adapter_cut(F.col("s1"), site2, strict, 1) if strict else F.lit(None).cast("int")).withColumn("w2", dna.adapter_cut(F.col("s2"), site1, strict, 2) if strict else F.lit(None).cast("int"))
+    at = F.when(F.col("w1").isNotNull() & F.col("w2").isNotNull(), F.least("w1", "w2")).otherwise(F.greatest("w1", "w2"))
+    if strict:
+        late = F.contains(F.right("s2", F.lit(16)), F.lit(site1)) | F.contains(F.right("s1", F.lit(10)), F.lit(site2))
+        at = F.coalesce(at, F.nullif(F.when(late, F.length("s1") - 16), F.lit(0)))
+    x = x.select("read_id", "s1", "s2", F.explode(F.array(at)).alias("at"))  # computed once a row
+    both = F.concat(F.substr("s1", F.lit(1), F.length("s1") - 1), F.lit("nnnn"), dna.revcomp(F.substr("s2", F.lit(skip + 1))))
+    row = lambda kind, seq: F.struct(F.lit(kind).alias("kind"), seq.alias("seq"))
+    cut_off = [row("trim1", F.concat(dna.until(F.col("s1"), F.col("at")), F.lit("nnnnN")))]
+    if datatype == "pairgbs":
+        cut_off.append(row("trim2", F.concat(F.lit("Nnnnn"), dna.revcomp(F.substr("s2", F.lit(skip + 1), F.greatest(F.col("at") + 5 - skip, F.lit(0)))))))
+    out = F.when(F.col("at").isNull(), F.array(row("pair", both))).when(F.col("at") > least, F.array(*cut_off))
+    return x.select("read_id", F.explode(out).alias("o")).select("read_id", "o.kind", "o.seq")
+
+
+def right_offset(merged: DataFrame, cut: str = "TGCAG", second: str = "") -> DataFrame:
+    """One row: extra bases behind the second cut site that correctly merged reads mostly have, the fewest of equally common; 0 where there are over 3 or no such reads."""
+    site = dna.revcomp_text(second or cut)
+    good = merged.where(F.startswith("seq", F.lit(cut)) & F.contains(F.right("seq", F.lit(len(site) + 2)), F.lit(site)))
+    extra = good.select((F.length("seq") - (dna.last_at(F.col("seq"), site) - 1) - len(site)).alias("extra")).groupBy("extra").agg(F.count("*").alias("n"))
+    best = extra.agg(F.min(F.struct((-F.col("n")).alias("m"), "extra"))["extra"].alias("e"))
+    return best.select(F.when(F.col("e") > 3, 0).otherwise(F.coalesce("e", F.lit(0))).cast("int").alias("offset"))
+
+
+def trim_merged(merged: DataFrame, offset: int, cut: str = "TGCAG", second: str = "", most_n: int = 4, trimkeep: int = 0) -> DataFrame:
+    """(read_id, seq) of masked merged reads (read_id, seq) between their cut sites; ``offset`` is the value of ``right_offset``.
+
+    Right end: the offset where both sites stand at the ends; else the second
+    site in the right half, a read's adapter core, its reverse, or the offset.
+    Left end: the first site; reads without it go, as do those left too short.
+    """
+    other = second or cut
+    site = dna.revcomp_text(other)
+    count_n = F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))
+    x = merged.where(count_n <= most_n)
+    seq, n = F.col("seq"), F.length("seq")
+    last = lambda p: dna.last_at(seq, p) - 1
+    whole = F.startswith(seq, F.lit(cut)) & F.contains(F.right(seq, F.lit(len(site) + 2)), F.lit(site))
+    right = F.when(whole, n - offset).when(F.contains(F.substr(seq, F.floor(n / 2).cast("int") + 1), F.lit(site)), last(site) + len(site))
+    right = right.when(last("AGATCG") >= 0, last("AGATCG") - len(other)).when(last("TCGGAAG") >= 0, last("TCGGAAG") - len(other) - 3).otherwise(n - offset)
+    left = F.when(whole, 0).when(F.instr(seq, cut) > 0, F.instr(seq, cut) - 1)
+    x = x.withColumn("l", left).where("l is not null").select("read_id", "seq", "l", F.explode(F.array(right)).alias("r"))  # computed once a row
+    x = x.withColumn("r", F.greatest(F.when(F.col("r") < 0, n + F.col("r")).otherwise(F.col("r")), F.lit(0)))
+    x = x.select("read_id", F.substr(seq, F.col("l") + 1, F.greatest(F.col("r") - F.col("l"), F.lit(0))).alias("seq"))
+    return x.where((F.length("seq") > trimkeep) & (F.length("seq") >= max(36, trimkeep)))
+
+
+def barcode_within(seq: Column, cut: str, longest: int) -> Column:
+    """As ``barcode_before_cut``, but sites count only where the longest barcode lets them begin; '' for none or over two of them."""
+    near = F.left(seq, F.lit(longest + len(cut)))
+    n = F.floor((F.length(near) - F.length(F.replace(near, F.lit(cut), F.lit("")))) / len(cut))
+    parts = F.split(seq, cut)
+    return F.when(n == 1, parts[0]).when(n == 2, F.concat(parts[0], F.lit(cut), parts[1])).otherwise("")
+
+
+def code_at_end(seq: Column, length: int, suffix: bool = False) -> Column:
+    """Barcode of fixed length at the start of a read, or at its end."""
+    return F.right(seq, F.lit(length)) if suffix else F.left(seq, F.lit(length))
+
+
 def overhang(sites: DataFrame, least: int) -> DataFrame:
     """(xlocus, first, last): the outermost columns in which ``least`` taxa have a base; loci without such go."""
     cover = sites.groupBy("xlocus", "pos").agg(F.count_if(~F.col("base").isin("N", "-")).alias("c")).where(F.col("c") >= least)

@@ -42,6 +42,33 @@ def edit_stats(edited: DataFrame) -> DataFrame:
     return edited.groupBy("sample_id").agg(F.count("*").alias("nreads"), F.count_if("passed").alias("passed"), F.sum("n_count").cast("long").alias("n_bases"))
 
 
+def edit_single(reads: DataFrame, cut: str = "TGCAG", second: str = "", strict: int = 1, most_n: int = 4, trimkeep: int = 0, merged: bool = False) -> DataFrame:
+    """(read_id, sample_id, kind, seq) of edited single reads that pass: r1 whole, c1 trimmed at an adapter."""
+    return _edited(reads, cut, second, strict, merged).where(_passes(most_n, trimkeep))
+
+
+def edit_counts(reads: DataFrame, cut: str = "TGCAG", second: str = "", strict: int = 1, most_n: int = 4, trimkeep: int = 0, merged: bool = False) -> DataFrame:
+    """Reads of each sample: all, passed whole, passed trimmed, and both; trimmed ones are kept with ``trimkeep`` only."""
+    ok, kept = _passes(most_n, trimkeep), F.lit(trimkeep > 0)
+    x = _edited(reads, cut, second, strict, merged).withColumn("whole", ok & (F.col("kind") == "r1")).withColumn("part", ok & (F.col("kind") == "c1") & kept)
+    return x.groupBy("sample_id").agg(F.count("*").alias("nreads"), F.count_if("whole").alias("passed"), F.count_if("part").alias("trimmed"), F.count_if(F.col("whole") | F.col("part")).alias("total"))
+
+
+def _edited(reads: DataFrame, cut: str, second: str, strict: int, merged: bool) -> DataFrame:
+    s = dna.quality_mask(F.col("seq"), F.col("qual"), cut) if "qual" in reads.columns else F.concat(F.lit(cut), F.substr("seq", F.lit(len(cut) + 1)))
+    x = reads.select("read_id", "sample_id", s.alias("s"))
+    at = dna.adapter_cut(F.col("s"), dna.revcomp_text(second or cut), strict) if strict else F.lit(None).cast("int")
+    x = x.select("*", F.explode(F.array(at)).alias("at")).withColumn("seq", dna.until(F.col("s"), F.col("at")))  # computed once a row
+    if merged:  # without the base that mates have beyond
+        x = x.withColumn("seq", F.substr("seq", F.lit(1), F.greatest(F.length("seq") - 1, F.lit(0))))
+    return x.select("read_id", "sample_id", F.when(F.col("at").isNull(), "r1").otherwise("c1").alias("kind"), "seq")
+
+
+def _passes(most_n: int, trimkeep: int):
+    n = F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))
+    return (n <= most_n) & (F.length("seq") >= max(32, trimkeep))
+
+
 def dereplicate(reads: DataFrame, least: int = 0, both_strands: bool = False) -> DataFrame:
     """(sample_id, seq, n): identical reads counted, of both strands if asked; partial counts before the shuffle."""
     seq = F.least("seq", dna.revcomp(F.col("seq"))) if both_strands else F.col("seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radloom.functions import dna
@@ -45,18 +45,17 @@ PARTS = {
     "persite": "select xlocus, pos, greatest(count(*) filter (base = 'R'), count(*) filter (base = 'K'), count(*) filter (base = 'S'), count(*) filter (base = 'Y'), count(*) filter (base = 'W'), count(*) filter (base = 'M')) as h from sites group by 1, 2",
     "summary": "select v.xlocus, v.length, t.ntaxa, v.nsnp, v.npis, h.maxhet, t.maxgaps from (select xlocus, count(*) as length, count(*) filter (cls <> ' ') as nsnp, count(*) filter (cls = '*') as npis from classes group by 1) v join (select xlocus, max(h) as maxhet from persite group by 1) h using (xlocus) join (select xlocus, count(*) filter (called > 0) as ntaxa, max(gaps) as maxgaps from (select xlocus, taxon, count(*) filter (base = '-') as gaps, count(*) filter (base <> 'N') as called from sites group by 1, 2) group by 1) t using (xlocus)",
     "flagged": "select *, case when maxhet > 1 then '%P' else '' end || case when nsnp > 22 or length < 32 then '%S' else '' end || case when maxgaps > 3 then '%I' else '' end as flags from summary where ntaxa >= 4",
-    "chosen": "select xlocus, pos from (select c.xlocus, c.pos, row_number() over (partition by c.xlocus order by (a.k > 2)::int, -v.cover, md5('112233-' || c.xlocus || '-' || c.pos), c.pos) as r from classes c join (select xlocus, pos, count(*) as k from acounts2 group by 1, 2) a using (xlocus, pos) join (select xlocus, pos, sum(case when base = 'N' then 0 when base = '-' then 1 else 2 end) as cover from sites group by 1, 2) v using (xlocus, pos) where cls <> ' ') where r = 1",
+    "chosen": "select xlocus, pos from (select c.xlocus, c.pos, row_number() over (partition by c.xlocus order by -v.cover, (a.k > 2)::int, md5('112233-' || c.xlocus || '-' || c.pos), c.pos) as r from classes c join (select xlocus, pos, count(*) as k from acounts2 group by 1, 2) a using (xlocus, pos) join (select xlocus, pos, sum(case when base = 'N' then 0 when base = '-' then 1 else 2 end) as cover from sites group by 1, 2) v using (xlocus, pos) where cls <> ' ') where r = 1",
     "covered": "select xlocus from (select xlocus, gid, count(*) >= max(minhits) as ok from (select distinct xlocus, taxon from sites where base <> 'N') join pops using (taxon) group by 1, 2) group by 1 having count(*) filter (ok) = 2",
     "quartets": "select xlocus, pos, max(case when taxon = 1 then base end) as p1, max(case when taxon = 2 then base end) as p2, max(case when taxon = 3 then base end) as p3, max(case when taxon = 4 then base end) as p4, max(case when taxon = 5 then base end) as o from sites group by 1, 2",
     "d4": "select xlocus, count(*) filter (p1 <> p2 and p1 = p4 and p2 = p3) as abba, count(*) filter (p1 <> p2 and p1 = p3 and p2 = p4) as baba from quartets where p1 in ('A','C','G','T') and p2 in ('A','C','G','T') and p3 in ('A','C','G','T') and p4 in ('A','C','G','T') group by 1",
     "biallelic": "select *, coalesce(case when p1 <> o then p1 end, case when p2 <> o then p2 end, case when p3 <> o then p3 end, case when p4 <> o then p4 end) as alt from quartets where p1 in ('A','C','G','T') and p2 in ('A','C','G','T') and p3 in ('A','C','G','T') and p4 in ('A','C','G','T') and o in ('A','C','G','T')",
     "pat5": "select xlocus, case when p1 = o then 'A' else 'B' end || case when p2 = o then 'A' else 'B' end || case when p3 = o then 'A' else 'B' end || case when p4 = o then 'A' else 'B' end || 'A' as pattern, count(*) as n from biallelic where alt is not null and p1 in (o, alt) and p2 in (o, alt) and p3 in (o, alt) and p4 in (o, alt) group by 1, 2",
     "rolefreq": "select xlocus, pos, allele, count(*) filter (taxon = 1) as p1, count(*) filter (taxon = 2) as p2, count(*) filter (taxon = 3) as p3, count(*) filter (taxon > 3) as o from haps group by 1, 2, 3",
-    "hits": "select read_id as query, read_id // 7 as target, case when read_id % 3 = 0 then '-' else '+' end as strand from reads where read_id % 7 = 1",
 }
 NEEDS = {
     "observed": ["reads"], "near": ["observed", "barcodes"], "masked": ["reads"], "derep": ["reads"], "depth": ["reads"], "site_counts": ["reads"], "patterns": ["site_counts"], "tops": ["site_counts"], "two": ["tops"], "scores": ["two"], "post": ["scores"], "calls": ["post"], "cons": ["calls"],
-    "haps": ["sites"], "acounts2": ["sites"], "classes": ["acounts2", "sites"], "persite": ["sites"], "summary": ["classes", "persite"], "flagged": ["summary"], "chosen": ["classes", "acounts2"], "covered": ["sites", "pops"], "quartets": ["sites"], "d4": ["quartets"], "biallelic": ["quartets"], "pat5": ["biallelic"], "rolefreq": ["haps"], "hits": ["reads"],
+    "haps": ["sites"], "acounts2": ["sites"], "classes": ["acounts2", "sites"], "persite": ["sites"], "summary": ["classes", "persite"], "flagged": ["summary"], "chosen": ["classes", "acounts2"], "covered": ["sites", "pops"], "quartets": ["sites"], "d4": ["quartets"], "biallelic": ["quartets"], "pat5": ["biallelic"], "rolefreq": ["haps"],
 }
 
 
@@ -72,6 +71,8 @@ def oracle(sql: str, *parts: str) -> str:
 
     for p in parts:
         add(p)
+    if not order:
+        return sql
     return "with " + ", ".join(f"{p} as materialized ({PARTS[p]})" if p in ("sites", "classes", "reads") else f"{p} as ({PARTS[p]})" for p in order) + " " + sql
 
 
@@ -114,19 +115,12 @@ def _flagged(s, d):
     return loci.locus_flags(_summary(s, d), max_shared=1, max_snps=22)
 
 
-def _hits(s, d):
-    return fx.reads(s, d).where("read_id % 7 = 1").selectExpr("read_id as query", "read_id div 7 as target", "case when read_id % 3 = 0 then '-' else '+' end as strand")
-
-
 query("reads", "select * from reads", "reads")(lambda s, d: fx.reads(s, d))
 query("revcomp", "select read_id, reverse(translate(seq, 'ACGT', 'TGCA')) as rc from reads", "reads")(lambda s, d: fx.reads(s, d).select("read_id", dna.revcomp(F.col("seq")).alias("rc")))
 query("iupac_haplotypes", "select xlocus, taxon, translate(seq, 'RKSYWMrksywm', 'GGGTTCATCCAA') as hap1, translate(seq, 'RKSYWMrksywm', 'ATCCAAGGGTTC') as hap2, reverse(translate(seq, 'ACGTRYKMrykm', 'TGCAYRMKyrmk')) as rc from (select xlocus, taxon, string_agg(base, '' order by pos) as seq from sites group by 1, 2)", "sites")(
     lambda s, d: loci.sequences(fx.sites(s, d)).select("xlocus", "taxon", dna.haplotype(F.col("seq"), 1).alias("hap1"), dna.haplotype(F.col("seq"), 2).alias("hap2"), dna.revcomp_coded(F.col("seq")).alias("rc"))
 )
 query("quality_mask", "select read_id, masked from masked", "masked")(lambda s, d: rd.edit(fx.reads(s, d)).select("read_id", "masked"))
-query("adapter_trim", "select read_id, coalesce(nullif(greatest(coalesce(nullif(length(x) - instr(reverse(x), 'AGAGACGT') - 6, 0) * (instr(reverse(x), 'AGAGACGT') > 0)::int, 0) - 1, 0), 0), 0)::bigint as cut from (select read_id, seq || case when read_id % 3 = 0 then 'TGCAGAGA' else '' end as x from reads)", "reads")(
-    lambda s, d: fx.reads(s, d).select("read_id", F.concat("seq", F.when(F.col("read_id") % 3 == 0, "TGCAGAGA").otherwise("")).alias("x")).select("read_id", dna.adapter_cut(F.col("x"), "TGCAG").cast("long").alias("c")).select("read_id", F.coalesce("c", F.lit(0)).cast("long").alias("cut"))
-)
 query("read_filters", "select sample_id, count(*) as nreads, count(*) filter (n_count <= 4 and length(masked) >= 32) as passed, sum(n_count)::bigint as n_bases from masked group by 1", "masked")(lambda s, d: rd.edit_stats(rd.edit(fx.reads(s, d))))
 query("barcode_hamming_join", "select * from near", "near")(lambda s, d: rd.demultiplex(_observed(s, d), fx.barcodes(s)))
 query("barcode_report", "select sample_id as matched, barcode, o.code, o.n from (select code, count(*) as n from observed group by 1) o left join near using (code)", "near")(lambda s, d: rd.barcode_report(_observed(s, d), rd.demultiplex(_observed(s, d), fx.barcodes(s))))
@@ -142,12 +136,11 @@ query("base_freqs", "select sample_id, " + ", ".join(f"round(sum(n{b} * multipli
 _pm = lambda k, s, q: f"exp(lgamma({s} + 1) - lgamma({k} + 1) - lgamma(({s}) - ({k}) + 1) + ({k}) * ln({q}) + (({s}) - ({k})) * ln(1 - {q}))"
 _one = " + ".join(f"p{b} * {_pm(f's - n{b}', 's', '0.001')}" for b in "actg")
 _two = " + ".join(f"2 * p{a} * p{b} * {_pm(f's - n{a} - n{b}', 's', '(0.002 / 3)')} * {_pm(f'n{a}', f'(n{a} + n{b})', '0.5')}" for i, a in enumerate("actg") for b in "actg"[i + 1 :])
-query("he_loglik_fixed", f"select sample_id, round(-sum(multiplicity * ln(0.99 * ({_one}) + 0.01 * ({_two}) / (1 - pa * pa - pc * pc - pt * pt - pg * pg))), 4) as loglik from (select *, na + nc + nt + ng as s from patterns join (select sample_id, " + ", ".join(f"sum(n{b} * multiplicity) / sum((na + nc + nt + ng) * multiplicity) as p{b}" for b in "actg") + " from patterns group by 1) using (sample_id)) where s <= 500 group by 1", "patterns")(lambda s, d: genotypes.fixed_loglik(_patterns(s, d)))
+query("he_loglik_fixed", f"select sample_id, round(-sum(multiplicity * ln(0.99 * ({_one}) + 0.01 * ({_two}) / (1 - pa * pa - pc * pc - pt * pt - pg * pg))), 4) as loglik from (select *, na + nc + nt + ng as s from patterns join (select sample_id, " + ", ".join(f"sum(n{b} * multiplicity) / sum((na + nc + nt + ng) * multiplicity) as p{b}" for b in "actg") + " from patterns group by 1) using (sample_id)) group by 1", "patterns")(lambda s, d: genotypes.fixed_loglik(_patterns(s, d)))
 query("genotype_calls", "select * from calls", "calls")(lambda s, d: genotypes.call_genotypes(_counts(s, d)))
 query("third_base_filter", "select sample_id, locus_id, bool_or(n3 / n > 0.2) as rejected from two group by 1, 2", "two")(lambda s, d: genotypes.third_base_rejects(_counts(s, d)))
 query("consensus", "select * from cons", "cons")(_cons)
 query("consensus_stats", "select sample_id, count(*) as nloci, count(*) filter (n_het <= 5) as f1loci, count(*) filter (n_het <= 5 and n_n <= 5 and length(seq) >= 32) as f2loci, sum(case when n_het <= 5 and n_n <= 5 and length(seq) >= 32 then length(seq) else 0 end)::bigint as nsites, sum(case when n_het <= 5 and n_n <= 5 and length(seq) >= 32 then n_het else 0 end)::bigint as npoly from cons group by 1", "cons")(lambda s, d: genotypes.consensus_stats(_cons(s, d)))
-query("mean_he", "select round(avg(h), 6) as mean_h, count(*) as samples from (select sample_id, sum(n_het) / sum(length(seq)) as h from cons group by 1)", "cons")(lambda s, d: _cons(s, d).groupBy("sample_id").agg((F.sum("n_het") / F.sum(F.length("seq"))).alias("h")).agg(F.round(F.avg("h"), 6).alias("mean_h"), F.count("*").alias("samples")))
 query("he_optimum")(lambda s, d: genotypes.estimate_he(_patterns(s, d)))
 query("het_codes", "select xlocus, pos, " + ", ".join(f"count(*) filter (base = '{c}') as {c.lower()}" for c in dna.CODES) + " from sites group by 1, 2", "sites")(lambda s, d: fx.sites(s, d).groupBy("xlocus", "pos").agg(*[F.count_if(F.col("base") == c).alias(c.lower()) for c in dna.CODES]))
 query("site_class", "select * from classes", "classes")(lambda s, d: loci.site_class(fx.sites(s, d)))
@@ -184,18 +177,13 @@ _ALT = {k: tuple(tuple(x for x in p if x not in introgression.TERMINAL) for p in
 for _name, _which, _make in (("part_d", introgression.PARTITIONED, lambda p: introgression.pattern_statistics(p, introgression.PARTITIONED)), ("dfoil", introgression.FOIL, introgression.foil), ("dfoil_alt", _ALT, lambda p: introgression.foil(p, terminal=False))):
     _a, _b = _stat(_which)
     query(_name, f"select {_a} from (select {_b} from pat5)", "pat5")(lambda s, d, f=_make: f(introgression.patterns5(fx.sites(s, d))))
-_a, _b = _stat(introgression.FOIL)
-query("dfoil_sign", "select " + " || ".join(f"case when {k} * 100 > 3.5 then '+' when {k} * 100 < -3.5 then '-' else '0' end" for k in introgression.FOIL) + f" as signs from (select {_a} from (select {_b} from pat5))", "pat5")(lambda s, d: introgression.foil(introgression.patterns5(fx.sites(s, d))).select(introgression.signs([F.col(k) * 100 for k in introgression.FOIL]).alias("signs")))
-query("two_hop_hits", "select seed, member, min(strand) as strand from (select target as seed, query as member, strand from hits union all select a.target, b.query, case when a.strand = b.strand then '+' else '-' end from hits a join hits b on a.query = b.target) group by 1, 2", "hits")(lambda s, d: clusters.two_hop_hits(_hits(s, d)))
-query("seed_antijoin", "select read_id as id, seq from reads where read_id not in (select query from hits union all select target from hits)", "hits")(lambda s, d: clusters.unhit_seeds(fx.reads(s, d).selectExpr("read_id as id", "seq"), _hits(s, d)))
 query("shuffle_order", "select sample_id, seq, row_number() over (partition by sample_id order by length(seq) desc, md5('112233-' || seq), seq)::int as place from (select distinct sample_id, seq from reads)", "reads")(
     lambda s, d: clusters.shuffle_order(fx.reads(s, d).select("sample_id", "seq").distinct().select("sample_id", "seq", F.col("seq").alias("name"), F.length("seq").alias("length"), F.lit(False).alias("outgroup"))).select("sample_id", "seq", F.expr("cast(row_number() over (partition by sample_id order by key, seq) as int)").alias("place"))
 )
 
 
 def _uniques(s, d):
-    place = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("n"), "seq"))
-    return rd.dereplicate(fx.reads(s, d)).select("sample_id", "seq", "n", place.cast("long").alias("ord"))
+    return clusters.ranked(rd.dereplicate(fx.reads(s, d)))
 
 
 query("within_cluster")(lambda s, d: clusters.greedy_clusters(_uniques(s, d)))

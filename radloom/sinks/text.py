@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from radloom.functions import dna
 from radloom.operators import loci
 
 
@@ -67,3 +68,94 @@ def treemix_text(counts: DataFrame) -> DataFrame:
     """(xlocus, pos, text): counts of both alleles, `c1,c2` a population in the order of names; sites where one has 0,0 go."""
     per = counts.groupBy("xlocus", "pos").agg(F.array_sort(F.collect_list(F.struct("gid", "c1", "c2"))).alias("g"), F.min(F.col("c1") + F.col("c2")).alias("least")).where("least > 0")
     return per.select("xlocus", "pos", F.array_join(F.transform("g", lambda s: F.concat(s["c1"].cast("string"), F.lit(","), s["c2"].cast("string"))), " ").alias("text"))
+
+
+def _at(i: int):
+    return lambda symbols: symbols[i]
+
+
+def concatenated_blocks(sites: DataFrame, taxa: list[int], width: int = 100) -> DataFrame:
+    """(block, taxon, seq): the concatenation of all loci in order, ``width`` columns a block, without columns that no taxon has a base in.
+
+    A column is one row with the symbols of all taxa, so a block of any data
+    is ``width`` such rows; absent taxa are N.
+    """
+    of = F.map_from_entries(F.collect_list(F.struct("taxon", "base")))
+    columns = sites.groupBy("xlocus", "pos").agg(of.alias("by"), F.count_if(~F.col("base").isin("N", "n", "-")).alias("c")).where("c > 0")
+    columns = columns.select("xlocus", "pos", F.array(*[F.coalesce(F.try_element_at("by", F.lit(t)), F.lit("N")) for t in taxa]).alias("symbols"))
+    starts = loci.partitions(columns.groupBy("xlocus").agg(F.count("*").alias("length"))).select("xlocus", "start")
+    place = F.row_number().over(Window.partitionBy("xlocus").orderBy("pos"))
+    at = columns.withColumn("p", place).join(starts, "xlocus").select((F.col("start") + F.col("p") - 2).alias("at"), "symbols")
+    blocks = at.groupBy(F.floor(F.col("at") / width).alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "symbols"))).alias("rows"))
+    lines = F.explode(F.array(*[F.struct(F.lit(t).alias("taxon"), F.array_join(F.transform("rows.symbols", _at(i)), "").alias("seq")) for i, t in enumerate(taxa)])).alias("l")
+    return blocks.select("block", lines).select("block", "l.taxon", "l.seq")
+
+
+def nexus_text(blocks: DataFrame, width: int = 12) -> DataFrame:
+    """(block, taxon, text): the interleaved lines of a nexus matrix."""
+    return blocks.select("block", "taxon", F.concat(F.lit("  "), F.rpad(F.col("taxon").cast("string"), width, " "), "seq").alias("text"))
+
+
+def nexus_head(taxa: int, columns: int) -> list[str]:
+    """Lines before a nexus matrix."""
+    return ["#NEXUS", "BEGIN DATA;", f"  DIMENSIONS NTAX={taxa} NCHAR={columns};", "  FORMAT DATATYPE=DNA MISSING=N GAP=- INTERLEAVE=YES;", "  MATRIX"]
+
+
+def nexus_sets(summary: DataFrame) -> DataFrame:
+    """(xlocus, text): the range of each locus in the concatenation."""
+    p = loci.partitions(summary)
+    return p.select("xlocus", F.concat(F.lit("  CHARSET p"), F.col("xlocus").cast("string"), F.lit("="), F.col("start").cast("string"), F.lit("-"), F.col("stop").cast("string"), F.lit(";")).alias("text"))
+
+
+def vcf_head(names: list[str], date: str) -> list[str]:
+    """Lines before VCF records."""
+    # The lines of the format, version 4.1.
+    about = [("INFO", "NS", "1", "Integer", "Number of Samples With Data"), ("INFO", "DP", "1", "Integer", "Total Depth"), ("INFO", "AF", "A", "Float", "Allele Frequency"), ("INFO", "AA", "1", "String", "Ancestral Allele"), ("FORMAT", "GT", "1", "String", "Genotype"), ("FORMAT", "GQ", "1", "Integer", "Genotype Quality"), ("FORMAT", "DP", "1", "Integer", "Read Depth")]
+    lines = [f'##{kind}=<ID={i},Number={n},Type={t},Description="{d}">' for kind, i, n, t, d in about]
+    return ["##fileformat=VCFv4.1", f"##fileDate={date}", "##source=radloom", "##reference=common_allele_at_each_locus", *lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO    ", "FORMAT", *sorted(names)])]
+
+
+def snps_text(sites: DataFrame, classes: DataFrame) -> DataFrame:
+    """(xlocus, taxon, text): the variable sites of a locus and a space; `_ ` for a locus without any.  In order these are a taxon's line."""
+    marked = sites.join(classes, ["xlocus", "pos"]).groupBy("xlocus", "taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("cls") != " ", F.struct("pos", "base")))), lambda s: s["base"]), "").alias("s"))
+    return marked.select("xlocus", "taxon", F.when(F.col("s") == "", "_ ").otherwise(F.concat("s", F.lit(" "))).alias("text"))
+
+
+def unlinked_text(sites: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(xlocus, taxon, text): the symbol at a locus's chosen site.  In order these are a taxon's line."""
+    return sites.join(chosen, ["xlocus", "pos"]).select("xlocus", "taxon", F.col("base").alias("text"))
+
+
+def structure_text(sites: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(xlocus, taxon, hap, text): the code of a haplotype at a locus's chosen site.  In order and parted by tabs these are the two lines of a taxon."""
+    return loci.structure_rows(sites.join(chosen, ["xlocus", "pos"])).select("xlocus", "taxon", "hap", F.col("code").cast("string").alias("text"))
+
+
+def migrate_text(sites: DataFrame, pops: DataFrame) -> DataFrame:
+    """(gid, xlocus, text): the lines of a population's sequences at each covered locus, without separators of mates."""
+    good = loci.populations_covered(sites, pops)
+    seqs = loci.sequences(sites.join(good, "xlocus", "left_semi")).join(pops.select("taxon", "gid"), "taxon")
+    seqs = seqs.where(F.length(F.replace("seq", F.lit("N"), F.lit(""))) > 0)
+    line = lambda r, i: F.concat(F.rpad(F.concat(F.left(r["gid"], F.lit(8)), F.lit("_"), i.cast("string")), 10, " "), F.translate(r["seq"], "xn", ""))
+    per = seqs.groupBy("gid", "xlocus").agg(F.array_sort(F.collect_list(F.struct("taxon", "gid", "seq"))).alias("rows"))
+    return per.select("gid", "xlocus", F.array_join(F.transform("rows", line), "\n").alias("text"))
+
+
+def excluded_text(sites: DataFrame, classes: DataFrame, flagged: DataFrame, width: int = 12) -> DataFrame:
+    """(xlocus, text): loci with flags, as loci are written but in upper case and with the flags behind the slashes."""
+    out = flagged.where("flags <> ''").select("xlocus", "flags")
+    text = loci_text(sites.withColumn("base", F.upper("base")).join(out, "xlocus", "left_semi"), classes.join(out, "xlocus", "left_semi"), width)
+    at = F.instr("text", "//") + 1
+    return text.join(out, "xlocus").select("xlocus", F.concat(F.left("text", at), "flags", F.substr("text", at + 1 + F.length("flags"))).alias("text"))
+
+
+def alleles_text(sites: DataFrame, width: int = 12) -> DataFrame:
+    """(xlocus, text): two lines a taxon, one a haplotype."""
+    rows = loci.sequences(sites)
+    two = F.concat_ws("\n", *[F.concat(F.rpad(F.concat(F.lit(">"), F.col("taxon").cast("string"), F.lit(f"_{i}")), width, " "), dna.haplotype(F.col("seq"), i + 1)) for i in (0, 1)])
+    return rows.groupBy("xlocus").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("taxon", two.alias("t")))), lambda r: r["t"]), "\n").alias("text"))
+
+
+def stats_text(spread: DataFrame) -> DataFrame:
+    """(value, text): the lines of a distribution: a count, its loci and the running total."""
+    return spread.select("value", F.concat_ws("\t", F.col("value").cast("string"), F.col("loci").cast("string"), F.col("running").cast("string")).alias("text"))

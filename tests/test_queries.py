@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from radloom.functions import dna
 from radloom.operators import clusters, genotypes, reads
-from radloom.plans import queries as plans
+from radloom.plans import assembly, exports, queries as plans  # noqa: F401 (the first two register their queries)
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +43,59 @@ def test_against_oracle(spark, db, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["adapter_trim", "adapter_trim_pair", "pair_edit", "pair_edit_gbs", "merged_trim", "edit_single"])
+def test_adapters_against_oracle_on_more_reads(spark, name):
+    big = SF.replace("0.001", "0.01")
+    c = duckdb.connect()
+    c.sql(f"create view lineitem as select * from '{big}/lineitem.parquet'")
+    assert rows(plans.Q[name](spark, big).toPandas()) == rows(c.sql(plans.O[name]).df())
+
+
+def test_adapter_rules(spark):
+    cases = {  # read, cut site: place, with the strict and the stricter search
+        ("TTTTCTGCAAGATTT", "CTGCA"): (4, 4),
+        ("CTGCAAGATTTTTTTTTTTTT", "CTGCA"): (None, None),  # at the very start
+        ("TTTTTTTTTTTTAGATCGGAAGTTTTTTTTT", "CTGCA"): (6, 6),
+        ("TTAGATCGGAAGTTTTTTTTTTTTTT", "CTGCA"): (-4, -4),  # counts from the end
+        ("TTTTTTTTTTTTTTTTCTGCATT", "CTGCA"): (16, 16),  # a bare site near the end
+        ("TTTTCTGCATTTTTTTTTTTTTT", "CTGCA"): (None, None),
+        ("TTTTCTGCAATTTTTTTTTTTTT", "CTGCA"): (None, 4),
+        ("TTCAGCAAGATTCTGCAAGATTTTTTTTT", "CWGCA"): (2, 2),  # the left one of both readings
+    }
+    d = spark.createDataFrame([(s, c) for s, c in cases], "s string, c string")
+    for (s, cut), want in cases.items():
+        got = d.where((F.col("s") == s) & (F.col("c") == cut)).select(dna.adapter_cut(F.col("s"), cut), dna.adapter_cut(F.col("s"), cut, 2), dna.until(F.col("s"), dna.adapter_cut(F.col("s"), cut))).first()
+        assert tuple(got)[:2] == want and got[2] == (s[: want[0]] if want[0] is not None else s)
+    assert dna.resolutions("TGCWG") == ["TGCTG", "TGCAG"] and dna.resolutions("TGCAG") == ["TGCAG"]
+
+
+def test_star_alignment():
+    rng = random.Random(3)
+    for _ in range(60):
+        seed = "".join(rng.choices("ACGT", k=40))
+        seqs = [seed]
+        for _ in range(4):
+            s = list(seed)
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(s))
+                s[i : i + 1] = rng.choice([[], [s[i], "A"], ["C"]])
+            seqs.append("".join(s[rng.randint(0, 3) :]))
+        got = clusters.star_alignment(seqs)
+        assert len({len(x) for x in got}) == 1 and [x.replace("-", "") for x in got] == seqs
+        assert not any(set(column) == {"-"} for column in zip(*got))
+    assert clusters.star_alignment(["ACGTACGTAC", "ACGTTACGTAC"]) == ["ACG-TACGTAC", "ACGTTACGTAC"]
+
+
+def test_stacks_are_aligned_whole(spark):
+    rows = [(1, i, "+", 9 - i, i == 0, s) for i, s in enumerate(["ACGTACGTnnnnTTGGCC", "ACGACGTnnnnTTGGC", "ACGTACGTnnnnN"])] + [(2, 7, "+", 1, True, "AAAA")]
+    got = {(r["locus"], r["member"]): r["aligned"] for r in clusters.align_stacks(spark.createDataFrame(rows, "locus long, member long, strand string, size long, is_seed boolean, seq string")).collect()}
+    assert got[1, 0] == "ACGTACGTnnnnTTGGCC" and got[2, 7] == "AAAA" and all(len(x) == 18 for (i, _), x in got.items() if i == 1)
+
+
+def test_phase():
+    assert clusters.phase(["GT", "GT", "AC"], [0, 1]) == "RY" and clusters.phase(["GC", "GC", "AT"], [0, 1]) == "Ry"
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         dna.revcomp_coded(F.lit("ACGTRYKMrykmSWN-")).alias("rc"), dna.haplotype(F.lit("RKSYWMrksywm"), 1).alias("h1"), dna.haplotype(F.lit("RKSYWMrksywm"), 2).alias("h2"),
