@@ -69,6 +69,20 @@ def test_adapter_rules(spark):
     assert dna.resolutions("TGCWG") == ["TGCTG", "TGCAG"] and dna.resolutions("TGCAG") == ["TGCAG"]
 
 
+def test_identities_of_many_pairs():
+    rng, one, two = random.Random(9), [], []
+    for _ in range(600):
+        s = rng.choices("ACGT", k=rng.choice([0, 1, 12, 32, 33]))
+        t = list(s)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(t) + 1)
+            t[i : i + 1] = rng.choice([[], ["A"], ["C", "G"]])
+        one.append("".join(s))
+        two.append("".join(t[rng.choice([0, 0, 2]) :]))
+    got = clusters.identities(one, two, batch=7)
+    assert all(abs(g - clusters.identity(a, b)) < 1e-12 for g, a, b in zip(got, one, two)) and len(clusters.identities([], [])) == 0
+
+
 def test_star_alignment():
     rng = random.Random(3)
     for _ in range(60):
