@@ -161,7 +161,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: tup
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """``docs`` without the rows that contain an item; same columns, decided row by row."""
+    """``docs`` without the rows that contain an item; same columns, whatever their names, decided row by row.
+
+    Null, empty and wordless texts contain nothing and stay, as do all rows
+    where no item has a word; repeated rows go or stay together; an empty
+    table gives an empty result.
+    """
     ready(docs.sparkSession)
     at = docs.columns.index("text")
     for part in _parts(benchmark):

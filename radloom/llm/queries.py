@@ -21,52 +21,52 @@ from .toxicity import score_toxicity
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page; a null or empty page has an empty one.  Rows and odd cases as ``extract_pages`` says."""
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    """The 20 nearest vectors found for every vector whose id is divisible by 20; null, zero and non-finite ones take no part.  Odd cases as ``nearest`` says."""
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, metric="ip")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose 4-word shingle sets have Jaccard similarity 0.85 or more."""
+    """Components of documents whose 4-word shingle sets have Jaccard similarity 0.85 or more; empty texts stand alone.  Odd cases as ``jaccard_components`` says."""
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, threshold=Fraction(85, 100))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the mix to weights 1, 2, 3 takes each document."""
+    """How often the mix to weights 1, 2, 3 takes each document; null texts have size 0.  Odd cases as ``mix_plan`` says."""
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as read back from its shard after a compaction."""
+    """Every document as read back from its shard after a compaction, repeated rows too.  Odd cases as ``shard_listing`` says."""
     return shard_listing(table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unigram token counts of every document."""
+    """Unigram token counts of every document; 0 of null and empty texts.  Odd cases as ``count_tokens`` says."""
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document after fuzzy line deduplication."""
+    """Every document after fuzzy line deduplication, null texts too.  Odd cases as ``line_digest`` says."""
     return line_digest(table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items contained in documents."""
+    """Benchmark items contained in documents; null and empty texts contain nothing.  Odd cases as ``find_items`` says."""
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity score of every document."""
+    """Toxicity score of every document; null and empty texts score as texts without hits.  Odd cases as ``score_toxicity`` says."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document."""
+    """Personal data in every document; none in null and empty texts.  Odd cases as ``find_pii`` says."""
     return find_pii(table(spark, sf_dir, "documents"))
 
 

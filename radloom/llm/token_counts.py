@@ -29,6 +29,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Trie nodes that a task keeps; beyond them it starts afresh (counts stay the same).
 NODES = 1_500_000
+#: Bytes from which a pre-token is scored by itself: it shares no prefix worth keeping, and its nodes would know no bound.
+LONGEST = 4096
 
 _COUNT = (1 << 24) - 1
 
@@ -51,11 +53,27 @@ class Trie(dict):
         self.child: dict[tuple[int, int], int] = {}
         self.score = [0]
 
+    def _alone(self, raw: bytes) -> int:
+        """Count of a token too long to be shared: the same forward scores, of which only those in reach are kept."""
+        get, reach = self.vocabulary.get, [0]  # scores before each of the last bytes
+        for i in range(1, len(raw) + 1):
+            best = reach[-1] + self.unknown
+            for back in range(1, len(reach) + 1):
+                cost = get(raw[i - back : i])
+                if cost is not None and reach[-back] + cost < best:
+                    best = reach[-back] + cost
+            reach.append(best)
+            if len(reach) > self.longest:
+                del reach[0]
+        return reach[-1] & _COUNT
+
     def __missing__(self, token: str) -> int:
         if len(self.score) > NODES:
             self.clear()
             self.child, self.score = {}, [0]
         raw, node, path = token.encode("utf-8", "surrogatepass"), 0, [0]
+        if len(raw) > LONGEST:
+            return self._alone(raw)
         child, score, get = self.child, self.score, self.vocabulary.get
         for i, byte in enumerate(raw, 1):
             after = child.get((node, byte))

@@ -339,6 +339,15 @@ def test_html_rows(spark):
     assert [tuple(r) for r in got] == [(1, "u", "", 0), (1, "u", "", 0), (2, None, "a", 1)]
 
 
+def test_token_counts_of_long_tokens(monkeypatch, spark, none):
+    vocabulary = token_counts.load()
+    tokens = [" theories", "aaaaaaaaaaaaaaaa", "日本語の", "x" * 700, "abcdefghij" * 40]
+    monkeypatch.setattr(token_counts, "LONGEST", 3)
+    trie = token_counts.Trie(vocabulary)
+    assert [trie[t] for t in tokens] == [token_counts.brute_count(t, vocabulary) for t in tokens] and len(trie.score) == 1
+    assert token_counts.count_tokens(none).count() == 0
+
+
 def test_token_counts(spark, odd):
     vocabulary = token_counts.load()
     trie = token_counts.Trie(vocabulary)
