@@ -181,11 +181,14 @@ def treemix_rows(sites: DataFrame, chosen: DataFrame, pops: DataFrame) -> DataFr
 
 def vcf_rows(sites: DataFrame) -> DataFrame:
     """(xlocus, pos, ref, alt, ns): variable sites with the commonest allele as reference, the others by count."""
-    counts = allele_counts(sites)
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "allele")))
-    x = counts.groupBy("xlocus", "pos").agg(order.alias("a")).where("size(a) > 1")
-    ns = sites.where(~F.col("base").isin("N", "-")).groupBy("xlocus", "pos").agg(F.count("*").alias("ns"))
-    return x.join(ns, ["xlocus", "pos"]).select("xlocus", "pos", F.col("a")[0]["allele"].alias("ref"), F.array_join(F.transform(F.slice("a", 2, 9), lambda s: s["allele"]), ",").alias("alt"), "ns")
+    known = ~F.col("base").isin("N", "-")
+    one, two = dna.haplotype(F.col("base"), 1), dna.haplotype(F.col("base"), 2)
+    coded = F.upper("base").isin(*dna.CODES)
+    of = lambda b: F.count_if(known & (one == b)) + F.count_if(known & coded & (two == b))
+    x = sites.groupBy("xlocus", "pos").agg(*[of(b).alias(b) for b in "ACGT"], F.count_if(known).alias("ns"))  # one shuffle of counts
+    order = F.array_sort(F.filter(F.array(*[F.struct((-F.col(b)).alias("m"), F.lit(b).alias("allele")) for b in "ACGT"]), lambda s: s["m"] < 0))
+    x = x.select("xlocus", "pos", "ns", order.alias("a")).where("size(a) > 1")
+    return x.select("xlocus", "pos", F.col("a")[0]["allele"].alias("ref"), F.array_join(F.transform(F.slice("a", 2, 9), lambda s: s["allele"]), ",").alias("alt"), "ns")
 
 
 def vcf_genotypes(sites: DataFrame, rows: DataFrame) -> DataFrame:
