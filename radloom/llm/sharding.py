@@ -228,10 +228,10 @@ def shard_listing(docs: DataFrame, arrival_bytes: int = ARRIVAL_BYTES, target_by
     empty table gives an empty result.
     """
     store = shard(docs, None, arrival_bytes, target_bytes)
+    store.vacuum()  # before the files are listed: what it deletes must not be read
     rows = store.located()
     if rows is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"), F.lit(0).alias("version"), F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs")).where("false")
-    store.vacuum()
     text = F.col("row.text")
     return rows.select("row.doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.md5(text).alias("text_md5"), F.col("v").alias("version"), "shard", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
 
