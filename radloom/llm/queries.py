@@ -1,4 +1,4 @@
-"""The ten queries of the subpackage, as thin applications of its operators."""
+"""The queries of the subpackage, as thin applications of its operators."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from .html_text import extract_pages
 from .jaccard_join import jaccard_components
 from .line_dedup import line_digest
 from .mixing import OP4_SQL, mix_plan
+from .periodic_runs import periodic_runs
 from .pii import find_pii
 from .scratch import table
 from .sharding import OP5_SQL, shard_listing
@@ -70,6 +71,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every whole text; none in null and empty texts.  Odd cases as ``periodic_runs`` says."""
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_additive_ann": op2_additive_ann,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_sharding": OP5_SQL, "op8_decontamination": OP8_SQL}
