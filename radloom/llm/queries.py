@@ -11,6 +11,7 @@ from .additive_ann import nearest
 from .decontaminate import OP8_SQL, find_items
 from .html_text import extract_pages
 from .jaccard_join import jaccard_components
+from .license_scan import OP13_SQL, scan_licenses
 from .line_dedup import line_digest
 from .mixing import OP4_SQL, mix_plan
 from .periodic_runs import periodic_runs
@@ -19,6 +20,7 @@ from .scratch import table
 from .sharding import OP5_SQL, shard_listing
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
+from .vector_codes import OP12_SQL, vector_codes
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +78,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all finite vectors; null and non-finite ones are dropped.  Odd cases as ``vector_codes`` says."""
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every whole text; none in null and empty texts.  Odd cases as ``scan_licenses`` says."""
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_additive_ann": op2_additive_ann,
@@ -88,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_license_scan": op13_license_scan,
 }
 
-SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_sharding": OP5_SQL, "op8_decontamination": OP8_SQL}
+SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_sharding": OP5_SQL, "op8_decontamination": OP8_SQL, "op12_vector_codes": OP12_SQL, "op13_license_scan": OP13_SQL}
