@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,3 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
         where = tempfile.mkdtemp(prefix="radloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
+
+
+class Store:
+    """Tables of one run in the shared folder: a written table cuts the lineage, and a lost executor costs no more than a stage."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/radloom/{name}-{uuid.uuid4().hex}", 0
+        self.passing: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and return a frame that reads what was written."""
+        self.n += 1
+        path = f"{self.root}/{self.n:03d}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """``keep`` until ``close``."""
+        out = self.keep(df)
+        self.passing.append(f"{self.root}/{self.n:03d}")
+        return out
+
+    def close(self) -> None:
+        """Delete what was ``put``: for when nothing reads it any more."""
+        while self.passing:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.passing.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
