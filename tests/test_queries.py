@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from radloom.functions import dna
-from radloom.operators import clusters, genotypes, reads
-from radloom.plans import assembly, exports, queries as plans  # noqa: F401 (the first two register their queries)
+from radloom.operators import clusters, genotypes, reads, similarity
+from radloom.plans import assembly, clustering, exports, queries as plans  # noqa: F401 (the first three register their queries)
 
 SF = "/root/testdata/sf0.001"
 
@@ -170,7 +170,7 @@ def test_candidates_of_mixed_length_equal_brute_force(spark):
         seqs += [base, base + "A", "G" + base, base[: len(base) - 3], base[2:], base + "".join(rng.choices("ACGT", k=12)), base[:9] + "T" + base[10:20] + base[21:]]
     seqs = list(dict.fromkeys(seqs))
     u = spark.createDataFrame([(0, x, 1, i) for i, x in enumerate(seqs)], "sample_id int, seq string, n long, ord long")
-    got = {(r["q"], r["t"]) for r in clusters.candidate_pairs(u).collect()}
+    got = {(r["query"], r["target"]) for r in similarity.similar(u.select(u["sample_id"].cast("long").alias("grp"), "ord", "seq"), u.select(u["sample_id"].cast("long").alias("grp"), "ord", "seq")).collect()}
     want = {(q, t) for q in range(len(seqs)) for t in range(q) if clusters.identity(seqs[q], seqs[t]) >= 0.88}
     assert len(want) > 100 and want <= got
 
