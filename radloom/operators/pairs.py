@@ -119,3 +119,49 @@ def haplotype_rejects(derep: DataFrame, calls: DataFrame, ploidy: int = 2, share
     per = haps.groupBy("sample_id", "locus_id").agg(F.collect_list("n").alias("ns"), F.sum("n").alias("total"))
     many = F.size(F.filter("ns", lambda n: n > F.col("total") * share)).cast("long")
     return per.select("sample_id", "locus_id", many.alias("haplotypes"), (many > ploidy).alias("rejected"))
+
+
+def merge_pairs(mates: DataFrame, most_diffs: int = 6, truncate: int = 2, least: int = 36, least_merged: int = 50, overlap: int = 16, offset: int = 33) -> DataFrame:
+    """(read_id, shift, diffs, seq, qual) of mates (read_id, s1, q1, s2, q2) that overlap: one read of both.
+
+    Mates end before their first base of quality ``truncate`` or less and go
+    when shorter than ``least``.  The second one is turned; ``shift`` is where
+    it begins on the first, negative where the insert is shorter than the mates,
+    whose ends beyond it are then cut off.  Of all shifts with ``overlap`` bases
+    in common and ``most_diffs`` differences the one with the greatest sum of
+    lesser qualities (plus one) of equal bases less that of different ones is
+    taken, ties to the smaller shift.  Of two bases the one of higher quality
+    counts, the first mate's if equal; its quality is the higher one, or the
+    difference where they differ.
+    """
+    low = "[" + "".join("\\" + chr(c) if chr(c) in "\\]^-[" else chr(c) for c in range(33, offset + truncate + 1)) + "]"
+    cut = lambda c, q: F.when(F.regexp_instr(q, F.lit(low)) > 0, F.substr(c, F.lit(1), F.regexp_instr(q, F.lit(low)) - 1)).otherwise(c)
+    x = mates.select("read_id", cut(F.col("s1"), F.col("q1")).alias("a"), cut(F.col("q1"), F.col("q1")).alias("qa"), dna.revcomp(cut(F.col("s2"), F.col("q2"))).alias("b"), F.reverse(cut(F.col("q2"), F.col("q2"))).alias("qb"))
+    x = x.where((F.length("a") >= least) & (F.length("b") >= least))
+    # a base and its quality in one number; both computed once a row
+    coded = lambda c, q: F.zip_with(F.split(c, ""), F.split(q, ""), lambda base, v: (F.ascii(v) - offset) * 128 + F.ascii(base))
+    x = x.select("*", F.explode(F.array(F.struct(coded(F.col("a"), F.col("qa")).alias("a"), coded(F.col("b"), F.col("qb")).alias("b")))).alias("w"), F.length("a").alias("n"), F.length("b").alias("m"))
+    wa, wb, n, m = F.col("w.a"), F.col("w.b"), F.col("n"), F.col("m")
+    begin, common = (lambda o: F.greatest(o, F.lit(0))), (lambda o: F.least(n, o + m) - F.greatest(o, F.lit(0)))
+    both = lambda o, f: F.zip_with(F.slice(wa, begin(o) + 1, common(o)), F.slice(wb, begin(-o) + 1, common(o)), f)
+    q, base = (lambda v: F.floor(v / 128).cast("int")), (lambda v: v % 128)
+    weight = lambda p, r: F.when(base(p) == base(r), 1).otherwise(-1) * (1 + F.least(q(p), q(r)))
+
+    def judged(o):
+        w = both(o, weight)
+        return F.struct(F.size(F.filter(w, lambda v: v < 0)).alias("diffs"), F.aggregate(w, F.lit(0), lambda s, v: s + v).alias("score"), (-o).alias("back"))
+
+    shifts = F.sequence(overlap - m, n - overlap)
+    good = F.filter(F.transform(shifts, judged), lambda j: j["diffs"] <= most_diffs)
+    best = F.array_max(F.transform(good, lambda j: F.struct(j["score"], j["back"], j["diffs"])))
+    x = x.select("*", F.explode(F.array(best)).alias("best")).where("best is not null").withColumn("shift", -F.col("best.back"))
+    o = F.col("shift")
+    pick = lambda p, r: F.when(base(p) == base(r), F.greatest(q(p), q(r)) * 128 + base(p)).when(q(p) >= q(r), (q(p) - q(r)) * 128 + base(p)).otherwise((q(r) - q(p)) * 128 + base(r))
+    x = x.select("read_id", "shift", F.col("best.diffs").alias("diffs"), F.explode(F.array(F.concat(F.slice(wa, F.lit(1), begin(o)), both(o, pick), F.slice(wb, F.least(n - o, m) + 1, F.greatest(o + m - n, F.lit(0)))))).alias("w"))
+    text = lambda f: F.array_join(F.transform("w", lambda v: F.char(f(v))), "")
+    return x.where(F.size("w") >= least_merged).select("read_id", "shift", "diffs", text(base).alias("seq"), text(lambda v: q(v) + offset).alias("qual"))
+
+
+def unmerged(mates: DataFrame, merged: DataFrame) -> DataFrame:
+    """Mates that found no partner in ``merged``, as they were."""
+    return mates.join(merged.select("read_id"), "read_id", "left_anti")

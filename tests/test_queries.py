@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from radloom.functions import dna
 from radloom.operators import clusters, genotypes, reads, similarity
-from radloom.plans import assembly, clustering, exports, queries as plans  # noqa: F401 (the first three register their queries)
+from radloom.plans import assembly, clustering, exports, phasing, queries as plans  # noqa: F401 (the first four register their queries)
 
 SF = "/root/testdata/sf0.001"
 
