@@ -64,13 +64,13 @@ def _first(by: str | Column, where=None) -> Column:
 
 
 def site_weights(counts: DataFrame, roles: tuple[str, ...], kind: str) -> DataFrame:
-    """(test_id, xlocus, derived, fixed, f_role...): derived allele and its frequency in each role at eligible sites.
+    """(test_id, xlocus, fixed, f_role...): the derived allele's frequency in each role at eligible sites; fixed where each has one base.
 
     Four taxa: the derived base is the commonest of p3 that o lacks.  Five: the
     ancestral one is the commonest of o, the derived one the commonest of the
     others over all roles; partitioned tests need a base of p3a or p3b that o
-    lacks, D-foil a site with two bases.  Ties go to the smaller base; no role
-    may be without a base.
+    lacks, and have f_pooled, over both; D-foil needs a site with two bases.
+    Ties go to the smaller base; no role may be without a base.
     """
     every = lambda f: reduce(lambda a, b: a & b, [f(r) for r in roles])
     x = counts.where(every(lambda r: _total(r) > 0))
@@ -82,11 +82,12 @@ def site_weights(counts: DataFrame, roles: tuple[str, ...], kind: str) -> DataFr
         derived = _first(lambda a: reduce(lambda s, r: s + a[r], roles[1:], a[roles[0]]), lambda a: a["allele"] != F.col("minor"))
         x = x.withColumn("minor", minor)
         if kind == "part":
-            x = x.where(F.exists("alleles", lambda a: ((a["p3a"] > 0) | (a["p3b"] > 0)) & lacks(a)))
+            x = x.withColumn("alleles", F.transform("alleles", lambda a: a.withField("pooled", a["p3a"] + a["p3b"])))
+            x = x.where(F.exists("alleles", lambda a: (a["pooled"] > 0) & lacks(a)))
     # computed once a row, for every frequency reads it
     x = x.withColumn("derived", F.explode(F.array(derived))).where("derived is not null")
     alone = (F.size("alleles") == 2) & every(lambda r: F.array_max(F.transform("alleles", lambda a: a[r])) == _total(r))
-    return x.select("test_id", "xlocus", alone.alias("fixed"), *[(_of(F.col("derived"), r) / _total(r)).alias(f"f_{r}") for r in roles])
+    return x.select("test_id", "xlocus", alone.alias("fixed"), *[(_of(F.col("derived"), r) / _total(r)).alias(f"f_{r}") for r in (*roles, *(["pooled"] if kind == "part" else []))])
 
 
 def pattern_weight(pattern: str, roles: tuple[str, ...], pooled: Column | None = None) -> Column:
@@ -108,30 +109,15 @@ def locus_sums(sites: DataFrame, tests: DataFrame, kind: str) -> DataFrame:
     groups = tests.groupBy("test_id", "role").agg(F.count_distinct("taxon").alias("n")).groupBy("test_id").agg((F.max("n") == 1).alias("single"))
     counts = role_counts(sites, tests, roles)
     present = counts.groupBy("test_id", "xlocus").agg(*[F.bool_or(f"has_{r}").alias(r) for r in roles]).where(" and ".join(roles)).select("test_id", "xlocus")
-    weights = site_weights(counts, roles, kind).join(F.broadcast(groups), "test_id").where("fixed or not single")
+    weights = site_weights(counts, roles, kind).join(groups, "test_id").where("fixed or not single")
     # the joint term of partitioned tests: pooled alleles of both in groups, both derived with single taxa
-    pooled = None
-    if kind == "part":
-        pooled = F.when(F.col("single"), F.col("f_p3a") * F.col("f_p3b")).otherwise(F.col("f_pooled"))
-        weights = _with_pooled(counts, roles).join(F.broadcast(groups), "test_id").where("fixed or not single")
+    pooled = F.when(F.col("single"), F.col("f_p3a") * F.col("f_p3b")).otherwise(F.col("f_pooled")) if kind == "part" else None
     side = lambda patterns: F.sum(sum((pattern_weight(p, roles, pooled) for p in patterns), F.lit(0.0)))
     sums = weights.groupBy("test_id", "xlocus").agg(*[side(p).alias(f"{s}_{k}") for k, v in which.items() for s, p in zip("lr", v, strict=True)])
     columns = [f"{s}_{k}" for k in which for s in "lr"]
     return present.join(sums, ["test_id", "xlocus"], "left").select("test_id", "xlocus", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
 
 
-def _with_pooled(counts: DataFrame, roles: tuple[str, ...]) -> DataFrame:
-    """``site_weights`` of partitioned tests with f_pooled, the derived allele's frequency over p3a and p3b."""
-    both = counts.withColumn("alleles", F.transform("alleles", lambda a: F.struct(a["allele"].alias("allele"), *[a[r].alias(r) for r in roles], (a["p3a"] + a["p3b"]).alias("pooled"))))
-    every = reduce(lambda a, b: a & b, [_total(r) > 0 for r in roles])
-    x = both.where(every).withColumn("minor", _first("o"))
-    x = x.where(F.exists("alleles", lambda a: (a["pooled"] > 0) & (a["o"] == 0)))
-    derived = _first(lambda a: reduce(lambda s, r: s + a[r], roles[1:], a[roles[0]]), lambda a: a["allele"] != F.col("minor"))
-    x = x.withColumn("derived", F.explode(F.array(derived))).where("derived is not null")
-    alone = (F.size("alleles") == 2) & reduce(lambda a, b: a & b, [F.array_max(F.transform("alleles", lambda a, r=r: a[r])) == _total(r) for r in roles])
-    return x.select("test_id", "xlocus", alone.alias("fixed"), *[(_of(F.col("derived"), r) / _total(r)).alias(f"f_{r}") for r in (*roles, "pooled")])
-
-
 def replicates(loci: DataFrame, names: list[str], n: int, seed: str = "") -> DataFrame:
     """(test_id, rep, stat...): D of each statistic from the loci (rep 0) and from ``n`` draws of them.
 
@@ -177,7 +163,7 @@ def d_tests(sites: DataFrame, tests: DataFrame, kind: str, n: int = 50, seed: st
     spread = draws.groupBy("test_id", "stat").agg(own.alias("d"), F.coalesce(sd, F.lit(0.0)).alias("sd"))
     z = F.when(F.col("sd") < 1e-5, 0.0).otherwise(F.abs(F.col("d") / F.col("sd")))
     notes = tests.groupBy("test_id").agg(F.min("note").alias("note"))
-    results = totals.join(spread, ["test_id", "stat"]).join(F.broadcast(notes), "test_id").select("test_id", "stat", "d", F.when(F.col("sd") < 1e-5, 0.0).otherwise(F.col("sd")).alias("sd"), z.alias("z"), "l", "r", "nloci", "pdisc", "note")
+    results = totals.join(spread, ["test_id", "stat"]).join(notes, "test_id").select("test_id", "stat", "d", F.when(F.col("sd") < 1e-5, 0.0).otherwise(F.col("sd")).alias("sd"), z.alias("z"), "l", "r", "nloci", "pdisc", "note")
     lists = per.where(differs).select("test_id", "stat", F.when(F.col("l") > F.col("r"), "ABBA").otherwise("BABA").alias("side"), "xlocus")
     return Run({"test": kind, "replicates": n}, results, lists, draws.where("rep > 0"))
 

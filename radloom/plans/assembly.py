@@ -169,5 +169,11 @@ query("depth_cap", "select sample_id, locus_id, pos, case when n1 + n2 > 500 the
 # Estimates of H and E as a step writes them, of samples with loci enough; means are the priors of the next step.
 PARTS["he"] = "select sample_id, count(distinct locus_id) / 100000.0 as h, count(*) / 10000000.0 as e from reads group by 1"
 NEEDS["he"] = ["reads"]
-query("mean_he", "select round(coalesce(avg(h), 0.01), 9) as h, round(coalesce(avg(e), 0.001), 9) as e, count(*) as samples from he", "he")(lambda s, d: genotypes.mean_he(fx.reads(s, d).groupBy("sample_id").agg((F.count_distinct("locus_id") / 100000.0).alias("h"), (F.count("*") / 10000000.0).alias("e"))))
-query("mean_he_fallback", "select round(coalesce(avg(h), 0.01), 9) as h, round(coalesce(avg(e), 0.001), 9) as e, count(*) as samples from he where h < 0", "he")(lambda s, d: genotypes.mean_he(s.createDataFrame([], "sample_id int, h double, e double")))
+
+
+def _he(s, d):
+    return fx.reads(s, d).groupBy("sample_id").agg((F.count_distinct("locus_id") / 100000.0).alias("h"), (F.count("*") / 10000000.0).alias("e"))
+
+
+query("mean_he", "select round(coalesce(avg(h), 0.01), 9) as h, round(coalesce(avg(e), 0.001), 9) as e, count(*) as samples from he", "he")(lambda s, d: genotypes.mean_he(_he(s, d)))
+query("mean_he_fallback", "select round(coalesce(avg(h), 0.01), 9) as h, round(coalesce(avg(e), 0.001), 9) as e, count(*) as samples from he where h < 0", "he")(lambda s, d: genotypes.mean_he(_he(s, d).where("h < 0")))
