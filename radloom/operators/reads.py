@@ -14,14 +14,16 @@ DEPTH_EDGES = (0, 5, 10, 15, 20, 25, 30, 35, 40, 50, 100, 250, 500, 99999)
 def demultiplex(observed: DataFrame, barcodes: DataFrame, mismatches: int = 1) -> DataFrame:
     """(code, sample_id, barcode, mismatches) of each observed code: the nearest barcode, ties by its text.
 
-    The distinct codes meet the barcodes by deletion-free neighbourhoods: every
-    barcode is expanded to the codes within one mismatch and joined by equality;
-    more mismatches compare the distinct codes of equal length.
+    Codes and barcodes of one length are cut into one part more than
+    ``mismatches``; one of these is equal, so both meet by equality of length,
+    part and place.  Null codes match nothing.
     """
-    codes = observed.select("code").distinct()
-    near = codes.join(barcodes, F.length("code") == F.length("barcode")).withColumn("mismatches", dna.hamming(F.col("code"), F.col("barcode"))).where(F.col("mismatches") <= mismatches)
-    first = F.row_number().over(Window.partitionBy("code").orderBy("mismatches", "barcode"))
-    return near.withColumn("r", first).where("r = 1").select("code", "sample_id", "barcode", "mismatches")
+    n = F.length("text")
+    cut = lambda df, name: df.select("*", F.col(name).alias("text")).select(*df.columns, n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(mismatches)), lambda k: F.substr("text", F.floor(n * k / (mismatches + 1)).cast("int") + 1, (F.floor(n * (k + 1) / (mismatches + 1)) - F.floor(n * k / (mismatches + 1))).cast("int")))).alias("k", "part"))
+    codes = cut(observed.select("code").distinct(), "code")
+    near = codes.join(cut(barcodes, "barcode"), ["n", "k", "part"]).select("code", "sample_id", "barcode", dna.hamming(F.col("code"), F.col("barcode")).alias("mismatches")).where(F.col("mismatches") <= mismatches)
+    best = near.groupBy("code").agg(F.min(F.struct("mismatches", "barcode", "sample_id")).alias("b"))
+    return best.select("code", "b.sample_id", "b.barcode", "b.mismatches")
 
 
 def barcode_report(observed: DataFrame, matches: DataFrame) -> DataFrame:
@@ -42,9 +44,9 @@ def edit_stats(edited: DataFrame) -> DataFrame:
     return edited.groupBy("sample_id").agg(F.count("*").alias("nreads"), F.count_if("passed").alias("passed"), F.sum("n_count").cast("long").alias("n_bases"))
 
 
-def edit_single(reads: DataFrame, cut: str = "TGCAG", second: str = "", strict: int = 1, most_n: int = 4, trimkeep: int = 0, merged: bool = False) -> DataFrame:
+def edit_single(reads: DataFrame, cut: str = "TGCAG", second: str = "", strict: int = 1, most_n: int = 4, trimkeep: int = 0, merged: bool = False, offset: int = 33) -> DataFrame:
     """(read_id, sample_id, kind, seq) of edited single reads that pass: r1 whole, c1 trimmed at an adapter."""
-    return _edited(reads, cut, second, strict, merged).where(_passes(most_n, trimkeep))
+    return _edited(reads, cut, second, strict, merged, offset).where(_passes(most_n, trimkeep))
 
 
 def edit_counts(reads: DataFrame, cut: str = "TGCAG", second: str = "", strict: int = 1, most_n: int = 4, trimkeep: int = 0, merged: bool = False) -> DataFrame:
@@ -54,8 +56,8 @@ def edit_counts(reads: DataFrame, cut: str = "TGCAG", second: str = "", strict:
     return x.groupBy("sample_id").agg(F.count("*").alias("nreads"), F.count_if("whole").alias("passed"), F.count_if("part").alias("trimmed"), F.count_if(F.col("whole") | F.col("part")).alias("total"))
 
 
-def _edited(reads: DataFrame, cut: str, second: str, strict: int, merged: bool) -> DataFrame:
-    s = dna.quality_mask(F.col("seq"), F.col("qual"), cut) if "qual" in reads.columns else F.concat(F.lit(cut), F.substr("seq", F.lit(len(cut) + 1)))
+def _edited(reads: DataFrame, cut: str, second: str, strict: int, merged: bool, offset: int = 33) -> DataFrame:
+    s = dna.quality_mask(F.col("seq"), F.col("qual"), cut, offset=offset) if "qual" in reads.columns else F.concat(F.lit(cut), F.substr("seq", F.lit(len(cut) + 1)))
     x = reads.select("read_id", "sample_id", s.alias("s"))
     at = dna.adapter_cut(F.col("s"), dna.revcomp_text(second or cut), strict) if strict else F.lit(None).cast("int")
     x = x.select("*", F.explode(F.array(at)).alias("at")).withColumn("seq", dna.until(F.col("s"), F.col("at")))  # computed once a row

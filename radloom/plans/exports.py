@@ -144,7 +144,11 @@ query("excluded_text", f"select xlocus, string_agg(rpad('>' || taxon, 12, ' ') |
     lambda s, d: out.excluded_text(phased(s, d), loci.site_class(phased(s, d)), loci.window_flags(phased(s, d), loci.site_class(phased(s, d)), pairs.overhang(phased(s, d), 4), 9, 20, 2, 1).withColumn("flags", F.when(F.col("maxgaps") > 2, "%I").when(F.col("nsnp") > 20, "%S").otherwise("")))
 )
 query("alleles_text", "select xlocus, string_agg(rpad('>' || taxon || '_0', 12, ' ') || translate(seq, 'RKSYWMrksywm', 'GGGTTCATCCAA') || chr(10) || rpad('>' || taxon || '_1', 12, ' ') || translate(seq, 'RKSYWMrksywm', 'ATCCAAGGGTTC'), chr(10) order by taxon) as text from (select xlocus, taxon, string_agg(base, '' order by pos) as seq from phased group by 1, 2) group by 1", "phased")(lambda s, d: out.alleles_text(phased(s, d)))
-query("vcf_head", "select unnest(['##fileformat=VCFv4.1', '##fileDate=20200101', '##source=radloom', '##reference=common_allele_at_each_locus']) as text")(lambda s, d: s.createDataFrame([(x,) for x in out.vcf_head([str(t) for t in _names], "20200101")[:4]], "text string"))
+_info = ", ".join(f"'##{kind}=<ID={i},Number={n},Type={t},Description=\"{text}\">'" for kind, i, n, t, text in out.VCF_FIELDS)
+_columns = ", ".join(f"'{c}'" for c in out.VCF_COLUMNS)
+query("vcf_head", f"select (generate_subscripts(l, 1) - 1)::int as line, unnest(l) as text from (select ['##fileformat=VCFv4.1', '##fileDate=20200101', '##source=radloom', '##reference=common_allele_at_each_locus', {_info}, concat_ws(chr(9), {_columns}, names)] as l from (select string_agg(taxon::varchar, chr(9) order by taxon) as names from (select distinct taxon from sites)))", "sites")(
+    lambda s, d: out.vcf_head_rows(fx.sites(s, d), "20200101")
+)
 query("stats_text", "select value, value || chr(9) || loci || chr(9) || (sum(loci) over (order by value desc rows between unbounded preceding and current row))::bigint as text from (select ntaxa as value, count(*) as loci from summary group by 1)", "summary")(lambda s, d: out.stats_text(loci.distribution(loci.locus_summary(fx.sites(s, d), loci.site_class(fx.sites(s, d))), "ntaxa")))
 query("locus_edges", "select xlocus, taxon, length(seq) - length(ltrim(seq, '-')) as first, greatest(length(rtrim(seq, '-')), 1) as last, trim(replace(seq, '-', 'N'), 'N') as bare from (select xlocus, taxon, string_agg(base, '' order by pos) as seq from phased group by 1, 2)", "phased")(
     lambda s, d: loci.sequences(phased(s, d)).select("xlocus", "taxon", dna.first_base(F.col("seq")).alias("first"), dna.last_base(F.col("seq")).alias("last"), dna.trim_ends(F.translate("seq", "-", "N")).alias("bare"))

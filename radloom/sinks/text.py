@@ -107,12 +107,23 @@ def nexus_sets(summary: DataFrame) -> DataFrame:
     return p.select("xlocus", F.concat(F.lit("  CHARSET p"), F.col("xlocus").cast("string"), F.lit("="), F.col("start").cast("string"), F.lit("-"), F.col("stop").cast("string"), F.lit(";")).alias("text"))
 
 
+# The fields and columns of the format, version 4.1.
+VCF_FIELDS = (("INFO", "NS", "1", "Integer", "Number of Samples With Data"), ("INFO", "DP", "1", "Integer", "Total Depth"), ("INFO", "AF", "A", "Float", "Allele Frequency"), ("INFO", "AA", "1", "String", "Ancestral Allele"), ("FORMAT", "GT", "1", "String", "Genotype"), ("FORMAT", "GQ", "1", "Integer", "Genotype Quality"), ("FORMAT", "DP", "1", "Integer", "Read Depth"))
+VCF_COLUMNS = ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO    ", "FORMAT")
+
+
 def vcf_head(names: list[str], date: str) -> list[str]:
     """Lines before VCF records."""
-    # The lines of the format, version 4.1.
-    about = [("INFO", "NS", "1", "Integer", "Number of Samples With Data"), ("INFO", "DP", "1", "Integer", "Total Depth"), ("INFO", "AF", "A", "Float", "Allele Frequency"), ("INFO", "AA", "1", "String", "Ancestral Allele"), ("FORMAT", "GT", "1", "String", "Genotype"), ("FORMAT", "GQ", "1", "Integer", "Genotype Quality"), ("FORMAT", "DP", "1", "Integer", "Read Depth")]
-    lines = [f'##{kind}=<ID={i},Number={n},Type={t},Description="{d}">' for kind, i, n, t, d in about]
-    return ["##fileformat=VCFv4.1", f"##fileDate={date}", "##source=radloom", "##reference=common_allele_at_each_locus", *lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO    ", "FORMAT", *sorted(names)])]
+    lines = [f'##{kind}=<ID={i},Number={n},Type={t},Description="{d}">' for kind, i, n, t, d in VCF_FIELDS]
+    return ["##fileformat=VCFv4.1", f"##fileDate={date}", "##source=radloom", "##reference=common_allele_at_each_locus", *lines, "\t".join([*VCF_COLUMNS, *sorted(names)])]
+
+
+def vcf_head_rows(sites: DataFrame, date: str) -> DataFrame:
+    """(line, text): the head lines in order, the last one with the taxa of ``sites``."""
+    names = F.array_join(F.array_sort(F.collect_set(F.col("taxon").cast("string"))), "\t")
+    *fixed, columns = vcf_head([], date)
+    x = sites.agg(names.alias("names"))
+    return x.select(F.posexplode(F.array(*[F.lit(t) for t in fixed], F.concat_ws("\t", F.lit(columns), "names"))).alias("line", "text"))
 
 
 def snps_text(sites: DataFrame, classes: DataFrame) -> DataFrame:
