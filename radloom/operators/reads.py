@@ -32,6 +32,21 @@ def barcode_report(observed: DataFrame, matches: DataFrame) -> DataFrame:
     return counts.join(matches, "code", "left").select(F.col("sample_id").alias("matched"), "barcode", "code", "n")
 
 
+def report_lines(report: DataFrame) -> DataFrame:
+    """(matched, code, n, text) of a barcode report: a line a code, tabs between, unmatched ones as `nomatch`.
+
+    In order: samples by number, the unmatched last, then the commonest code first, ties by its text.
+    """
+    sample = F.coalesce(F.col("matched").cast("string"), F.lit("nomatch"))
+    shown = report.select("matched", "code", "n", F.concat_ws("\t", sample, F.coalesce("barcode", F.lit("_")), "code", F.col("n").cast("string")).alias("text"))
+    return shown.orderBy(F.asc_nulls_last("matched"), F.desc("n"), "code")
+
+
+def sample_totals(report: DataFrame) -> DataFrame:
+    """(matched, codes, n) of each sample of a barcode report, and of the unmatched reads (null)."""
+    return report.groupBy("matched").agg(F.count("*").alias("codes"), F.sum("n").alias("n"))
+
+
 def edit(reads: DataFrame, cut: str = "TGCAG", most_n: int = 4, least: int = 32) -> DataFrame:
     """Quality-masked reads with their N count and whether they pass the step's filters."""
     masked = reads.withColumn("masked", dna.quality_mask(F.col("seq"), F.col("qual"), cut))

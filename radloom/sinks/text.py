@@ -126,6 +126,19 @@ def vcf_head_rows(sites: DataFrame, date: str) -> DataFrame:
     return x.select(F.posexplode(F.array(*[F.lit(t) for t in fixed], F.concat_ws("\t", F.lit(columns), "names"))).alias("line", "text"))
 
 
+def phylip_head(sites: DataFrame) -> DataFrame:
+    """(text): taxa and columns with a base, which a phylip file begins with."""
+    known = ~F.col("base").isin("N", "n", "-")
+    columns = sites.groupBy("xlocus", "pos").agg(F.bool_or(known).alias("k")).where("k").agg(F.lit(0).alias("t"), F.count("*").alias("c"))
+    taxa = sites.select("taxon").distinct().agg(F.count("*").alias("t"), F.lit(0).alias("c"))
+    return taxa.unionByName(columns).agg(F.concat_ws(" ", F.sum("t").cast("string"), F.sum("c").cast("string")).alias("text"))
+
+
+def treemix_head(pops: DataFrame) -> DataFrame:
+    """(text): the populations in order, which a treemix file begins with."""
+    return pops.agg(F.array_join(F.array_sort(F.collect_set("gid")), " ").alias("text"))
+
+
 def snps_text(sites: DataFrame, classes: DataFrame) -> DataFrame:
     """(xlocus, taxon, text): the variable sites of a locus and a space; `_ ` for a locus without any.  In order these are a taxon's line."""
     marked = sites.join(classes, ["xlocus", "pos"]).groupBy("xlocus", "taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("cls") != " ", F.struct("pos", "base")))), lambda s: s["base"]), "").alias("s"))
