@@ -27,6 +27,7 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 THRESHOLD = Fraction(9, 10)
 
 # Public license notices; a template of one sentence is sought in sentences, another in paragraphs.
+# Where one word tells licenses apart a template has nine tokens at most, all of which the threshold asks for.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
         "Released under the MIT License.",
@@ -57,12 +58,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the GPL License.",
     ),
     "gpl-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the GNU General Public License, version 3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "SPDX-License-Identifier: GPL-3.0-only",
     ),
     "gpl-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU General Public License, version 2.",
         "SPDX-License-Identifier: GPL-2.0-or-later",
         "SPDX-License-Identifier: GPL-2.0-only",
     ),
@@ -92,33 +93,27 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "cc-by": (
         "Licensed under CC BY.",
-        "This work is licensed under a Creative Commons Attribution License.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Creative Commons Attribution License.",
     ),
     "cc-by-sa": (
         "Licensed under CC BY-SA.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike License.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Creative Commons Attribution-ShareAlike License.",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial License.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Creative Commons Attribution-NonCommercial License.",
     ),
     "cc-by-nd": (
         "Licensed under CC BY-ND.",
-        "This work is licensed under a Creative Commons Attribution-NoDerivatives License.",
-        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Creative Commons Attribution-NoDerivatives License.",
     ),
     "cc-by-nc-sa": (
         "Licensed under CC BY-NC-SA.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike License.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Creative Commons Attribution-NonCommercial-ShareAlike License.",
     ),
     "cc-by-nc-nd": (
         "Licensed under CC BY-NC-ND.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives License.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Creative Commons Attribution-NonCommercial-NoDerivatives License.",
     ),
 }
 

@@ -82,6 +82,20 @@ def test_empty_table(spark):
     assert df.columns[:8] == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"] and df.count() == 0
 
 
+def test_one_word_tells_licenses_apart():
+    index = ls.build({})
+    for text, labels in {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by,cc-by-nc-sa",
+        "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0",
+        "Released under the Apache License 2.0": "apache-2.0",
+        "Released under the Foo License.": "",
+    }.items():
+        assert ls.scan(text, index)[5] == labels
+
+
 def test_one_long_line():
     index = ls.build({})
     text = "word " * 300_000 + "all rights reserved " + "license " * 300_000
