@@ -107,6 +107,32 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_meets_targets_of_small_sources(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * int(rng.paretovariate(0.8) * 5 % 4000), "en", f"s{rng.randrange(12)}" if i % 3 else "hot", 0) for i in range(3000)]
+    for seed in (1, 2, 3):
+        plan = mixing.mix_plan(spark.createDataFrame(rows, DOCS), seed=seed).collect()
+        source = {i: s for i, _, _, s, _ in rows}
+        taken, target, longest = {}, {}, {}
+        for r in plan:
+            s = source[r["doc_id"]]
+            taken[s] = taken.get(s, 0) + r["taken"]
+            target[s], longest[s] = r["target"], max(longest.get(s, 0), r["size"])
+            assert r["copies"] - int(r["target"] / r["source_size"]) in (0, 1)
+        off = {s: abs(taken[s] - target[s]) for s in taken}
+        assert len(off) == 13 and all(off[s] <= longest[s] for s in off)
+        assert sum(off[s] <= target[s] / 1000 + 2 for s in off) >= 8
+    again = mixing.mix_plan(spark.createDataFrame(rows, DOCS).repartition(7), seed=3).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, plan))
+
+
+def test_mixing_probability_is_the_fraction(spark):
+    rows = [(i, "one two three", "en", s, 0) for i, s in enumerate("aaaabbbbcccc")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = [tuple(r["copies"] for r in sorted(mixing.mix_plan(docs, seed=seed).collect())) for seed in range(5)]
+    assert len(set(got)) > 1  # which documents are taken depends on the seed
+
+
 def test_sharding_round_trip(spark, odd, none):
     rows = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(400)], "doc_id long, text string")
     store = sharding.shard(rows, None, arrival_bytes=2000, target_bytes=16000)
