@@ -7,10 +7,11 @@ kernel over neighbouring lines, are split into two clusters; lines of the high
 cluster are content.  The smallest element that holds most content characters
 is the content region, grown to an element around it while that adds content,
 and the region's lines are the text, short ones too.  Elements that are no part
-of an article by name or role (menus, footers, sidebars, forms, scripts) and
-reader comments never give a line, wherever they stand.  A class word (advert,
-related, widget) is evidence only: a block that has one and yet holds most of a
-page's text is a wrapper around the article.  Work is linear in the page,
+of an article by name (menus, footers, sidebars, scripts) and reader comments
+never give a line, wherever they stand.  A class word (advert, related, widget),
+a form or a role is evidence only: a block that has one and yet holds most of a
+page's text is a wrapper around the article.  Class names that tell a state
+(comments-open, has-sidebar, ad-free, overflow-hidden) are no evidence.  Work is linear in the page,
 however deep its elements are nested.
 """
 
@@ -35,15 +36,19 @@ GROWTH, SENTENCE = 0.1, 80
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea input svg math iframe object embed canvas audio video dialog menu fieldset".split())
+_NEVER = frozenset("script style noscript template head title nav footer aside button select option textarea input svg math iframe object embed canvas audio video dialog menu fieldset".split())
 _MAIN = frozenset(["article", "main"])
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status".split())
+_ROLES = frozenset("navigation banner contentinfo menu menubar toolbar".split())
+_WEAK_ROLES = frozenset("complementary search dialog alert alertdialog form status".split())
+_STATES = frozenset("has is no not with without open opened closed enabled disabled allowed on off free how to overflow visible count".split())
 _CLASSES = frozenset(
     "nav navbar navigation menu submenu menubar sidebar sidebars aside footer masthead banner ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion promoted "
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations breadcrumb breadcrumbs pagination pager comments comment commentlist replies reply respond disqus widget widgets toolbar copyright disclaimer paywall search hidden".split()
 )
 _COMMENTS = frozenset("comments comment commentlist replies reply respond disqus".split())
+#: A form or an element with a weak role must hold this share of a page's text to be a wrapper.
+FORM_SHARE = 0.8
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure figcaption details".split())
 _SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 _TWINS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
@@ -53,23 +58,32 @@ _SPACES = re.compile(r"\s+")
 
 
 def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> str:
-    """Why an element is no part of an article: '', 'name', 'class' or 'comments'."""
+    """Why an element is no part of an article: '', 'name', 'comments', 'header', 'form' or 'class'."""
     if tag in _NEVER:
         return "name"
     a = dict(attrs)
-    if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower() or (a.get("role") or "").lower() in _ROLES:
+    role = (a.get("role") or "").lower()
+    if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower() or role in _ROLES:
         return "name"
     if tag in ("html", "body"):
         return ""
     words = set()
     for name in ("class", "id"):
         for item in (a.get(name) or "").split():
-            words.update(x.lower() for x in _SPLIT.split(item[:1].lower() + item[1:]) if x)
+            parts = {x.lower() for x in _SPLIT.split(item[:1].lower() + item[1:]) if x}
+            if tag in _MAIN:  # an article falls to a whole name of a comment only
+                words |= _COMMENTS & {item.lower()}
+            elif not parts & _STATES:
+                words |= parts
     if words & _COMMENTS:
         return "comments"
-    if "header" in words and tag not in ("article", "main"):
+    if tag in _MAIN:
+        return ""
+    if tag == "form" or role in _WEAK_ROLES:
+        return "form"
+    if "header" in words:
         return "header"
-    return "class" if words & _CLASSES and tag not in _MAIN else ""
+    return "class" if words & _CLASSES else ""
 
 
 class _Lines(HTMLParser):
@@ -133,7 +147,7 @@ class _Lines(HTMLParser):
             why = ""  # an article inside a header, and the headline in an article's own header
         else:
             why = above or ("header" if tag == "header" else "")
-        self.elements.append((tag, self.stack[-1][1] if self.stack else -1, own if own in ("class", "header") else ""))
+        self.elements.append((tag, self.stack[-1][1] if self.stack else -1, own if own in ("class", "header", "form") else ""))
         self.open.setdefault(tag, []).append(len(self.stack))
         if tag not in _INLINE:
             self.blocks.append(len(self.stack))
@@ -204,7 +218,7 @@ def _kept(parser: _Lines) -> list[tuple[str, int, int, int]]:
             above = reason[parent]
             own = "" if e in pardoned else why
             inside[e] = inside[parent] or tag in _MAIN
-            if own == "class":
+            if own in ("class", "form"):
                 reason[e] = own
             elif not (tag in _MAIN or above == "header" and inside[parent] and tag in _HEADINGS):
                 reason[e] = above or own
@@ -217,7 +231,11 @@ def _kept(parser: _Lines) -> list[tuple[str, int, int, int]]:
         while e >= 0 and e not in around:
             around.add(e)
             e = elements[e][1]
-    pardoned = {e for e, (_, _, why) in enumerate(elements) if why and below[e] >= REGION_SHARE * below[-1] and (not mains or e in around or inside[e])}
+    pardoned = set()
+    for e, (_, _, why) in enumerate(elements):
+        share = FORM_SHARE if why == "form" else REGION_SHARE
+        if why and below[e] >= share * below[-1] and (not mains or e in around or inside[e] and why != "form"):
+            pardoned.add(e)
     if pardoned:
         reason, _ = reasons(pardoned)
     return [line for line in lines if not reason[line[3]]]
@@ -272,15 +290,21 @@ def extract(html: str | None) -> str:
     if region < 0 or elements[region][0] not in _MAIN:  # no element says where the article ends: cut link lists and notices at its edges
         keep = [i for i in inside if content[i]]
         first, last = (keep[0], keep[-1]) if keep else (inside[0], inside[-1])
-        for i in reversed([i for i in inside if i < first]):  # up to a heading above, over sentences only
-            if elements[lines[i][3]][0] in ("h1", "h2", "h3"):
-                first = i
-            elif not _sentence(lines[i]):
+        whole = region >= 0 and elements[region][0] not in ("html", "body")
+
+        def belongs(i: int) -> bool:
+            """Whether a line beside the content is part of it: not a link or notice; in a body, a sentence or text of a paragraph, list or heading."""
+            line = lines[i]
+            return not _links(line) and not _NOTICE.match(line[0]) and (whole or _sentence(line) or elements[line[3]][0] in _LEAVES)
+
+        for i in reversed([i for i in inside if i < first]):
+            if not belongs(i):
                 break
+            first = i
         for i in inside:
-            if i > last and _sentence(lines[i]):
+            if i > last and (_sentence(lines[i]) or i == last + 1 and belongs(i)):
                 last = i
-        inside = [i for i in inside if first <= i <= last and not _links(lines[i])]
+        inside = [i for i in inside if first <= i <= last]
     return " ".join(lines[i][0] for i in inside)
 
 

@@ -343,6 +343,27 @@ def test_html_wrappers_with_doubtful_names():
     assert html_text.extract(f"<body><div id=content>{parts}</div><div>(c) me</div>") == html_text.extract(f"<main><article><p>{t}</p><p>{t}</p></article><p>{t}</p></main>") == " ".join([one] * 3)
 
 
+def test_html_names_that_tell_a_state_or_wrap_the_page():
+    t = "The quick brown fox jumped over the lazy dogs and went home again after a long day."
+    body, want = f"<p>{t}</p>" * 6, " ".join([t] * 6)
+    opens = ['<article class="post comments-open">', '<div class="post has-comments">', '<div id="how-to-respond">', "<form><div>", '<div role="status">', "<form><article>"]
+    assert [html_text.extract(f"<body><nav><a>x</a></nav>{o}{body}<footer>f</footer>") for o in opens] == [want] * 6
+    page = f"<div class='content'><p class='overflow-hidden'>{t}</p><p>{t}</p><p class='ad-free'>{t}</p></div>"
+    assert html_text.extract(page) == " ".join([t] * 3)
+    assert html_text.extract(f"<article>{body}<form>Your name and a mail address, please.</form><div role=alert>Stop!</div></article>") == want
+    assert html_text.extract(f"<article><p>{t}</p></article><form>{body}</form>") == t
+    assert html_text.extract(f"<article>{body}<ol class=comment-list><li><article class=comment>{body}</article></ol></article>") == want
+
+
+def test_html_short_lines_without_an_article_element():
+    t = "The quick brown fox jumped over the lazy dogs and went home again after a long day."
+    inner = f"<h1>Head</h1><h2>By someone</h2><p>{t}</p><ul><li>one</li><li>two</li></ul><p>{t}</p><p>{t}</p><h3>Last words</h3><p>The end</p>"
+    want = f"Head By someone {t} one two {t} {t} Last words The end"
+    menu = "<ul><li><a>Home</a></li><li><a>About us</a></li></ul>"
+    pages = [f"<body>{menu}<div class=content>{inner}</div>{menu}<p>Copyright me</p>", f"<body>{menu}{inner}{menu}<p>Copyright me</p>", f"<body>{inner}"]
+    assert [html_text.extract(p) for p in pages] == [want] * 3
+
+
 def test_html_nesting_is_linear():
     import time
 
