@@ -21,11 +21,15 @@ from .scratch import ready
 #: Kinds in the order that breaks ties of position; the first four have the base definitions.
 KINDS = ("email", "ip", "card", "phone", "account", "masked", "url", "secret")
 #: Words that announce an account number, key or document number.
-CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "ssn", "passport")
+CUES = ("iban", "account", "acct", "konto", "kontonummer", "cuenta", "compte", "ssn", "routing number", "passport")
 #: Words that announce a secret.
 SECRETS = ("api_key", "api-key", "api key", "apikey", "secret", "secret_key", "client_secret", "token", "access_token", "auth_token", "bearer", "password", "passwd", "private_key")
 #: Characters of a secret at least, and different ones among them: what a word or a number has not.
 SECRET_LENGTH, SECRET_SIGNS = 12, 8
+#: What known keys begin with, and their whole form.
+PREFIXES = {"AKIA": r"AKIA[A-Z0-9]{16}", "ghp_": r"ghp_[A-Za-z0-9]{36}", "sk_live_": r"sk_live_[A-Za-z0-9]{16,}", "-----BEGIN ": r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"}
+#: Cues after which, with = or : at once, any value of so many characters is a secret.
+PASSWORDS, PASSWORD_LENGTH = frozenset(["password", "passwd"]), 6
 #: Bracketed at-signs of masked addresses.
 MASKS = ("[at]", "(at)", "{at}")
 
@@ -37,6 +41,9 @@ _CARD_RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _PHONE_RUN = re.compile(r"\+[0-9][\x20().0-9-]+")
 _VALUE = re.compile(r"\W{0,4}(?:(?:no|nr|number|is)\b\W{0,3})?([A-Za-z0-9][A-Za-z0-9-]*(?: [A-Z0-9]{2,4}\b)*)")
 _SECRET = re.compile(r"['\"]?(?:[\x20\t]{0,3}[=:][\x20\t]{0,3}|[\x20\t]{1,3}(?:is[\x20\t]{1,3})?)['\"]?([A-Za-z0-9_+/.=~-]+)")
+_PASSWORD = re.compile(r"[=:]['\"]?([^\s'\"&;,<>]+)")
+_KEYS = {k.lower(): re.compile(v + r"(?![A-Za-z0-9])") for k, v in PREFIXES.items()}
+_FOLD = {c: c + 32 for c in range(65, 91)}
 _MASKED = re.compile(r"[\[({]at[\])}] ?([A-Za-z0-9-]+(?: ?(?:\.|[\[({]dot[\])}]) ?[A-Za-z0-9-]+)+)", re.I)
 _SCHEME = frozenset(string.ascii_letters + string.digits + "+.-")
 _URL_END = re.compile(r"[\s<>\"'`{}|\\^]")
@@ -64,14 +71,13 @@ def automaton():
     a.add_word("+", ("plus", 1))
     a.add_word("://", ("scheme", 3))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            a.add_word(form, ("cue", len(form)))
+        a.add_word(cue, ("cue", len(cue)))
     for cue in SECRETS:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            a.add_word(form, ("secret", len(form)))
+        a.add_word(cue, ("secret", len(cue)))
+    for prefix in _KEYS:
+        a.add_word(prefix, ("key", len(prefix)))
     for mask in MASKS:
-        for form in {mask, mask.upper()}:
-            a.add_word(form, ("mask", len(form)))
+        a.add_word(mask, ("mask", len(mask)))
     a.make_automaton()
     return a
 
@@ -83,7 +89,7 @@ def _ips(text: str, start: int, stop: int) -> list[Span]:
         if part:
             parts.append((at, at + len(part)))
         if len(parts) == 4:
-            if all(b - a < 10**4 and int(text[a:b].lstrip("0")[:4] or 0) <= 255 for a, b in parts):
+            if all(int(text[a:b].lstrip("0")[:4] or 0) <= 255 for a, b in parts):
                 found.append((parts[0][0], 1, parts[3][1]))
             parts = []
         elif not part:
@@ -92,18 +98,39 @@ def _ips(text: str, start: int, stop: int) -> list[Span]:
     return found
 
 
-def _account(text: str, end: int) -> Span | None:
+def _iban(value: str) -> bool:
+    """Whether the remainder of an IBAN's number by 97 is 1; it has 15 to 34 signs."""
+    if not 15 <= len(value) <= 34:
+        return False
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+def _valid(cue: str, value: str) -> bool:
+    """Whether an account value keeps the rules of its kind, where the cue or its form names one."""
+    plain = value.replace(" ", "").replace("-", "").upper()
+    if cue == "iban" or re.match(r"[A-Z]{2}[0-9]{2}", plain) and 15 <= len(plain) <= 34 and cue != "passport":
+        return plain[:2].isalpha() and _iban(plain)
+    if cue == "ssn":
+        return len(plain) == 9 and plain.isdigit() and plain[:3] not in ("000", "666") and plain[0] != "9" and plain[3:5] != "00" and plain[5:] != "0000"
+    if cue == "routing number":
+        return len(plain) == 9 and plain.isdigit() and plain != "0" * 9 and sum(int(c) * w for c, w in zip(plain, (3, 7, 1) * 3, strict=True)) % 10 == 0
+    return True
+
+
+def _account(text: str, end: int, cue: str) -> Span | None:
     m = _VALUE.match(text, end)
     if not m:
         return None
     value = m.group(1)
-    if len(value) < 6 or len(value) > 64 or sum(c in _DIGITS for c in value) < 4:
+    if len(value) < 6 or sum(c in _DIGITS for c in value) < 4 or not _valid(cue, value):
         return None
     return m.start(1), 4, m.end(1)
 
 
-def _secret(text: str, end: int) -> Span | None:
-    """A value after a cue that mixes letters and digits as no word does."""
+def _secret(text: str, end: int, cue: str) -> Span | None:
+    """A value after a cue that mixes letters and digits as no word does; a password's need not."""
+    if cue in PASSWORDS and (m := _PASSWORD.match(text, end)) and len(m.group(1).rstrip(".")) >= PASSWORD_LENGTH:
+        return m.start(1), 7, m.start(1) + len(m.group(1).rstrip("."))
     m = _SECRET.match(text, end)
     if not m:
         return None
@@ -116,8 +143,9 @@ def _secret(text: str, end: int) -> Span | None:
 def spans(text: str, anchors) -> list[Span]:
     """All spans of a text by start, then kind."""
     found: list[Span] = []
-    email_end = ip_end = card_end = url_end = secret_end = 0
-    for last, (what, length) in anchors.iter(text):
+    email_end = ip_end = card_end = url_end = secret_end = account_end = 0
+    folded = text.translate(_FOLD)  # A-Z only, so places stay
+    for last, (what, length) in anchors.iter(folded):
         at = last - length + 1
         if what == "digit":
             if at >= ip_end:
@@ -148,13 +176,18 @@ def spans(text: str, anchors) -> list[Span]:
                     found.append((at, 3, end))
         elif what == "cue":
             before, after = text[at - 1 : at], text[last + 1 : last + 2]
-            if not before.isalnum() and not after.isalnum() and (s := _account(text, last + 1)):
+            if not before.isalnum() and not after.isalnum() and last >= account_end and (s := _account(text, last + 1, folded[at : last + 1])):
                 found.append(s)
+                account_end = s[2]
         elif what == "secret":
             before, after = text[at - 1 : at], text[last + 1 : last + 2]
-            if not before.isalnum() and not after.isalnum() and after not in ("_", "-") and last >= secret_end and (s := _secret(text, last + 1)):
+            if not before.isalnum() and not after.isalnum() and after not in ("_", "-") and last >= secret_end and (s := _secret(text, last + 1, folded[at : last + 1])):
                 found.append(s)
                 secret_end = s[2]
+        elif what == "key":
+            if at >= secret_end and not text[at - 1 : at].isalnum() and (m := _KEYS[folded[at : last + 1]].match(text, at)):
+                found.append((at, 7, m.end()))
+                secret_end = m.end()
         elif what == "mask":
             left = at - (text[at - 1 : at] == " ")
             start = left
@@ -205,7 +238,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     ip ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)`` with parts of at most 255;
     card ``[0-9]([\\x20-]?[0-9])+`` with 14 to 19 digits that pass Luhn;
     phone ``\\+[0-9][\\x20().0-9-]+[0-9]`` with 10 to 15 digits.  The method
-    adds accounts and secrets after a cue word, addresses with a bracketed at, and URLs.
+    adds accounts and secrets after a cue word (in any case), keys by their
+    prefix, addresses with a bracketed at, and URLs.  An IBAN must pass its
+    remainder by 97, a routing number its checksum, an SSN its rules of parts.
     ``spans`` joins kind:start:end (code points, end exclusive) by comma, by
     start, then kind; base_sha256 is the SHA-256 of the base ones so joined.
     Null and empty texts have no span.  One pass, no shuffle; repeated rows

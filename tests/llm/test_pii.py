@@ -5,6 +5,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from radloom.llm import pii
 from radloom.llm.pii import automaton, luhn, spans
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -80,3 +81,21 @@ def test_rows_and_counts(spark):
         assert r["doc_id"] == i and r["spans"] == joined(found) and r["base_sha256"] == hashlib.sha256(joined(brute(text or "")).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in KINDS] == [sum(s[1] == n for s in found) for n in range(len(KINDS))]
     assert [r["n_secret"] for r in got if r["doc_id"] in (1, 4)] == [1, 1, 1]
+
+
+def test_accounts_keep_the_rules_of_their_kind_and_keys_are_found_by_prefix():
+    a = pii.automaton()
+
+    def of(text):
+        return [(pii.KINDS[k], text[i:j]) for i, k, j in pii.spans(text, a) if k >= 4]
+
+    assert of("iBAN: DE89 3704 0044 0532 0130 00.") == [("account", "DE89 3704 0044 0532 0130 00")]
+    assert of("IBAN DE00 0000 0000 0000 0000 00") == of("SSN 000-00-0000") == of("ssn 666-12-1234") == of("routing number 123456789") == []
+    assert of("SSN 123-45-6789, Routing Number: 021000021, Kontonummer 12345678") == [("account", "123-45-6789"), ("account", "021000021"), ("account", "12345678")]
+    keys = ["AKIA" + "ABCD1234" * 2, "ghp_" + "aB3" * 12, "sk_" + "live_" + "a1B2" * 6, "-----BEGIN RSA PRIVATE KEY-----"]
+    assert of("x " + " y ".join(keys)) == [("secret", k) for k in keys]
+    assert of("password=correcthorse") == [("secret", "correcthorse")] and of("the password is required") == []
+    long = "A1" * 50_000
+    assert of("account " + long) == [("account", long)]
+    ip = "0" * 20_000 + "1.2.3.4"
+    assert [(k, i, j) for i, k, j in pii.spans(ip, a)] == [(1, 0, len(ip))]
