@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from radloom.functions import dna
 from radloom.operators import clusters, genotypes, reads, similarity
-from radloom.plans import assembly, clustering, dtests, exports, files, mates, phasing, queries as plans  # noqa: F401 (all but the last register their queries)
+from radloom.plans import assembly, clustering, dtests, exports, files, mates, phasing, reports, queries as plans  # noqa: F401 (all but the last register their queries)
 
 SF = "/root/testdata/sf0.001"
 
