@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from radloom.operators import loci
+from radloom.operators import reads as rd
 from radloom.plans import exports, fixtures as fx
 from radloom.plans.queries import NEEDS, PARTS, _flagged, query
 from radloom.sinks import report
@@ -60,3 +61,19 @@ def _ranges(s, d):
 
 
 query("partition_file", "select xlocus, 'DNA, p' || xlocus || '=' || (min(place) + 1) || '-' || (max(place) + 1) as text from kept group by 1", "kept")(lambda s, d: report.partition_lines(_ranges(s, d)))
+
+
+_MEANS = "coalesce(round(avg(depth){0}, 3)::varchar, 'na'), coalesce(round(stddev_pop(depth){0}, 3)::varchar, 'na')"
+_KEPT = " filter (depth >= 6)"
+_EDGES = ", ".join(map(str, rd.DEPTH_EDGES[:-1]))
+_TOPS = ", ".join(map(str, rd.DEPTH_EDGES[1:-1])) + ", 1000000000000"
+_CLUSTERS = f"""
+select 0 as section, '' as sample, 0 as line, {_tabs("'taxa'", "'total'", "'dpt.me'", "'dpt.sd'", "'d>5.tot'", "'d>5.me'", "'d>5.sd'", "'badpairs'")} as text
+union all select 1, sample_id::varchar, 0, {_tabs("sample_id", "count(*)", _MEANS.format(""), f"count(*){_KEPT}", _MEANS.format(_KEPT), "0")} from depth group by sample_id
+union all select 2, '', unnest(range(0, {len(report.CLUSTER_NOTES)})), unnest(['{"', '".join(report.CLUSTER_NOTES)}'])
+union all select 3, sample_id::varchar, unnest([0, 1, 2]), unnest(['sample: ' || sample_id, {", ".join("replace('" + t.replace(chr(9), "~") + "', '~', chr(9))" for t in report.HISTOGRAM)}]) from (select distinct sample_id from depth)
+union all select 3, sample_id::varchar, i + 3, low || ' ' || chr(9) || case when loci > 0 then '*' else ' ' end || rpad(repeat('*', round(loci * 30 / whole)::int), 34, ' ') || loci from (
+  select sample_id, i, low, count(*) filter (depth >= low and depth < top) as loci, count(*) as whole
+  from depth, (select unnest(range(0, {len(rd.DEPTH_EDGES) - 1})) as i, unnest([{_EDGES}]) as low, unnest([{_TOPS}]) as top) group by 1, 2, 3)
+"""
+query("cluster_statistics_file", _CLUSTERS, "depth")(lambda s, d: report.cluster_statistics(rd.depths(fx.reads(s, d))))

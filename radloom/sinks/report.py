@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from radloom.operators import reads
+
 # The sections of a statistics file, each with its head lines.
 TOTALS = ("## loci with > minsp containing data", "## loci with > minsp containing data & paralogs removed", "## loci with > minsp containing data & paralogs removed & final filtering")
 TAXA = ("## number of loci recovered in final data set for each taxon.", "taxon\tnloci")
@@ -89,3 +91,57 @@ def phylip(blocks: DataFrame, width: int = 12) -> DataFrame:
 def partition_lines(ranges: DataFrame) -> DataFrame:
     """(xlocus, text): a line a locus of a partition file, from (xlocus, start, stop)."""
     return ranges.select("xlocus", F.concat(F.lit("DNA, p"), F.col("xlocus").cast("string"), F.lit("="), F.col("start").cast("string"), F.lit("-"), F.col("stop").cast("string")).alias("text"))
+
+
+# What a cluster statistics file says of its columns, and the head of a histogram.
+CLUSTER_NOTES = (
+    "## total = total number of clusters, including singletons",
+    "## dpt.me = mean depth of clusters",
+    "## dpt.sd = standard deviation of cluster depth",
+    "## >N.tot = number of clusters with depth greater than N",
+    "## >N.me = mean depth of clusters with depth greater than N",
+    "## >N.sd = standard deviation of cluster depth for clusters with depth greater than N",
+    "## badpairs = mismatched 1st & 2nd reads (only for paired ddRAD data)",
+    "HISTOGRAMS",
+)
+HISTOGRAM = ("bins\tdepth_histogram\tcnts", "   :\t0------------50-------------100%")
+#: Stars of a bin that holds all clusters, and the width they are padded to.
+STARS, BAR = 30, 34
+
+
+def cluster_statistics(depth: DataFrame, badpairs: DataFrame | None = None, least: int = 6) -> DataFrame:
+    """(section, sample, line, text): the whole statistics file of clusters within samples.
+
+    ``depth`` has a row a cluster: sample_id, depth; ``badpairs`` may give
+    (sample_id, badpairs), 0 where it does not.  Sections, each in order of
+    sample, as text, and line: 0 the head, 1 a line a sample, 2 notes, 3 a histogram a
+    sample with a star for each thirtieth of its clusters.  Means without a
+    cluster are written as na.  The head and notes stand also in the file of an
+    empty table.
+
+    Two aggregates over (sample), (sample, bin) read the clusters; the rest
+    runs over one row a sample and bin.
+    """
+    spark = depth.sparkSession
+    head = "\t".join(["taxa", "total", "dpt.me", "dpt.sd", *[f"d>{least - 1}.{x}" for x in ("tot", "me", "sd")], "badpairs"])
+    fixed = spark.createDataFrame([(0, 0, head), *[(2, i, t) for i, t in enumerate(CLUSTER_NOTES)]], "section int, line int, text string")
+    stats = reads.depth_stats(depth, least)
+    stats = stats.join(badpairs, "sample_id", "left") if badpairs is not None else stats.withColumn("badpairs", F.lit(0))
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("na")) for c in ("sample_id", "n", "mean", "sd", "n_kept", "mean_kept", "sd_kept")]
+    lines = stats.select(F.lit(1).alias("section"), "sample_id", F.lit(0).alias("line"), F.concat_ws("\t", *shown, F.coalesce("badpairs", F.lit(0)).cast("string")).alias("text"))
+
+    edges = reads.DEPTH_EDGES[:-1]
+    bins = reads.depth_histogram(depth).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("low", "loci"))).alias("by"), F.sum("loci").alias("whole"))
+    bins = bins.select("sample_id", "by", "whole", F.posexplode(F.array(*[F.lit(e) for e in edges])).alias("at", "low")).withColumn("loci", F.coalesce(F.try_element_at("by", F.col("low")), F.lit(0)))
+    bar = F.concat(F.when(F.col("loci") > 0, "*").otherwise(" "), F.rpad(F.repeat(F.lit("*"), F.round(F.col("loci") * STARS / F.col("whole")).cast("int")), BAR, " "))
+    bars = bins.select(F.lit(3).alias("section"), "sample_id", (F.col("at") + len(HISTOGRAM) + 1).alias("line"), F.concat(F.col("low").cast("string"), F.lit(" \t"), bar, F.col("loci").cast("string")).alias("text"))
+    title = F.concat(F.lit("sample: "), F.coalesce(F.col("sample_id").cast("string"), F.lit("na")))
+    titles = stats.select(F.lit(3).alias("section"), "sample_id", F.posexplode(F.array(title, *[F.lit(t) for t in HISTOGRAM])).alias("line", "text"))
+    out = lines.unionByName(titles).unionByName(bars).unionByName(fixed, allowMissingColumns=True)
+    return out.select("section", F.when(F.col("section").isin(1, 3), F.coalesce(F.col("sample_id").cast("string"), F.lit("na"))).otherwise("").alias("sample"), "line", "text")
+
+
+def estimate_lines(estimates: DataFrame) -> DataFrame:
+    """(sample_id, text): the estimates file after its head ``taxa, H, E``: eight decimals of each sample's H and E, ten signs at most."""
+    show = lambda c: F.left(F.format_string("%.8f", F.col(c)), F.lit(10))
+    return estimates.select("sample_id", F.concat_ws("\t", F.col("sample_id").cast("string"), show("h"), show("e")).alias("text"))

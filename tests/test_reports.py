@@ -32,3 +32,20 @@ def test_phylip_file(spark):
     assert got == ["a           ACG", "T", "a_very_long_name NNN", "C"]
     assert report.phylip(blocks.limit(0)).count() == 0
     assert report.partition_lines(spark.createDataFrame([(3, 1, 32)], "xlocus long, start long, stop long")).first()["text"] == "DNA, p3=1-32"
+
+
+def test_cluster_statistics_file(spark):
+    depth = spark.createDataFrame([(1, 1)] * 9 + [(1, 7), (2, 3), (2, 600)], "sample_id int, depth long")
+    got = report.cluster_statistics(depth, spark.createDataFrame([(2, 5)], "sample_id int, badpairs long")).orderBy("section", "sample", "line").collect()
+    text = [r["text"] for r in got]
+    assert text[0].split("\t")[4:] == ["d>5.tot", "d>5.me", "d>5.sd", "badpairs"]
+    assert text[1:3] == ["1\t10\t1.6\t1.8\t1\t7.0\t0.0\t0", "2\t2\t301.5\t298.5\t1\t600.0\t0.0\t5"]
+    assert text[3:11] == list(report.CLUSTER_NOTES)
+    assert text[11:16] == ["sample: 1", *report.HISTOGRAM, "0 \t*" + f"{'*' * 27:<34}9", "5 \t*" + f"{'*' * 3:<34}1"]
+    assert len(text) == 11 + 2 * 16 and text[-1].startswith("500 \t*") and text[-1].endswith(" 1")
+    assert report.cluster_statistics(depth.limit(0)).count() == 9
+
+
+def test_estimates_file(spark):
+    rows = spark.createDataFrame([(1, 0.0123456789, 0.0005), (2, 0.0, 0.1)], "sample_id int, h double, e double")
+    assert [r["text"] for r in report.estimate_lines(rows).orderBy("sample_id").collect()] == ["1\t0.01234568\t0.00050000", "2\t0.00000000\t0.10000000"]
