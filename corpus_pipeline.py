@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the shared folder and reads it back for the next.
+
+All stages but the last return the columns of ``docs`` under their names,
+others than those of the documents table too, and an empty table for an empty
+one.  What each does with nulls and repeated rows its docstring says.
 """
 
 from __future__ import annotations
@@ -19,27 +23,49 @@ from radloom.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.3."""
+    """Documents whose toxicity score is below 0.3.
+
+    Null and empty texts score as texts without hits; repeated rows go or stay
+    together.  Without a toxic or a clean label all rows have one score.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: 5-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near duplicates: 5-word shingles, Jaccard similarity 0.8 or more.
+
+    That of smallest doc_id stays.  Null, empty and wordless texts and rows
+    with a null doc_id link with nothing and stay; of rows in a linked group
+    that repeat doc_id and text one stays.
+    """
     return drop_near_duplicates(docs, k=5, threshold=Fraction(4, 5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Null, empty and wordless texts stay, as do all rows where no item has a
+    word; repeated rows go or stay together.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix to weights 1, 2, 3 takes it."""
+    """Each document as often as the mix to weights 1, 2, 3 takes it, 0 times included.
+
+    A null source is a source of its own; null and empty texts have size 0 and
+    are taken at their source's rate; a source without words goes.  Repeated
+    rows share a draw.
+    """
     return mix(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as read back from compacted shards, with their shard."""
+    """The documents as read back from compacted shards, with their shard.
+
+    One row a document, repeated rows too; a null text has 0 bytes and a null
+    hash.  Other columns are in the shards and not in the listing.
+    """
     return shard_listing(docs)
 
 
@@ -50,7 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the documents table."""
+    """All stages, from the documents table; odd rows as each stage says, no row for an empty table."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
