@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,10 @@ ARRIVAL_BYTES, TARGET_BYTES = 2 << 20, 16 << 20
 FANOUT = 4
 #: A compaction shuffles its bins in so many passes, so that disk never holds a shuffle of all texts beside both sets of shards.
 PASSES = 4
+#: Shard numbers whose sizes one task of a compaction plan adds up.
+CHUNK = 4096
+#: Seconds after which a folder that no manifest names counts as left behind.
+ABANDONED = 24 * 3600
 #: Columns of a store's folders; a column of the documents with such a name is kept under one more underscore.
 _OWN = re.compile(r"(run|shard)_*", re.I)
 
@@ -51,11 +56,14 @@ def compaction_plan(shards: DataFrame, arrival: int, target: int) -> DataFrame:
 
     Shards of at least half the target are left alone.  The others of a tier,
     in order of their number, fill bins of ``target`` bytes; a bin of one shard
-    is left alone.  The windows run over shards, not documents, within a tier.
+    is left alone.  Sizes are summed in two steps, within ranges of CHUNK shard
+    numbers and over the ranges, so no task holds all shards of a tier.
     """
-    open_ = shards.where(F.col("bytes") * 2 < target).withColumn("tier", tier(F.col("bytes"), arrival, target))
-    before = Window.partitionBy("tier").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    binned = open_.withColumn("bin", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / target))
+    open_ = shards.where(F.col("bytes") * 2 < target).withColumn("tier", tier(F.col("bytes"), arrival, target)).withColumn("chunk", F.floor(F.col("shard") / CHUNK))
+    earlier = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = open_.groupBy("tier", "chunk").agg(F.sum("bytes").alias("bytes")).select("tier", "chunk", earlier(Window.partitionBy("tier").orderBy("chunk")).alias("start"))
+    placed = open_.withColumn("within", earlier(Window.partitionBy("tier", "chunk").orderBy("shard"))).join(ranges, ["tier", "chunk"])
+    binned = placed.withColumn("bin", F.floor((F.col("start") + F.col("within")) / target))
     whole = Window.partitionBy("tier", "bin")
     binned = binned.withColumn("n", F.count("*").over(whole)).withColumn("merged", F.min("shard").over(whole))
     return binned.where("n > 1").select("shard", "merged")
@@ -71,9 +79,13 @@ class ShardStore:
 
     def version(self) -> int:
         """The last committed version; 0 before the first."""
+        return max(self._versions(), default=0)
+
+    def _versions(self) -> list[int]:
+        """All committed versions that are kept."""
         fs, p = hadoop(self.spark, f"{self.path}/commits")
         found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return max((int(n) for n in found if n.isdigit()), default=0)
+        return [int(n) for n in found if n.isdigit()]
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """(v, run, shard, bytes, docs): the shards of a version; v is the version that wrote the shard, run its attempt's folder."""
@@ -96,7 +108,7 @@ class ShardStore:
 
     def _commit(self, manifest: DataFrame, version: int, columns: StructType | None = None) -> None:
         name = f"{version:08d}-{uuid.uuid4().hex}"
-        manifest.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
+        manifest.hint("rebalance").write.parquet(f"{self.path}/manifests/{name}")
         fs, aside = hadoop(self.spark, f"{self.path}/commits/.{name}")
         out = fs.create(aside, False)
         try:
@@ -120,9 +132,10 @@ class ShardStore:
         return run
 
     def _sizes(self, run: str, version: int) -> DataFrame:
-        """Manifest rows of the shards of a run; none where it wrote no shard."""
+        """Manifest rows of the shards of a run; one that wrote no shard has none and is deleted."""
         fs, p = hadoop(self.spark, f"{self.path}/data/run={run}")
         if not any(s.getPath().getName().startswith("shard=") for s in fs.listStatus(p)):
+            fs.delete(p, True)
             return self.manifest(0)
         own = self.spark.read.parquet(f"{self.path}/data/run={run}")
         size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")
@@ -134,20 +147,34 @@ class ShardStore:
 
         A row goes to one of total bytes / arrival size shards by a hash of its
         doc_id, so a hot source or group of copies is spread over all of them.
+        Columns may be missing or new; one that the store holds with another
+        type is refused before anything is written.
         """
         version = self.version() + 1
+        known = self._committed(version - 1)[1]
+        kept = self._kept(docs, known)
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n = max(1, -(-int(total) // self.arrival))
         digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
         old = self.manifest(version - 1)
         start = (old.agg(F.max("shard")).first()[0] or 0) + 1 if version > 1 else 0
-        kept = docs.select(*[named(c).alias(c + "_") if _OWN.fullmatch(c) else named(c) for c in docs.columns])
         run = self._write(kept.withColumn("shard", digest % n + start), n)
-        known = self._committed(version - 1)[1]
         names = {f.name for f in known}
         self._commit(old.unionByName(self._sizes(run, version)), version, StructType([*known, *[f for f in kept.schema if f.name not in names]]))
         return version
 
+    def _kept(self, docs: DataFrame, known: StructType) -> DataFrame:
+        """``docs`` under the names in which the store keeps columns; a name that differs in case only is the known one."""
+        by = {f.name.lower(): f for f in known}
+        out = []
+        for f in docs.schema:
+            name = f.name + "_" if _OWN.fullmatch(f.name) else f.name
+            held = by.get(name.lower())
+            if held is not None and held.dataType.simpleString() != f.dataType.simpleString():
+                raise ValueError(f"column {f.name} is {f.dataType.simpleString()}, the store holds {held.dataType.simpleString()}")
+            out.append(named(f.name).alias(held.name if held is not None else name))
+        return docs.select(*out)
+
     def compact(self) -> int:
         """Merge similarly sized shards up to the target size; returns the version, the old one if nothing was to merge."""
         now = self.version()
@@ -185,24 +212,32 @@ class ShardStore:
         rows = self.located(version)
         return self.spark.createDataFrame([], "doc_id long, text string") if rows is None else rows.select("row.*")
 
-    def vacuum(self) -> None:
-        """Delete what the last manifest does not list: runs without a live shard whole, else their dead shards.
+    def vacuum(self, abandoned: float = ABANDONED) -> None:
+        """Delete what only older versions list: runs without a live shard whole, else their dead shards, then these versions.
 
-        Older versions cannot be read afterwards, and attempts still running are lost.
+        A run that no manifest names may be another writer's attempt; it goes
+        when it is older than ``abandoned`` seconds.  The dead shards come as
+        an anti join of the manifests and are streamed to the driver, which
+        holds the names of runs only.
         """
-        live: dict[str, set[int]] = {}
-        for r in self.manifest().select("run", "shard").toLocalIterator():
-            live.setdefault(r["run"], set()).add(r["shard"])
-        fs, p = hadoop(self.spark, f"{self.path}/data")
+        now = self.version()
+        old = [v for v in self._versions() if v != now]
+        live, past = self.manifest(now).select("run", "shard"), self.manifest(0).select("run", "shard")
+        if old:
+            past = self.spark.read.schema("run string, shard long").parquet(*[f"{self.path}/manifests/{self._committed(v)[0]}" for v in old])
+        used, known = [{r["run"] for r in x.select("run").distinct().collect()} for x in (live, past)]  # a run is one write
+        data = f"{self.path}/data"
+        fs, p = hadoop(self.spark, data)
+        for r in past.where(F.col("run").isin(*used)).distinct().join(live, ["run", "shard"], "left_anti").toLocalIterator() if old and used else ():
+            fs.delete(hadoop(self.spark, f"{data}/run={r['run']}/shard={r['shard']}")[1], True)
         for s in fs.listStatus(p):
-            shards = live.get(s.getPath().getName()[4:])
-            if shards is None:
+            run = s.getPath().getName()[4:]
+            if run not in used and (run in known or s.getModificationTime() < (time.time() - abandoned) * 1000):
                 fs.delete(s.getPath(), True)
-                continue
-            for t in fs.listStatus(s.getPath()):
-                name = t.getPath().getName()
-                if name.startswith("shard=") and int(name[6:]) not in shards:
-                    fs.delete(t.getPath(), True)
+        for v in sorted(old):
+            name = self._committed(v)[0]
+            fs.delete(hadoop(self.spark, f"{self.path}/commits/{v:08d}")[1], False)
+            fs.delete(hadoop(self.spark, f"{self.path}/manifests/{name}")[1], True)
 
 
 def shard(docs: DataFrame, path: str | None = None, arrival_bytes: int = ARRIVAL_BYTES, target_bytes: int = TARGET_BYTES) -> ShardStore:

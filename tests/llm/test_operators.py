@@ -175,6 +175,44 @@ def test_dead_attempts_leave_no_rows(spark, monkeypatch):
     assert store.read().count() == 800
 
 
+def test_appends_of_other_columns(spark):
+    store = sharding.shard(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, Size int"))
+    with pytest.raises(ValueError, match="size is string, the store holds int"):
+        store.append(spark.createDataFrame([(2, "b", "x")], "doc_id long, text string, size string"))
+    assert store.version() == 1 and store.read().count() == 1
+    store.append(spark.createDataFrame([(2, "b", 3, "new")], "doc_id long, text string, SIZE int, extra string"))
+    store.append(spark.createDataFrame([(3, "c")], "doc_id long, text string"))
+    assert sorted(map(tuple, store.read().select("doc_id", "text", "Size", "extra").collect())) == [(1, "a", 2, None), (2, "b", 3, "new"), (3, "c", None, None)]
+
+
+def test_plan_of_many_shards(spark):
+    arrival, target = 100, 1000
+    sizes = [(i * 7, random.Random(i).choice([0, 3, 60, 99, 150, 390, 420, 499, 700])) for i in range(100_000)]
+    got = dict(map(tuple, sharding.compaction_plan(spark.createDataFrame(sizes, "shard long, bytes long"), arrival, target).collect()))
+    bins, sums = {}, {}
+    for shard, size in sizes:
+        if size * 2 < target:
+            level = (size >= 100) + (size >= 400)
+            bins.setdefault((level, sums.get(level, 0) // target), []).append(shard)
+            sums[level] = sums.get(level, 0) + size
+    assert got == {s: x[0] for x in bins.values() if len(x) > 1 for s in x}
+
+
+def test_vacuum_keeps_running_attempts(spark):
+    rows = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(400)], "doc_id long, text string")
+    store = sharding.shard(rows, None, arrival_bytes=2000, target_bytes=16000)
+    attempt = store._write(rows.withColumn("shard", F.lit(10_000)), 1)  # of a writer that has not committed yet
+    fs, data = sharding.hadoop(spark, f"{store.path}/data")
+    folders = lambda: {s.getPath().getName()[4:] for s in fs.listStatus(data)}
+    store.vacuum()
+    live = {r["run"] for r in store.manifest().collect()}
+    assert folders() == live | {attempt} and store._versions() == [store.version()] and store.read().count() == 400
+    kept = {(r["run"], r["shard"]) for r in store.manifest().collect()}
+    assert {(r, int(t.getPath().getName()[6:])) for r in live for t in fs.listStatus(sharding.hadoop(spark, f"{store.path}/data/run={r}")[1]) if t.getPath().getName().startswith("shard=")} == kept
+    store.vacuum(abandoned=-60)
+    assert folders() == live and store.append(rows) == store.version() and store.read().count() == 800
+
+
 def test_two_writers(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     one = sharding.shard(rows)
