@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from radloom.functions import dna
 from radloom.operators import clusters, genotypes, loci, mates, pairs, reads as rd, similarity as sim
 from radloom.params import Params
-from radloom.sinks import text as out
+from radloom.sinks import report, text as out
 from radloom.sources import text as src
 
 #: Parameters that a step depends on, besides those before it.
@@ -31,6 +31,8 @@ USES = {
     "across": ("outgroup", "exclude", "subset", "seed"),
     "loci": ("min_samples", "max_shared_het", "max_snps", "overhang"),
 }
+#: Part of every digest: tables of another layout are made again.
+LAYOUT = "2"
 ENTRY = "step string, item string, digest string"
 
 
@@ -88,7 +90,7 @@ class Assembly:
         names = sorted((r["sample"], r["barcode"]) for r in src.read_barcodes(spark, params["barcodes"]).collect())
         self.samples = {name: i for i, (name, _) in enumerate(names)}
         self.codes = spark.createDataFrame([(i, code) for i, (_, code) in enumerate(names)], "sample_id int, barcode string")
-        self.digest = ""
+        self.digest = self.start = f"{LAYOUT}|{names}"  # other barcodes or names begin anew
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
@@ -126,10 +128,14 @@ class Assembly:
             best = None
             for n in sorted(sizes, reverse=True):  # longer barcodes first, where there are several lengths
                 found = rd.demultiplex(raw.select(F.left("seq", F.lit(n)).alias("code")), self.codes.where(size == n), self.params["mismatches"])
-                hit = raw.withColumn("code", F.left("seq", F.lit(n))).join(found.select("code", "sample_id"), "code").select("read_no", "sample_id", F.substr("seq", F.lit(n + 1)).alias("seq"), F.substr("qual", F.lit(n + 1)).alias("qual"))
+                hit = raw.withColumn("code", F.left("seq", F.lit(n))).join(found.select("code", "sample_id"), "code").select("read_no", "sample_id", "code", F.substr("seq", F.lit(n + 1)).alias("seq"), F.substr("qual", F.lit(n + 1)).alias("qual"))
                 best = hit if best is None else best.unionByName(hit.join(best.select("read_no"), "read_no", "left_anti"))
             part = hashlib.md5(path.encode()).hexdigest()
-            self.write("reads", best.select(F.col("read_no").alias("read_id"), "seq", "qual", "sample_id", F.lit(part).alias("part")), "sample_id", "part")
+            self.write("reads", best.select(F.col("read_no").alias("read_id"), "seq", "qual", "code", "sample_id", F.lit(part).alias("part")), "sample_id", "part")
+            sorted_ = self.table("reads").where(F.col("part") == part).select(F.col("read_id").alias("read_no"), "sample_id", "code")
+            other = raw.join(sorted_, "read_no", "left_anti").select(F.lit(None).cast("int").alias("sample_id"), F.left("seq", F.lit(max(sizes))).alias("code"))
+            counts = sorted_.drop("read_no").unionByName(other).groupBy("sample_id", "code").agg(F.count("*").alias("n"))
+            self.write("codes", counts.withColumn("part", F.lit(part)), "part")
             self.ledger.commit("reads", files.where(F.col("item") == path))
         every = files.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "item", "digest"))), ",").alias("x")).first()["x"]  # a file list, as long as the glob finds
         self.digest = hashlib.md5(f"{own}|{every}".encode()).hexdigest()
@@ -205,12 +211,17 @@ class Assembly:
         sites = rows.select("xlocus", "taxon", F.posexplode(F.split("seq", "")).alias("p", "base")).select("xlocus", "taxon", (F.col("p") + 1).alias("pos"), "base")
         classes, bounds = loci.site_class(sites), mates.overhang_bounds(sites, *p["overhang"])
         flags = loci.window_flags(sites, classes, bounds, p["max_shared_het"], p["max_snps"][0], p["max_indels"][0], max(1, 32 - len(p["cut"])))
+        inform = classes.join(bounds, "xlocus").where(F.col("pos").between(F.col("first"), F.col("last"))).groupBy("xlocus").agg(F.count_if(F.col("cls") == "*").alias("npis"))
+        flags.join(inform, "xlocus").write.mode("overwrite").parquet(f"{self.root}/flags")
+        sites.where("base <> 'N'").select("xlocus", "taxon").distinct().write.mode("overwrite").parquet(f"{self.root}/taxa")
+        flags = self.table("flags")
         good = sim.numbered(flags.where("flags = ''").select("xlocus"), "xlocus", "k").select("xlocus", (F.col("k") + 1).alias("number"))
         x = sites.join(bounds, "xlocus").where(F.col("pos").between(F.col("first"), F.col("last"))).join(classes, ["xlocus", "pos"]).join(good, "xlocus")
         return x.select(F.col("number").alias("xlocus"), "taxon", (F.col("pos") - F.col("first") + 1).cast("int").alias("pos"), "base", "cls")
 
     def run(self) -> DataFrame:
         """All steps that are not done; the final sites."""
+        self.digest = self.start
         self.demultiplex()
         self.by_sample("edits", self.edits, "reads")
         self.by_sample("stacks", self.stacks, "edits")
@@ -224,3 +235,28 @@ class Assembly:
         """The final loci as text, in order."""
         rows = self.table("loci")
         out.write_text(out.loci_text(rows, rows.select("xlocus", "pos", "cls").distinct()), path, "xlocus")
+
+    def write_reports(self, path: str) -> None:
+        """The report files of a run that has ended, each a folder of text parts in order.
+
+        sorting: reads of each barcode and code, over the raw files that the
+        run has read; clusters: depths of each sample's stacks; estimates: H
+        and E of each sample; statistics: loci by stage, taxon, coverage and
+        variable sites.
+        """
+        names = self.spark.createDataFrame([(i, n) for n, i in self.samples.items()], "sample_id int, sample string")
+        files = {hashlib.md5(r["item"].encode()).hexdigest() for r in input_files(self.spark, self.params["raw"]).select("item").collect()}  # a file list, as long as the glob finds
+        codes = self.table("codes").where(F.col("part").isin(*files)).groupBy("sample_id", "code").agg(F.sum("n").alias("n"))
+        codes = codes.join(self.codes, "sample_id", "left").join(names, "sample_id", "left").withColumnRenamed("sample", "matched")
+        out.write_text(report.sorting_statistics(codes), f"{path}/sorting", "section", "barcode", "at", "code")
+
+        depth = self.table("stacks").groupBy("sample_id", "locus").agg(F.sum("size").alias("depth"))
+        depth = depth.join(names, "sample_id").select(F.col("sample").alias("sample_id"), "depth")
+        out.write_text(report.cluster_statistics(depth, least=self.params["mindepth"]), f"{path}/clusters", "section", "sample", "line")
+
+        found = self.table("estimates").join(names, "sample_id").select(F.col("sample").alias("sample_id"), "h", "e")
+        lines = report.estimate_lines(found).select(F.lit(1).alias("section"), "sample_id", "text")
+        head = self.spark.createDataFrame([(0, "", report.ESTIMATES)], "section int, sample_id string, text string")
+        out.write_text(lines.unionByName(head), f"{path}/estimates", "section", "sample_id")
+
+        out.write_text(report.statistics(self.table("flags"), self.table("taxa"), self.params["min_samples"]), f"{path}/statistics", "section", "line")

@@ -93,6 +93,28 @@ def partition_lines(ranges: DataFrame) -> DataFrame:
     return ranges.select("xlocus", F.concat(F.lit("DNA, p"), F.col("xlocus").cast("string"), F.lit("="), F.col("start").cast("string"), F.lit("-"), F.col("stop").cast("string")).alias("text"))
 
 
+# The head of a sorting file, and what stands for the name of codes without a barcode.
+SORTING = "sample\ttrue_bar\tobs_bars\tN_obs"
+NO_SAMPLE = "nomatch"
+
+
+def sorting_statistics(codes: DataFrame) -> DataFrame:
+    """(section, barcode, at, code, text): the whole file of sorted barcodes, in the order of these columns.
+
+    ``codes`` has a row an observed code: matched, barcode, code, n; matched is
+    null where no barcode is near.  Sections: 0 the head, 1 a line a matched
+    code by barcode and then the commonest first, 2 an empty line, 3 the other
+    codes, the commonest first; ties by code.  A code of null is written as an
+    empty one.  Head and empty line stand also in the file of an empty table.
+    """
+    found, code = F.col("matched").isNotNull(), F.coalesce("code", F.lit(""))
+    hit = F.concat(F.col("matched").cast("string"), F.lit("    \t"), F.coalesce("barcode", F.lit("")), F.lit("    \t"), code, F.lit("\t"), F.col("n").cast("string"))
+    miss = F.concat(F.lit(f"{NO_SAMPLE}  \t"), code, F.lit("    \t"), F.col("n").cast("string"))
+    lines = codes.select(F.when(found, 1).otherwise(3).alias("section"), F.when(found, F.coalesce("barcode", F.lit(""))).otherwise("").alias("barcode"), (-F.col("n")).cast("long").alias("at"), code.alias("code"), F.when(found, hit).otherwise(miss).alias("text"))
+    fixed = codes.sparkSession.createDataFrame([(0, "", 0, "", SORTING), (2, "", 0, "", "")], "section int, barcode string, at long, code string, text string")
+    return lines.unionByName(fixed)
+
+
 # What a cluster statistics file says of its columns, and the head of a histogram.
 CLUSTER_NOTES = (
     "## total = total number of clusters, including singletons",
@@ -141,6 +163,10 @@ def cluster_statistics(depth: DataFrame, badpairs: DataFrame | None = None, leas
     return out.select("section", F.when(F.col("section").isin(1, 3), F.coalesce(F.col("sample_id").cast("string"), F.lit("na"))).otherwise("").alias("sample"), "line", "text")
 
 
+#: Fixed value: the head of an estimates file.
+ESTIMATES = "taxa\tH\tE"
+
+
 def estimate_lines(estimates: DataFrame) -> DataFrame:
     """(sample_id, text): the estimates file after its head ``taxa, H, E``: eight decimals of each sample's H and E, ten signs at most."""
     show = lambda c: F.left(F.format_string("%.8f", F.col(c)), F.lit(10))

@@ -2,8 +2,10 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from radloom.assembly import Assembly, Ledger, input_files
 from radloom.params import parse_params
@@ -34,6 +36,7 @@ def planted(folder, loci=12, depth=12):
                 if j == 5:
                     code[2] = "T" if code[2] != "T" else "A"
                 reads.append("".join(code) + "TGCAG" + "".join(one if j % 2 else two))
+    reads += ["GGGGGGTGCAG" + "".join(rng.choices("ACGT", k=40)) for _ in range(2)]  # of no sample
     rng.shuffle(reads)
     os.makedirs(folder / "raw")
     for f in range(2):
@@ -80,6 +83,21 @@ def test_from_reads_to_loci_and_again(spark, tmp_path, monkeypatch):
     run.write_loci(str(tmp_path / "out"))
     text = read_loci(spark, str(tmp_path / "out"))
     assert text.count() == 48 and sorted(r[0] for r in text.select("xlocus").distinct().collect()) == list(range(1, 13))
+    run.write_reports(str(tmp_path / "reports"))
+    lines = lambda name: [r["value"] for r in spark.read.text(str(tmp_path / "reports" / name)).orderBy(F.input_file_name(), F.monotonically_increasing_id()).collect()]
+    got = lines("sorting")
+    raw = [t.split("\n")[1][:6] for f in (0, 1) for t in (tmp_path / "raw" / f"x{f}.fastq").read_text().split("@")[1:]]
+    seen = Counter(raw)
+    want = []
+    for name, code in sorted(CODES.items(), key=lambda x: x[1]):
+        near = [c for c in seen if sum(x != y for x, y in zip(c, code)) <= 1]
+        want += [f"{name}    \t{code}    \t{c}\t{seen.pop(c)}" for c in sorted(near, key=lambda c: (-seen[c], c))]
+    assert got == ["sample\ttrue_bar\tobs_bars\tN_obs", *want, "", "nomatch  \tGGGGGG    \t2"] and seen == {"GGGGGG": 2}
+    assert [r.split("\t")[:3] for r in lines("clusters")[1:5]] == [[s, "12", "12.0"] for s in "abcd"]
+    got = lines("estimates")
+    assert got[0] == "taxa\tH\tE" and [r.split("\t")[0] for r in got[1:]] == list("abcd")
+    got = lines("statistics")
+    assert [r.split()[0] for r in got[:3]] == ["12"] * 3 and [r.split() for r in got[5:9]] == [[s, "12"] for s in "abcd"] and "4\t12\t*\t12" in got
     # nothing is left to do
     stamps = {t: files(root, t, 0, 1, 2, 3) for t in ("reads", "edits", "stacks", "consensus")}
     Assembly(spark, params, str(root)).run()
