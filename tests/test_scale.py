@@ -1,9 +1,11 @@
 """What a query costs by its plan: tasks, shuffles and rows that cross them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from radloom.operators import loci
+from radloom.operators import clusters, loci
 from radloom.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,21 @@ def test_sites_are_those_of_the_definition(spark):
 def test_site_class(spark, column, cls):
     sites = spark.createDataFrame([(1, i, 1, b) for i, b in enumerate(column)], "xlocus long, taxon int, pos int, base string")
     assert [r["cls"] for r in loci.site_class(sites).collect()] == [cls]
+
+
+def test_one_off_hits_deal_pieces_not_places(spark):
+    """Rows that cross the shuffle are as many as a unique's pieces; the hits are those of all pairs, of any length."""
+    rng = random.Random(7)
+    seqs = {"", "A", "C", "AC", "GC"}
+    for n in (3, 7, 8, 9, 16, 17, 32):
+        base = "".join(rng.choice("ACGT") for _ in range(n))
+        seqs |= {base, *(base[:i] + rng.choice("ACGTN.") + base[i + 1 :] for i in range(n) for _ in range(2)), base + "A"}
+    seqs = sorted(seqs)
+    rng.shuffle(seqs)
+    rows = [(i % 2, i // 2 + 1, s) for i, s in enumerate(seqs)]
+    hits = clusters.one_off_hits(spark.createDataFrame(rows, "sample_id int, ord long, seq string"))
+    near = lambda a, b: len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    want = {(g, o, min(p for h, p, t in rows if h == g and p < o and near(s, t))) for g, o, s in rows if any(h == g and p < o and near(s, t) for h, p, t in rows)}
+    places = [r for r in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode" in r]
+    assert len(places) == 2  # of pieces before the shuffle, of places behind it
+    assert {tuple(r) for r in hits.collect()} == want and want
