@@ -27,7 +27,9 @@ NEEDS |= {"turned": ["inserts"], "shifted": ["turned"], "bestshift": ["shifted"]
 
 
 def _inserts(s, d):
-    fx.table(s, d, "part").selectExpr("p_partkey as k").createOrReplaceTempView("part_keys")
+    """Mates of every part, dealt over all tasks: the file of parts is one split, and a pair is compared at all shifts."""
+    n = int(s.conf.get("spark.sql.shuffle.partitions"))
+    fx.table(s, d, "part").selectExpr("p_partkey as k").repartition(n, "k").createOrReplaceTempView("part_keys")
     return s.sql(_ROW.format("part_keys"))
 
 

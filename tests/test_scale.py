@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radloom.operators import clusters, loci
-from radloom.plans import fixtures as fx
+from radloom.plans import fixtures as fx, phasing
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,8 @@ def test_one_off_hits_deal_pieces_not_places(spark):
     places = [r for r in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode" in r]
     assert len(places) == 2  # of pieces before the shuffle, of places behind it
     assert {tuple(r) for r in hits.collect()} == want and want
+
+
+def test_mates_are_dealt_before_they_are_merged(spark):
+    held = [r["n"] for r in phasing._inserts(spark, SF).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(held) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(held) < sum(held) / 2
