@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from radloom.operators import clusters, loci
+from radloom.operators import clusters, genotypes, loci
 from radloom.plans import fixtures as fx, phasing
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +62,19 @@ def test_one_off_hits_deal_pieces_not_places(spark):
 def test_mates_are_dealt_before_they_are_merged(spark):
     held = [r["n"] for r in phasing._inserts(spark, SF).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert len(held) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(held) < sum(held) / 2
+
+
+def test_site_counts_hold_blocks_of_places(spark):
+    rows = [(0, 1, "ACGTACGTAC", 2), (0, 1, "ACG", 1), (0, 1, "TCGTACGTA", 3), (1, 1, "", 4), (1, 2, None, 1), (1, 3, "N" * 16, 5)]
+    derep = spark.createDataFrame(rows, "sample_id int, locus_id long, seq string, n long")
+    want = {}
+    for s, k, seq, n in rows:
+        for p, b in enumerate((seq or [""]) if seq is not None else [], 1):
+            at = want.setdefault((s, k, p), dict.fromkeys("ACTG", 0))
+            if b in at:
+                at[b] += n
+    counts = genotypes.site_counts(derep)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "posexplode" not in plan  # a row of the aggregate is no single place
+    assert {tuple(r) for r in counts.collect()} == {(*k, *v.values()) for k, v in want.items()}
+    assert counts.schema.simpleString() == "struct<sample_id:int,locus_id:bigint,pos:int,na:bigint,nc:bigint,nt:bigint,ng:bigint>"
