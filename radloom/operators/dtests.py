@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radloom import params
-from radloom.functions import dna
-from radloom.operators.introgression import FOIL, PARTITIONED, TERMINAL, poisson_steps, signs
+from radloom.operators import introgression
+from radloom.operators.introgression import BASES, FOIL, PARTITIONED, TERMINAL, poisson_steps, signs
 from radloom.session import Store
 from radloom.sources.text import read_loci
 
@@ -32,39 +32,20 @@ STATISTICS = {
 
 
 def role_counts(sites: DataFrame, tests: DataFrame, roles: tuple[str, ...]) -> DataFrame:
-    """(test_id, xlocus, pos, alleles, has_role...): for each site of a test the counts of each allele by role.
+    """(test_id, xlocus, pos, there, p1_A ...): for each site of a test the counts of each base by role.
 
     ``sites`` (xlocus, taxon, pos, base), ``tests`` (test_id, role, taxon).  A
-    base counts twice, the bases of a code once each; N and gaps count nothing,
-    but their taxon is there.  ``alleles`` has four entries at most.
+    base counts twice, the bases of a code once each; N, gaps and other symbols
+    count nothing, but their taxon is there.  A taxon meets a test once, however
+    many roles it has.
     """
-    known = ~F.col("base").isin("N", "n", "-")
-    x = sites.select("xlocus", F.col("taxon").cast("string").alias("taxon"), "pos", F.explode(F.when(known, F.array(dna.haplotype(F.col("base"), 1), dna.haplotype(F.col("base"), 2))).otherwise(F.array(F.lit(None).cast("string")))).alias("allele"))
-    spec = tests.select("test_id", "role", F.col("taxon").cast("string").alias("taxon")).distinct()
-    x = x.join(F.broadcast(spec) if spec.count() <= SMALL else spec, "taxon")
-    per = x.groupBy("test_id", "xlocus", "pos", "allele").agg(*[F.count_if(F.col("role") == r).alias(r) for r in roles])
-    found = F.collect_list(F.when(F.col("allele").isNotNull(), F.struct("allele", *roles)))
-    return per.groupBy("test_id", "xlocus", "pos").agg(F.array_sort(found).alias("alleles"), *[(F.sum(r) > 0).alias(f"has_{r}") for r in roles])
-
-
-def _total(role: str) -> Column:
-    return F.aggregate("alleles", F.lit(0).cast("long"), lambda s, a: s + a[role])
-
-
-def _of(allele: Column, role: str) -> Column:
-    """Count of one allele in a role."""
-    return F.aggregate("alleles", F.lit(0).cast("long"), lambda s, a: s + F.when(a["allele"] == allele, a[role]).otherwise(0))
-
-
-def _first(by: str | Column, where=None) -> Column:
-    """The allele with the greatest count, ties to the smaller base."""
-    rows = F.col("alleles") if where is None else F.filter("alleles", where)
-    count = (lambda a: a[by]) if isinstance(by, str) else by
-    return F.array_min(F.transform(rows, lambda a: F.struct((-count(a)).alias("m"), a["allele"].alias("allele"))))["allele"]
+    spec = tests.select("test_id", "role", F.col("taxon").cast("string").alias("taxon")).groupBy("test_id", "taxon").agg(*[F.max((F.col("role") == r).cast("int")).alias(r) for r in roles])
+    x = introgression.copies(sites.select("xlocus", "pos", F.col("taxon").cast("string").alias("taxon"), "base"), "xlocus", "pos", "taxon")
+    return introgression.role_counts(x.join(F.broadcast(spec) if spec.count() <= SMALL else spec, "taxon"), ["test_id", "xlocus", "pos"], roles)
 
 
 def site_weights(counts: DataFrame, roles: tuple[str, ...], kind: str) -> DataFrame:
-    """(test_id, xlocus, fixed, f_role...): the derived allele's frequency in each role at eligible sites; fixed where each has one base.
+    """(test_id, xlocus, there, ok, fixed, f_role...): the derived allele's frequency in each role; ok at eligible sites, fixed where each role has one base.
 
     Four taxa: the derived base is the commonest of p3 that o lacks.  Five: the
     ancestral one is the commonest of o, the derived one the commonest of the
@@ -73,21 +54,22 @@ def site_weights(counts: DataFrame, roles: tuple[str, ...], kind: str) -> DataFr
     Ties go to the smaller base; no role may be without a base.
     """
     every = lambda f: reduce(lambda a, b: a & b, [f(r) for r in roles])
-    x = counts.where(every(lambda r: _total(r) > 0))
-    lacks = lambda a: a["o"] == 0
-    if kind == "4":
-        derived = _first("p3", lambda a: (a["p3"] > 0) & lacks(a))
-    else:
-        minor = _first("o")
-        derived = _first(lambda a: reduce(lambda s, r: s + a[r], roles[1:], a[roles[0]]), lambda a: a["allele"] != F.col("minor"))
-        x = x.withColumn("minor", minor)
-        if kind == "part":
-            x = x.withColumn("alleles", F.transform("alleles", lambda a: a.withField("pooled", a["p3a"] + a["p3b"])))
-            x = x.where(F.exists("alleles", lambda a: (a["pooled"] > 0) & lacks(a)))
-    # computed once a row, for every frequency reads it
-    x = x.withColumn("derived", F.explode(F.array(derived))).where("derived is not null")
-    alone = (F.size("alleles") == 2) & every(lambda r: F.array_max(F.transform("alleles", lambda a: a[r])) == _total(r))
-    return x.select("test_id", "xlocus", alone.alias("fixed"), *[(_of(F.col("derived"), r) / _total(r)).alias(f"f_{r}") for r in (*roles, *(["pooled"] if kind == "part" else []))])
+    at = lambda r: lambda b: F.col(f"{r}_{b}")
+    whole = lambda b: reduce(lambda x, y: x + y, [F.col(f"{r}_{b}") for r in roles])
+    x = counts
+    if kind == "part":
+        x = x.select("*", *[(F.col(f"p3a_{b}") + F.col(f"p3b_{b}")).alias(f"pooled_{b}") for b in BASES])
+    shares = (*roles, *(["pooled"] if kind == "part" else []))
+    minor = F.lit(None).cast("string") if kind == "4" else introgression.commonest(at("o"))
+    x = x.select("*", *[introgression.total(r).alias(f"n_{r}") for r in shares], *[whole(b).alias(f"all_{b}") for b in BASES], minor.alias("minor"))
+    lacks = lambda b: F.col(f"o_{b}") == 0
+    derived = introgression.commonest(at("p3"), lacks) if kind == "4" else introgression.commonest(lambda b: F.col(f"all_{b}"), lambda b: F.col("minor") != b)
+    ok = every(lambda r: F.col(f"n_{r}") > 0)
+    if kind == "part":
+        ok = ok & reduce(lambda a, b: a | b, [(F.col(f"pooled_{b}") > 0) & lacks(b) for b in BASES])
+    alone = (sum(((F.col(f"all_{b}") > 0).cast("int") for b in BASES), F.lit(0)) == 2) & every(lambda r: F.greatest(*[F.col(f"{r}_{b}") for b in BASES]) == F.col(f"n_{r}"))
+    x = x.select("*", derived.alias("derived"), ok.alias("ok"), alone.alias("fixed"))
+    return x.select("test_id", "xlocus", "there", (F.col("ok") & F.col("derived").isNotNull()).alias("ok"), "fixed", *[F.try_divide(introgression.of_base(r, "derived"), F.col(f"n_{r}")).alias(f"f_{r}") for r in shares])
 
 
 def pattern_weight(pattern: str, roles: tuple[str, ...], pooled: Column | None = None) -> Column:
@@ -107,27 +89,28 @@ def locus_sums(sites: DataFrame, tests: DataFrame, kind: str) -> DataFrame:
     """
     roles, which = params.ROLES[kind], STATISTICS[kind]
     groups = tests.groupBy("test_id", "role").agg(F.count_distinct("taxon").alias("n")).groupBy("test_id").agg((F.max("n") == 1).alias("single"))
-    counts = role_counts(sites, tests, roles)
-    present = counts.groupBy("test_id", "xlocus").agg(*[F.bool_or(f"has_{r}").alias(r) for r in roles]).where(" and ".join(roles)).select("test_id", "xlocus")
-    weights = site_weights(counts, roles, kind).join(groups, "test_id").where("fixed or not single")
+    weights = site_weights(role_counts(sites, tests, roles), roles, kind).join(F.broadcast(groups), "test_id")
     # the joint term of partitioned tests: pooled alleles of both in groups, both derived with single taxa
     pooled = F.when(F.col("single"), F.col("f_p3a") * F.col("f_p3b")).otherwise(F.col("f_pooled")) if kind == "part" else None
-    side = lambda patterns: F.sum(sum((pattern_weight(p, roles, pooled) for p in patterns), F.lit(0.0)))
-    sums = weights.groupBy("test_id", "xlocus").agg(*[side(p).alias(f"{s}_{k}") for k, v in which.items() for s, p in zip("lr", v, strict=True)])
-    columns = [f"{s}_{k}" for k in which for s in "lr"]
-    return present.join(sums, ["test_id", "xlocus"], "left").select("test_id", "xlocus", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+    columns = {f"{s}_{k}": p for k, v in which.items() for s, p in zip("lr", v, strict=True)}
+    weights = weights.withColumn("counts", F.col("ok") & (F.col("fixed") | ~F.col("single")))
+    side = lambda patterns: F.sum(F.when(F.col("counts"), sum((pattern_weight(p, roles, pooled) for p in patterns), F.lit(0.0))))
+    sums = weights.groupBy("test_id", "xlocus").agg(F.bit_or("there").alias("there"), *[side(p).alias(c) for c, p in columns.items()])
+    return sums.where(F.col("there") == (1 << len(roles)) - 1).select("test_id", "xlocus", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
 
 
 def replicates(loci: DataFrame, names: list[str], n: int, seed: str = "") -> DataFrame:
     """(test_id, rep, stat...): D of each statistic from the loci (rep 0) and from ``n`` draws of them.
 
     In a draw a locus comes as often as the Poisson law of mean 1 says for a
-    hash of replicate and locus; one aggregate holds all tests and draws.
+    hash of replicate and locus, taken once for all tests; one aggregate holds all tests and draws.
     """
     columns = [f"{s}_{k}" for k in names for s in "lr"]
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("rep").cast("string"), F.lit("-"), F.col("xlocus").cast("string"))), 1, 8), 16, 10).cast("long") / float(2**32)
     often = sum(((F.col("u") >= x).cast("int") for x in poisson_steps()), F.lit(0))
-    x = loci.select("test_id", "xlocus", *columns, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("rep")).withColumn("u", u).withColumn("t", F.when(F.col("rep") == 0, 1).otherwise(often))
+    x = loci.groupBy("xlocus").agg(F.collect_list(F.struct("test_id", *columns)).alias("tests"))
+    x = x.select("xlocus", "tests", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("rep")).withColumn("u", u).withColumn("t", F.when(F.col("rep") == 0, 1).otherwise(often))
+    x = x.select("rep", "t", F.inline("tests"))
     sums = x.groupBy("test_id", "rep").agg(*[F.sum(F.col("t") * F.col(c)).alias(c) for c in columns])
     d = lambda k: F.coalesce(F.try_divide(F.col(f"l_{k}") - F.col(f"r_{k}"), F.col(f"l_{k}") + F.col(f"r_{k}")), F.lit(0.0))
     return sums.select("test_id", "rep", *[d(k).alias(k) for k in names])

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from radloom.operators import clusters, genotypes, loci
+from radloom.operators import clusters, dtests, genotypes, introgression, loci
 from radloom.plans import fixtures as fx, phasing
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +78,22 @@ def test_site_counts_hold_blocks_of_places(spark):
     assert plan.count("Exchange ") == 1 and "posexplode" not in plan  # a row of the aggregate is no single place
     assert {tuple(r) for r in counts.collect()} == {(*k, *v.values()) for k, v in want.items()}
     assert counts.schema.simpleString() == "struct<sample_id:int,locus_id:bigint,pos:int,na:bigint,nc:bigint,nt:bigint,ng:bigint>"
+
+
+def test_d_tests_read_sites_once_and_count_without_lists(spark):
+    """One pass over the sites and one shuffle, that of the loci; counts are sums, not lists of alleles that are sorted."""
+    x, roles = fx.sites(spark, SF), {"p1": [1], "p2": [2, 3], "p3": [3, 4], "o": [5]}
+    tests = spark.createDataFrame([(0, r, t) for r, taxa in roles.items() for t in taxa], "test_id int, role string, taxon int")
+    for df in (dtests.locus_sums(x, tests, "4"), introgression.d4_frequencies(x), introgression.group_frequencies(x, tests)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("p_partkey#") and plan.count("RepartitionByExpression") == 1
+        assert "collect_list" not in plan and "struct(" not in plan
+
+
+def test_symbols_that_no_role_counts(spark):
+    """N, gaps and other symbols count nothing, codes of either case both bases; a role of only such has a taxon and no base."""
+    rows = [(1, t, p, s[t - 1]) for p, s in enumerate(["GArAA", "GArAA"[::-1], "NANAA", "--GAA", "GxGAA"], 1) for t in range(1, 6)]
+    sites = spark.createDataFrame(rows, "xlocus long, taxon int, pos int, base string")
+    got = {r["pos"]: r.asDict() for r in introgression.role_counts(introgression.copies(sites, "pos", "taxon").selectExpr("pos", "w", "int(taxon = 1) as p1", "int(taxon between 2 and 3) as p2"), ["pos"], ("p1", "p2")).collect()}
+    assert {k: got[1][k] for k in ("p1_G", "p2_A", "p2_G", "p2_C", "there")} == {"p1_G": 2, "p2_A": 3, "p2_G": 1, "p2_C": 0, "there": 3}
+    assert got[3]["p1_G"] == got[4]["p1_A"] == 0 and got[3]["there"] == 3 and (got[5]["p2_A"], got[5]["p2_G"]) == (0, 2)
