@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from radloom.functions import dna
 from radloom.operators import loci
+from radloom.session import Store
 
 
 def write_text(rows: DataFrame, path: str, *order: str) -> None:
@@ -70,25 +71,30 @@ def treemix_text(counts: DataFrame) -> DataFrame:
     return per.select("xlocus", "pos", F.array_join(F.transform("g", lambda s: F.concat(s["c1"].cast("string"), F.lit(","), s["c2"].cast("string"))), " ").alias("text"))
 
 
-def _at(i: int):
-    return lambda symbols: symbols[i]
-
-
 def concatenated_blocks(sites: DataFrame, taxa: list[int], width: int = 100) -> DataFrame:
     """(block, taxon, seq): the concatenation of all loci in order, ``width`` columns a block, without columns that no taxon has a base in.
 
-    A column is one row with the symbols of all taxa, so a block of any data
-    is ``width`` such rows; absent taxa are N.
+    A locus is one row with a line a taxon, written once in the shared folder,
+    so that its length, its place and its text come of one pass over the sites;
+    it is cut where blocks end, and the pieces of a block are joined.  Absent
+    taxa are N.
     """
-    of = F.map_from_entries(F.collect_list(F.struct("taxon", "base")))
-    columns = sites.groupBy("xlocus", "pos").agg(of.alias("by"), F.count_if(~F.col("base").isin("N", "n", "-")).alias("c")).where("c > 0")
-    columns = columns.select("xlocus", "pos", F.array(*[F.coalesce(F.try_element_at("by", F.lit(t)), F.lit("N")) for t in taxa]).alias("symbols"))
-    starts = loci.partitions(columns.groupBy("xlocus").agg(F.count("*").alias("length"))).select("xlocus", "start")
-    place = F.row_number().over(Window.partitionBy("xlocus").orderBy("pos"))
-    at = columns.withColumn("p", place).join(starts, "xlocus").select((F.col("start") + F.col("p") - 2).alias("at"), "symbols")
-    blocks = at.groupBy(F.floor(F.col("at") / width).alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "symbols"))).alias("rows"))
-    lines = F.explode(F.array(*[F.struct(F.lit(t).alias("taxon"), F.array_join(F.transform("rows.symbols", _at(i)), "").alias("seq")) for i, t in enumerate(taxa)])).alias("l")
-    return blocks.select("block", lines).select("block", "l.taxon", "l.seq")
+    known = ~F.col("base").isin("N", "n", "-")
+    symbol = lambda t: F.coalesce(F.max(F.when(F.col("taxon") == t, F.ascii("base"))), F.lit(ord("N")))
+    columns = sites.groupBy("xlocus", "pos").agg(F.bool_or(known).alias("known"), *[symbol(t).alias(f"s{i}") for i, t in enumerate(taxa)]).where("known")
+    columns = columns.select("xlocus", F.struct("pos", F.concat(*[F.char(F.col(f"s{i}")) for i in range(len(taxa))]).alias("symbols")).alias("column"))
+    rows = columns.groupBy("xlocus").agg(F.array_sort(F.collect_list("column")).alias("rows"))
+    line = lambda i: F.array_join(F.transform("rows", lambda r: F.substr(r["symbols"], F.lit(i + 1), F.lit(1))), "")
+    held = Store(sites.sparkSession, "blocks").keep(rows.select("xlocus", F.size("rows").alias("length"), F.array(*[line(i) for i in range(len(taxa))]).alias("lines")))
+    at = held.join(loci.partitions(held).select("xlocus", (F.col("start") - 1).alias("start")), "xlocus")
+    at = at.select("start", "length", "lines", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(start + length - 1) div {width}"))).alias("block"))
+    first = F.greatest(F.col("block") * width - F.col("start"), F.lit(0)).cast("int")
+    many = F.least((F.col("block") + 1) * width - F.col("start"), F.col("length")).cast("int") - first
+    pieces = at.select("block", F.struct("start", F.transform("lines", lambda s: F.substr(s, first + 1, many)).alias("lines")).alias("piece"))
+    blocks = pieces.groupBy("block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    seq = lambda i: F.array_join(F.transform("pieces", lambda p: p["lines"][i]), "")
+    lines = F.inline(F.array(*[F.struct(F.lit(t).alias("taxon"), seq(i).alias("seq")) for i, t in enumerate(taxa)]))
+    return blocks.select("block", lines)
 
 
 def nexus_text(blocks: DataFrame, width: int = 12) -> DataFrame:
