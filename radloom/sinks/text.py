@@ -11,10 +11,16 @@ from radloom.session import Store
 
 
 def write_text(rows: DataFrame, path: str, *order: str) -> None:
-    """Write ``text`` in the order of the named columns: part files in name order make up the file."""
+    """Write ``text`` in the order of the named columns: part files in name order make up the file.
+
+    Ranges are sampled before rows are dealt to them, so ordered rows are kept
+    first: what they are made from is read once, not once for the sample too.
+    """
+    store = Store(rows.sparkSession, "ordered")
     if order:
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = store.put(rows.select("text", *order)).repartitionByRange(*order).sortWithinPartitions(*order)
     rows.select("text").write.text(path)
+    store.close()
 
 
 def fastq(reads: DataFrame) -> DataFrame:

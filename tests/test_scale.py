@@ -1,6 +1,7 @@
 """What a query costs by its plan: tasks, shuffles and rows that cross them."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,20 @@ def test_blocks_are_cut_from_loci_not_from_columns(spark):
     assert text.concatenated_blocks(sites.limit(0), [1, 2]).isEmpty()
     plan = text.concatenated_blocks(fx.sites(spark, SF), [1, 2, 3, 4, 5], 1000)._jdf.queryExecution().optimizedPlan().toString()
     assert "p_partkey" not in plan
+
+
+def test_ordered_text_is_made_once(spark, tmp_path):
+    """Rows are not computed again for the sample of their ranges; the kept copy is gone once the text is written."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 1000, 1, 4).mapInArrow(count, "id long").selectExpr("999 - id as at", "string(999 - id) as text")
+    text.write_text(rows, str(tmp_path / "out"), "at")
+    assert made.value == 1000
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert [int(x) for p in parts for x in p.read_text().split()] == list(range(1000))
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("radloom/ordered-*/*"))
