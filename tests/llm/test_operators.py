@@ -315,6 +315,45 @@ def test_line_dedup_drops_what_brute_force_drops(spark):
     assert len(want) > 80 and got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_line_dedup_counts_lose_no_similar_pair(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("etaoinsrhldcumxyz ", k=rng.choice([30, 90, 3000]))).strip() for _ in range(40)]
+    for t in texts[:20]:
+        t = list(t)
+        for at in rng.sample(range(len(t)), len(t) // 10):
+            t[at] = rng.choice(["", "q", "ee", "t"])
+        texts.append("".join(t))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = line_dedup.keyed(line_dedup._words(docs.select("doc_id", F.lit(0).alias("row"), F.lit(0).alias("pos"), F.col("text").alias("norm"))))
+    nodes = line_dedup.distinct_lines(kept).cache()
+    every = nodes.select(F.col("id").alias("a")).join(nodes.select(F.col("id").alias("b")), F.expr("a < b"))
+    text = {r["id"]: r["norm"] for r in nodes.collect()}
+    got = {(r["a"], r["b"]) for r in line_dedup.possible(every, nodes).collect()}
+
+    def bound(x, y):
+        over = [min(x.count(c), 127) - min(y.count(c), 127) for c in line_dedup.COUNTED]
+        return max(sum(d for d in over if d > 0), -sum(d for d in over if d < 0))
+
+    want = {(a, b) for a, b in ((r["a"], r["b"]) for r in every.collect()) if bound(text[a], text[b]) <= max(len(text[a]), len(text[b])) // 10}
+    assert got == want and 20 <= len(got) < every.count() / 2
+
+
+def test_line_dedup_keeps_texts_once(spark, monkeypatch):
+    tables = []
+    put = line_dedup.Scratch.put
+
+    def spy(self, df, name, hashes=False):
+        tables.append((name, df.columns))
+        return put(self, df, name, hashes)
+
+    monkeypatch.setattr(line_dedup.Scratch, "put", spy)
+    line = "one line of this text that comes in two documents and is of words enough"
+    docs = spark.createDataFrame([(1, line), (2, line[:-1] + "x"), (3, line)], "doc_id long, text string")
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in line_dedup.duplicate_lines(docs).collect()} == {(2, 1), (3, 1)}
+    # the lines that stay to the end hold no text and no pieces, and what is compared holds texts of one part only
+    assert all("norm" not in c and "v" not in c for n, c in tables if n == "lines") and not any(n == "texts" for n, _ in tables[1:])
+
+
 def test_line_dedup_rows_of_one_document(spark):
     a, b = "one line of this text that comes twice", "another line that stands nowhere else at all"
     rows = [(1, a), (2, b), (2, a), (2, a), (3, "x")]
