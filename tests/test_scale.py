@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from radloom.operators import clusters, dtests, genotypes, introgression, loci
-from radloom.plans import fixtures as fx, phasing
+from radloom.plans import assembly, fixtures as fx, phasing  # noqa: F401 (the first registers its queries)
+from radloom.plans.queries import Q
 from radloom.sinks import text
 
 SF = "/root/testdata/sf0.001"
@@ -133,3 +134,23 @@ def test_ordered_text_is_made_once(spark, tmp_path):
     parts = sorted((tmp_path / "out").glob("part-*"))
     assert [int(x) for p in parts for x in p.read_text().split()] == list(range(1000))
     assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("radloom/ordered-*/*"))
+
+
+@pytest.mark.parametrize("group", [2, 64])
+def test_one_off_hits_of_small_and_large_groups(spark, monkeypatch, group):
+    """Hits are those of all pairs whether a group is compared or its places are exploded, and columns are carried."""
+    monkeypatch.setattr(clusters, "GROUP", group)
+    rng = random.Random(3)
+    tail = "".join(rng.choice("ACGT") for _ in range(20))
+    seqs = sorted({"".join(rng.choice("AC") for _ in range(7)) + "A" * 9 + tail for _ in range(400)} | {"A" * n for n in range(1, 40, 3)} | {"A" * 16, "A" * 17, "A" * 15 + "C"})
+    rng.shuffle(seqs)
+    hits = clusters.one_off_hits(spark.createDataFrame([(0, i + 1, i % 5, s) for i, s in enumerate(seqs)], "sample_id int, ord long, n int, seq string"), "n")
+    near = lambda a, b: len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    want = {(i + 1, i % 5, j + 1) for i, s in enumerate(seqs) if (j := next((k for k in range(i) if near(s, seqs[k])), None)) is not None}
+    assert {(r["ord"], r["n"], r["first"]) for r in hits.collect()} == want and len(want) > 60
+
+
+def test_top_members_read_the_uniques_once(spark):
+    """Counts of uniques come with their hits: reads are scanned and ranked once, and no join deals all uniques again."""
+    plan = Q["top200_members"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
