@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from radloom.operators import genotypes, pairs
 from radloom.plans import fixtures as fx
 from radloom.plans.queries import NEEDS, PARTS, _counts, _locus_derep, _one, _patterns, query
+from radloom.session import parts
 
 # Mates of inserts of 34 to 98 bases, read for 44 bases; a base of the first is wrong, and every 13th pair is of two inserts.
 _HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
@@ -28,8 +29,8 @@ NEEDS |= {"turned": ["inserts"], "shifted": ["turned"], "bestshift": ["shifted"]
 
 def _inserts(s, d):
     """Mates of every part, dealt over all tasks: the file of parts is one split, and a pair is compared at all shifts."""
-    n = int(s.conf.get("spark.sql.shuffle.partitions"))
-    fx.table(s, d, "part").selectExpr("p_partkey as k").repartition(n, "k").createOrReplaceTempView("part_keys")
+    keys = fx.table(s, d, "part").selectExpr("p_partkey as k")
+    keys.repartition(parts(s, keys.count(), fx.LOCI), "k").createOrReplaceTempView("part_keys")
     return s.sql(_ROW.format("part_keys"))
 
 
@@ -52,7 +53,7 @@ def _haplotype_reads(s, d):
     x = fx.table(s, d, "lineitem").selectExpr("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", f"{_SITES} as spot", f"explode(array({_LOCUS})) as seq")
     x = x.selectExpr("*", f"explode(array({_H})) as h").selectExpr("*", f"explode(array({_X})) as x")
     x = x.selectExpr("l_partkey as locus_id", "cast(l_suppkey % 2 as int) as sample_id", f"{_LAST} as seq")
-    return x.groupBy("sample_id", "locus_id", "seq").agg(F.count("*").alias("n"))
+    return fx.by_locus(x, "sample_id", "locus_id").groupBy("sample_id", "locus_id", "seq").agg(F.count("*").alias("n"))
 
 
 PARTS["haploreads"] = "select sample_id, locus_id, seq, count(*) as n from (" + _PLANTED + ") group by 1, 2, 3"
@@ -78,7 +79,7 @@ query("phase_alleles", f"select sample_id, locus_id, string_agg(case when f.pos
 
 def _phased(s, d):
     derep = _haplotype_reads(s, d)
-    return genotypes.phase_alleles(derep, genotypes.call_genotypes(genotypes.site_counts(derep)))
+    return genotypes.phase_alleles(derep, genotypes.call_genotypes(genotypes.site_counts(derep, dealt=True)))
 
 
 query("phase_reads")(lambda s, d: genotypes.phase_alleles(_locus_derep(s, d), genotypes.call_genotypes(_counts(s, d))))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radloom.operators import clusters, dtests, genotypes, introgression, loci
-from radloom.plans import assembly, fixtures as fx, phasing  # noqa: F401 (the first registers its queries)
+from radloom.plans import assembly, fixtures as fx, phasing, queries as plans  # noqa: F401 (the first registers its queries)
 from radloom.plans.queries import Q
 from radloom.sinks import text
 
@@ -154,3 +154,18 @@ def test_top_members_read_the_uniques_once(spark):
     """Counts of uniques come with their hits: reads are scanned and ranked once, and no join deals all uniques again."""
     plan = Q["top200_members"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_loci_and_reads_are_dealt_by_their_number(spark, monkeypatch):
+    """What a task holds is bounded whatever the session's partitions are: larger tables have more tasks, and the same rows."""
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    few, counts = fx.sites(spark, SF), plans._counts(spark, SF)
+    assert tasks(few) == 8
+    before = [{tuple(r) for r in df.collect()} for df in (loci.sequences(few), counts)]
+    monkeypatch.setattr(fx, "LOCI", 10)
+    monkeypatch.setattr(fx, "READS", 100)
+    many, counts = fx.sites(spark, SF), plans._counts(spark, SF)
+    rows = fx.table(spark, SF, "part").count()
+    assert many.rdd.getNumPartitions() == -(-rows // 10) > 8 and tasks(loci.sequences(many)) > 8 and tasks(counts) > 8
+    assert exchanges(loci.site_class(many)) == 1 and exchanges(counts) == 1  # what is grouped by locus needs no shuffle of its own
+    assert [{tuple(r) for r in df.collect()} for df in (loci.sequences(many), counts)] == before
