@@ -60,3 +60,31 @@ def test_empty_files(spark, tmp_path):
     path = put(tmp_path / "e.txt", "")
     for read in (src.read_fastq, src.read_fasta, src.read_clusters, src.read_barcodes, src.read_loci):
         assert read(spark, path).count() == 0
+
+
+def test_records_are_made_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Only records that blocks cut cross the shuffle; batches that end inside of records and incomplete last records lose nothing."""
+    records = [(f"r{i}", "ACGT" * (i % 5), f"@{i}") for i in range(501)]
+    for name in ("a", "b"):
+        put(tmp_path / f"{name}.fq", "".join(f"@{h}\n{s}\n+\n{q}\n" for h, s, q in records) + "@last\nAC\n")
+    want = {(name, i, *r) for name in "ab" for i, r in enumerate([*records, ("last", "AC", None)])}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for size, rows in (("777b", "7"), ("1g", "10")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            got = src.read_fastq(spark, str(tmp_path / "*.fq")).collect()
+            assert sorted(((r["file"][-4], *r[1:]) for r in got), key=str) == sorted(want, key=str)
+        plan = src.read_fastq(spark, str(tmp_path / "*.fq"))._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan.split("Union")[1].split("Aggregate")[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_mates_are_read_from_their_own_files(spark, tmp_path):
+    for m, base in (("R1", "A"), ("R2", "C")):
+        put(tmp_path / f"s_{m}_1.fq", "".join(f"@x\n{base * (i + 1)}\n+\nI\n" for i in range(9)))
+    got = src.read_pairs(spark, str(tmp_path))
+    assert sorted((r["read_no"], r["seq"], r["seq2"]) for r in got.collect()) == [(i, "A" * (i + 1), "C" * (i + 1)) for i in range(9)]
+    assert src.read_fastq(spark, str(tmp_path), "_R1_").count() == 9
