@@ -1,5 +1,6 @@
 """Text readers on small files, also when a file is cut into many blocks."""
 
+from radloom.plans import files, fixtures as fx
 from radloom.sinks import text as out
 from radloom.sources import text as src
 
@@ -82,6 +83,20 @@ def test_records_are_made_where_they_are_read(spark, tmp_path, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_pairs_of_equal_headers_stay_together(spark):
+    """Reads of one header are paired in one order of both files, also where a sort spills and so leaves ties in any order."""
+    conf, key = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    reads = fx.reads(spark, "/root/testdata/sf0.01")
+    assert reads.select("read_id").distinct().count() < reads.count()
+    want = reads.selectExpr("read_id", "seq", "reverse(translate(seq, 'ACGT', 'TGCA')) as seq2")
+    conf.set(key, "1000")
+    try:
+        got = files._pair_scan(spark, "/root/testdata/sf0.01")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    finally:
+        conf.remove(key)
+
+
 def test_mates_are_read_from_their_own_files(spark, tmp_path):
     for m, base in (("R1", "A"), ("R2", "C")):
         put(tmp_path / f"s_{m}_1.fq", "".join(f"@x\n{base * (i + 1)}\n+\nI\n" for i in range(9)))
