@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from radloom import params
 from radloom.operators import introgression
-from radloom.operators.introgression import BASES, FOIL, PARTITIONED, TERMINAL, poisson_steps, signs
+from radloom.operators.introgression import BASES, FOIL, PARTITIONED, SMALL, TERMINAL, poisson_steps, signs
 from radloom.session import Store
 from radloom.sources.text import read_loci
 
-#: Rows of a specification up to which it is sent to all tasks.
-SMALL = 100_000
 #: Statistics of each kind of test, as the patterns of either side.
 STATISTICS = {
     "4": {"d": (("ABBA",), ("BABA",))},
