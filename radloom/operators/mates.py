@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radloom.functions import dna
+from radloom.session import apart
 
 
 def pair_consensus(calls: DataFrame, max_n: int = 5, max_h: int = 5, least: int = 32, rejected: DataFrame | None = None) -> DataFrame:
@@ -69,14 +70,15 @@ def pair_flags(sites: DataFrame, classes: DataFrame, bounds: DataFrame, max_shar
     to its right bound; %S in their place where the first mate's window is
     shorter than ``least``.
     """
-    x = sites.join(bounds, "xlocus")
+    # places of gaps, a row a taxon, meet the bounds: not the sites
     gap, one = F.col("base") == "-", F.col("mate") == 1
-    per_taxon = x.groupBy("xlocus", "taxon").agg(F.count_if(gap & one & (F.col("pos") >= F.col("first1"))).alias("g1"), F.count_if(gap & ~one & (F.col("pos") <= F.col("last2"))).alias("g2"), F.first(F.coalesce(F.col("last1") - F.col("first1") + 1, F.lit(0))).alias("length1"))
-    gaps = per_taxon.groupBy("xlocus").agg(F.max("g1").alias("gaps1"), F.max("g2").alias("gaps2"), F.first("length1").cast("long").alias("length1"))
+    x = sites.groupBy("xlocus", "taxon").agg(*[F.collect_list(F.when(gap & m, F.col("pos"))).alias(g) for g, m in (("g1", one), ("g2", ~one))]).join(apart(bounds), "xlocus")
+    g1, g2 = F.size(F.filter("g1", lambda p: p >= F.col("first1"))), F.size(F.filter("g2", lambda p: p <= F.col("last2")))
+    gaps = x.groupBy("xlocus").agg(F.max(g1).cast("long").alias("gaps1"), F.max(g2).cast("long").alias("gaps2"), F.first(F.coalesce(F.col("last1") - F.col("first1") + 1, F.lit(0))).cast("long").alias("length1"))
     codes = sites.groupBy("xlocus", "mate", "pos").agg(*[F.count_if(F.upper("base") == c).alias(c) for c in dna.CODES]).groupBy("xlocus").agg(F.max(F.greatest(*dna.CODES)).alias("maxhet"))
     variable = F.col("cls") != " "
     snps = classes.groupBy("xlocus").agg(F.count_if(variable & one).alias("nsnp1"), F.count_if(variable & ~one).alias("nsnp2"))
-    y = snps.join(gaps, "xlocus").join(codes, "xlocus")
+    y = snps.join(apart(gaps), "xlocus").join(apart(codes), "xlocus")
     s = F.when(F.col("nsnp1") > max_snps[0], "%S1").when(F.col("nsnp2") > max_snps[1], "%S2").otherwise("")
     i = F.when(s != "", "").when(F.col("gaps1") > max_indels[0], "%I1").when(F.col("gaps2") > max_indels[1], "%I2").otherwise("")
     late = F.concat(F.when(F.col("length1") < least, "%S").otherwise(s), i)

@@ -36,7 +36,7 @@ query("overhang_options", f"select xlocus, min(l) as first0, max(r) as last0, (l
 def _options(x):
     out = mates.overhang_bounds(x, 0, 0).withColumnsRenamed({"first": "first0", "last": "last0"})
     for k in (1, 2):
-        out = out.join(mates.overhang_bounds(x, k, k).withColumnsRenamed({"first": f"first{k}", "last": f"last{k}"}), "xlocus")
+        out = out.join(mates.overhang_bounds(x, k, k).withColumnsRenamed({"first": f"first{k}", "last": f"last{k}"}).hint("shuffle_hash"), "xlocus")
     return out
 
 
