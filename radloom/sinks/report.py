@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radloom.operators import reads
+from radloom.session import apart
 
 # The sections of a statistics file, each with its head lines.
 TOTALS = ("## loci with > minsp containing data", "## loci with > minsp containing data & paralogs removed", "## loci with > minsp containing data & paralogs removed & final filtering")
@@ -53,7 +54,7 @@ def statistics(flagged: DataFrame, taxa: DataFrame, least: int = 4, width: int =
     measures = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("value")) for m, c in (("taxa", "ntaxa"), ("var", "nsnp"), ("pis", "npis"))]))
     counts = kept.select(measures.alias("m")).groupBy("m.measure", "m.value").agg(F.count("*").alias("n"))
 
-    named = taxa.join(kept.select("xlocus"), "xlocus", "left_semi").groupBy("taxon").agg(F.count("*").alias("n"))
+    named = taxa.join(apart(kept.select("xlocus")), "xlocus", "left_semi").groupBy("taxon").agg(F.count("*").alias("n"))
     name = F.col("taxon").cast("string")
     named = named.select(F.lit(2).alias("section"), (F.row_number().over(Window.orderBy(name)) - 1).cast("long").alias("line"), F.concat_ws("\t", F.rpad(name, F.greatest(F.lit(width), F.length(name)), " "), F.col("n").cast("string")).alias("text"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radloom.functions import dna
 from radloom.operators import loci
-from radloom.session import Store
+from radloom.session import Store, apart
 
 
 def write_text(rows: DataFrame, path: str, *order: str) -> None:
@@ -38,7 +38,7 @@ def loci_text(sites: DataFrame, classes: DataFrame, width: int = 12) -> DataFram
     """(xlocus, text): names padded to ``width``, sequences, and the line of site classes with the locus number."""
     rows = _lines(sites, F.concat(F.rpad(F.concat(F.lit(">"), F.col("taxon").cast("string")), width, " "), "seq"))
     marks = classes.groupBy("xlocus").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cls"))), lambda s: s["cls"]), "").alias("marks"))
-    return rows.join(marks, "xlocus").select("xlocus", F.concat("lines", F.lit("\n"), F.rpad(F.lit("//"), width, " "), "marks", F.lit("|"), F.col("xlocus").cast("string"), F.lit("|")).alias("text"))
+    return rows.join(apart(marks), "xlocus").select("xlocus", F.concat("lines", F.lit("\n"), F.rpad(F.lit("//"), width, " "), "marks", F.lit("|"), F.col("xlocus").cast("string"), F.lit("|")).alias("text"))
 
 
 def gphocs_text(sites: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def gphocs_text(sites: DataFrame) -> DataFrame:
 
 def phylip_blocks(sites: DataFrame, taxa: DataFrame) -> DataFrame:
     """(xlocus, text): interleaved blocks, a line a taxon of ``taxa`` in order; absent taxa are N, columns without a base go."""
-    called = sites.groupBy("xlocus", "pos").agg(F.count_if(~F.col("base").isin("N", "n", "-")).alias("c")).where("c > 0").select("xlocus", "pos")
-    seqs = loci.sequences(sites.join(called, ["xlocus", "pos"]))
+    called = loci.columns(sites, F.count_if(~F.col("base").isin("N", "n", "-")).alias("c")).where("c > 0")
+    seqs = loci.sequences(called.select("xlocus", "pos", F.inline("rows")))
     per = seqs.groupBy("xlocus").agg(F.max(F.length("seq")).alias("length"), F.map_from_entries(F.collect_list(F.struct("taxon", "seq"))).alias("by"))
     names = sorted(r[0] for r in taxa.select("taxon").distinct().collect())  # the samples of a study
     filled = [F.coalesce(F.try_element_at("by", F.lit(t)), F.repeat(F.lit("N"), F.col("length"))) for t in names]
@@ -62,7 +62,7 @@ def vcf_text(sites: DataFrame, depth: int = 6) -> DataFrame:
     rows = loci.vcf_rows(sites)
     gt = loci.vcf_genotypes(sites, rows).groupBy("xlocus", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("taxon", "gt"))), lambda s: s["gt"]), "\t").alias("gts"))
     text = [F.col(c).cast("string") for c in ("xlocus", "pos")]
-    return rows.join(gt, ["xlocus", "pos"]).select("xlocus", "pos", F.concat_ws("\t", *text, F.lit("."), "ref", "alt", F.lit("20"), F.lit("PASS"), F.concat(F.lit("NS="), F.col("ns").cast("string"), F.lit(f";DP={depth}")), F.lit("GT"), "gts").alias("text"))
+    return rows.join(apart(gt), ["xlocus", "pos"]).select("xlocus", "pos", F.concat_ws("\t", *text, F.lit("."), "ref", "alt", F.lit("20"), F.lit("PASS"), F.concat(F.lit("NS="), F.col("ns").cast("string"), F.lit(f";DP={depth}")), F.lit("GT"), "gts").alias("text"))
 
 
 def geno_text(sites: DataFrame) -> DataFrame:
@@ -153,24 +153,24 @@ def treemix_head(pops: DataFrame) -> DataFrame:
 
 def snps_text(sites: DataFrame, classes: DataFrame) -> DataFrame:
     """(xlocus, taxon, text): the variable sites of a locus and a space; `_ ` for a locus without any.  In order these are a taxon's line."""
-    marked = sites.join(classes, ["xlocus", "pos"]).groupBy("xlocus", "taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("cls") != " ", F.struct("pos", "base")))), lambda s: s["base"]), "").alias("s"))
+    marked = loci.marked(sites, classes).where("classed > 0")
     return marked.select("xlocus", "taxon", F.when(F.col("s") == "", "_ ").otherwise(F.concat("s", F.lit(" "))).alias("text"))
 
 
 def unlinked_text(sites: DataFrame, chosen: DataFrame) -> DataFrame:
     """(xlocus, taxon, text): the symbol at a locus's chosen site.  In order these are a taxon's line."""
-    return sites.join(chosen, ["xlocus", "pos"]).select("xlocus", "taxon", F.col("base").alias("text"))
+    return loci.at_chosen(sites, chosen).select("xlocus", "taxon", F.col("base").alias("text"))
 
 
 def structure_text(sites: DataFrame, chosen: DataFrame) -> DataFrame:
     """(xlocus, taxon, hap, text): the code of a haplotype at a locus's chosen site.  In order and parted by tabs these are the two lines of a taxon."""
-    return loci.structure_rows(sites.join(chosen, ["xlocus", "pos"])).select("xlocus", "taxon", "hap", F.col("code").cast("string").alias("text"))
+    return loci.structure_rows(loci.at_chosen(sites, chosen)).select("xlocus", "taxon", "hap", F.col("code").cast("string").alias("text"))
 
 
 def migrate_text(sites: DataFrame, pops: DataFrame) -> DataFrame:
     """(gid, xlocus, text): the lines of a population's sequences at each covered locus, without separators of mates."""
     good = loci.populations_covered(sites, pops)
-    seqs = loci.sequences(sites.join(good, "xlocus", "left_semi")).join(pops.select("taxon", "gid"), "taxon")
+    seqs = loci.sequences(sites.join(apart(good), "xlocus", "left_semi")).join(pops.select("taxon", "gid"), "taxon")
     seqs = seqs.where(F.length(F.replace("seq", F.lit("N"), F.lit(""))) > 0)
     line = lambda r, i: F.concat(F.rpad(F.concat(F.left(r["gid"], F.lit(8)), F.lit("_"), i.cast("string")), 10, " "), F.translate(r["seq"], "xn", ""))
     per = seqs.groupBy("gid", "xlocus").agg(F.array_sort(F.collect_list(F.struct("taxon", "gid", "seq"))).alias("rows"))
@@ -180,9 +180,9 @@ def migrate_text(sites: DataFrame, pops: DataFrame) -> DataFrame:
 def excluded_text(sites: DataFrame, classes: DataFrame, flagged: DataFrame, width: int = 12) -> DataFrame:
     """(xlocus, text): loci with flags, as loci are written but in upper case and with the flags behind the slashes."""
     out = flagged.where("flags <> ''").select("xlocus", "flags")
-    text = loci_text(sites.withColumn("base", F.upper("base")).join(out, "xlocus", "left_semi"), classes.join(out, "xlocus", "left_semi"), width)
+    text = loci_text(sites.withColumn("base", F.upper("base")).join(apart(out), "xlocus", "left_semi"), classes.join(apart(out), "xlocus", "left_semi"), width)
     at = F.instr("text", "//") + 1
-    return text.join(out, "xlocus").select("xlocus", F.concat(F.left("text", at), "flags", F.substr("text", at + 1 + F.length("flags"))).alias("text"))
+    return text.join(apart(out), "xlocus").select("xlocus", F.concat(F.left("text", at), "flags", F.substr("text", at + 1 + F.length("flags"))).alias("text"))
 
 
 def alleles_text(sites: DataFrame, width: int = 12) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radloom.operators import clusters, dtests, genotypes, introgression, loci
-from radloom.plans import assembly, fixtures as fx, phasing, queries as plans  # noqa: F401 (the first registers its queries)
+from radloom.plans import assembly, exports, fixtures as fx, mates, phasing, queries as plans  # noqa: F401 (plans register their queries)
 from radloom.plans.queries import Q
 from radloom.sinks import text
 
@@ -169,3 +169,29 @@ def test_loci_and_reads_are_dealt_by_their_number(spark, monkeypatch):
     assert many.rdd.getNumPartitions() == -(-rows // 10) > 8 and tasks(loci.sequences(many)) > 8 and tasks(counts) > 8
     assert exchanges(loci.site_class(many)) == 1 and exchanges(counts) == 1  # what is grouped by locus needs no shuffle of its own
     assert [{tuple(r) for r in df.collect()} for df in (loci.sequences(many), counts)] == before
+
+
+@pytest.mark.parametrize("name", ["geno_codes", "geno_codes_phased", "geno_text", "phylip_blocks", "snps", "snps_text", "unlinked_snps", "unlinked_text", "structure_text", "loci_text", "locus_summary", "window_filters", "pair_filters", "overhang_options", "vcf_text"])
+def test_sites_are_not_sent_to_every_task(spark, name):
+    """The planner takes exploded sites for small: no join may send them through the driver."""
+    assert "BroadcastExchange" not in Q[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["treemix_counts", "treemix_text", "d_groups", "d_test_results", "migrate_text"])
+def test_only_specifications_are_sent_to_every_task(spark, name):
+    """Of a query with populations or tests these are sent, and not the sites."""
+    sent, depth = [], None
+    for line in Q[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at > depth:
+            sent.append(line)
+            continue
+        depth = at if "BroadcastExchange" in line else None
+    assert sent and not any("p_partkey" in x for x in sent)
+
+
+@pytest.mark.parametrize("name", ["snps", "snps_text", "unlinked_snps", "geno_codes", "phylip_blocks", "structure_text", "unlinked_text"])
+def test_columns_meet_their_sites_without_a_shuffle(spark, name):
+    """Sites are grouped and joined where they are made."""
+    plan = Q[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(p_partkey")
