@@ -530,3 +530,23 @@ def test_toxicity_automaton_equals_brute_force():
                 continue
             want += max([x for e, x in weights.items() if w == e or e.endswith("*") and w.startswith(e[:-1])], default=0.0)
         assert model.hits(" ".join(words)) == want
+
+
+def test_lines_of_large_blocks_meet_as_those_of_small_ones(spark, monkeypatch):
+    """Pairs do not depend on how many lines share a block: no byte of a SimHash has to be shared, and tiles lose none."""
+    rng = random.Random(11)
+    n = 120
+    counts = lambda: sum(rng.randint(3, 6) << 8 * i for i in range(7))
+    lines = [(i % 2, i, rng.choice([60, 62, 66, 67, 100]), rng.getrandbits(63), counts(), counts(), n // 2, None, None) for i in range(n)]
+    shared = spark.createDataFrame(lines, "value long, id long, len int, sim long, n0 long, n1 long, c int, a long, d int")
+    labels = spark.createDataFrame([(0, 0), (2, 0)], "node long, label long")
+    found = []
+    for group, tile in ((64, 2048), (8, 2048), (8, 7)):
+        monkeypatch.setattr(line_dedup, "GROUP", group)
+        monkeypatch.setattr(line_dedup, "TILE", tile)
+        found.append(sorted(map(tuple, line_dedup.rest(shared, labels).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100 and max(d for *_, d in found[0]) > line_dedup.RADIUS
+    nodes = spark.createDataFrame([(i, m, x, y) for _, i, m, _, x, y, *_ in lines], "id long, len int, n0 long, n1 long")
+    like = {(a[1], b[1]) for a in lines for b in lines if a[0] == b[0] and a[1] < b[1] and (a[1], b[1]) != (0, 2) and min(a[2], b[2]) * 100 >= max(a[2], b[2]) * 90}
+    kept = line_dedup.possible(spark.createDataFrame(sorted(like), "a long, b long"), nodes)
+    assert {(a, b) for a, b, *_ in found[0]} == {tuple(r) for r in kept.collect()} != like
